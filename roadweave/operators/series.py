@@ -1,11 +1,11 @@
-"""Row-frame window functions over long series, split into time slices.
+"""Row-frame window functions over long series, split where a series is heavy.
 
 A plain ``Window.partitionBy(key)`` puts the whole history of a key into one
-task. Here a key's series is cut into slices that keep its order; each slice
-gets copies ("halo") of the few rows before and after it that the frames reach,
-so the values equal those of the unsplit window while no task holds more than
-one slice. A slice is a day, and a day of a key with more than ``max_rows`` rows
-is cut further.
+task. That is the best plan as long as every key is small. Keys with more than
+``max_rows`` rows are therefore cut into time slices that keep their order: a day,
+or a part of a day where a single day is still too much. Each slice gets copies
+("halo") of the few rows before and after it that the frames reach, so the values
+equal those of the unsplit window while no task holds more than one slice.
 """
 
 from __future__ import annotations
@@ -22,31 +22,61 @@ DAY_MICROS = 86_400 * 1_000_000
 _DAY, _PIECE, _HALO = "_slice_day", "_slice_piece", "_halo"
 
 
+def _certainly_small(df: DataFrame, max_rows: int) -> bool:
+    """The planner's size estimate leaves less than 8 bytes for ``max_rows`` rows."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) < max_rows * 8
+
+
+def _heavy_groups(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
+    """Groups with more than ``max_rows`` rows and their size; None when there are none.
+
+    There can be at most rows/max_rows of them. The list is broadcast only when it
+    was seen to hold no more than HOT_LIMIT groups; else it stays distributed.
+    """
+    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    found = heavy.limit(HOT_LIMIT + 1).collect()
+    if not found:
+        return None
+    if len(found) > HOT_LIMIT:
+        return heavy
+    return F.broadcast(df.sparkSession.createDataFrame(found, heavy.schema))
+
+
+def _tag(df: DataFrame, groups: DataFrame, keys: list[str], into: str) -> DataFrame:
+    cond = [df[k].eqNullSafe(groups[k]) for k in keys]
+    return df.join(groups, cond, "left").select(
+        *[df[c] for c in df.columns], groups["_n"].alias(into)
+    )
+
+
 def _with_slices(
     df: DataFrame, keys: list[str], ts: str, max_rows: int | None, oversplit: int = 4
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
+    """``df`` with slice columns (a null day marks keys left whole), and whether any
+    key is cut at all."""
+    if max_rows is None or _certainly_small(df, max_rows):
+        return df, False
+    heavy_keys = _heavy_groups(df.select(*keys), keys, max_rows)
+    if heavy_keys is None:
+        return df, False
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    df = df.withColumn(_DAY, F.floor(micros / F.lit(DAY_MICROS)).cast("int"))
-    if max_rows is None:
-        return df.withColumn(_PIECE, F.lit(0))
-    heavy = (
-        df.groupBy(*keys, _DAY)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_rows)
-        .select(*keys, _DAY, F.ceil(F.col("_n") * oversplit / max_rows).alias("_pieces"))
+    # a missing time sorts first, in a slice of its own
+    day = F.coalesce(F.floor(micros / F.lit(DAY_MICROS)).cast("int"), F.lit(-(2**31)))
+    sliced = (
+        _tag(df, heavy_keys, keys, "_key_n")
+        .withColumn(_DAY, F.when(F.col("_key_n").isNotNull(), day))
+        .drop("_key_n")
     )
-    # At most rows/max_rows groups can be heavy. Their list is fetched only up to
-    # HOT_LIMIT; beyond that it stays a distributed join side.
-    found = heavy.limit(HOT_LIMIT + 1).collect()
-    if not found:
-        return df.withColumn(_PIECE, F.lit(0))
-    if len(found) <= HOT_LIMIT:
-        heavy = F.broadcast(df.sparkSession.createDataFrame(found, heavy.schema))  # bounded by HOT_LIMIT
-    cond = [df[k].eqNullSafe(heavy[k]) for k in [*keys, _DAY]]
-    joined = df.join(heavy, cond, "left").select(*[df[c] for c in df.columns], heavy["_pieces"])
+    days = [*keys, _DAY]
+    cut = sliced.where(F.col(_DAY).isNotNull()).select(*days)
+    heavy_days = _heavy_groups(cut, days, max_rows)
+    if heavy_days is None:
+        return sliced.withColumn(_PIECE, F.lit(0)), True
+    pieces = F.ceil(F.col("_day_n") * oversplit / max_rows)
     within = F.pmod(micros, F.lit(DAY_MICROS)) / F.lit(DAY_MICROS)
-    piece = F.coalesce(F.floor(within * F.col("_pieces")), F.lit(0)).cast("int")
-    return joined.withColumn(_PIECE, piece).drop("_pieces")
+    part = F.coalesce(F.floor(within * pieces), F.lit(0)).cast("int")
+    return _tag(sliced, heavy_days, days, "_day_n").withColumn(_PIECE, part).drop("_day_n"), True
 
 
 def _halo_rows(
@@ -95,18 +125,22 @@ def over_rows(
     ``order[0]`` is the time; ``order`` must be a total order within a key.
     ``values`` are the columns the frames read. Frames may reach ``before`` rows
     back and ``after`` rows ahead. ``max_rows=None`` skips the check for heavy
-    key-days, for callers that know a key's rows per day are few.
+    keys, for callers that know every key to be small.
     """
-    sliced = _with_slices(df, keys, order[0], max_rows)
-    lean = sliced.select(
-        *dict.fromkeys([*keys, *order, *values]), _DAY, _PIECE
+    sliced, is_cut = _with_slices(df, keys, order[0], max_rows)
+    window = Window.partitionBy(*keys, _DAY, _PIECE).orderBy(*order)
+    if not is_cut:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns(build(window))
+    # Halo rows are only needed by the keys that are cut.
+    lean = sliced.select(*dict.fromkeys([*keys, *order, *values]), _DAY, _PIECE).where(
+        F.col(_DAY).isNotNull()
     )
     full = sliced.withColumn(_HALO, F.lit(False))
     for reach, forward in ((before, False), (after, True)):
         if reach:
             halo = _halo_rows(lean, keys, order, reach, forward).withColumn(_HALO, F.lit(True))
             full = full.unionByName(halo, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, _DAY, _PIECE).orderBy(*order)
     added = build(window)
     return (
         full.withColumns(added)

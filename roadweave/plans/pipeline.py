@@ -17,6 +17,7 @@ from roadweave.operators import align as al
 from roadweave.operators import clean as cl
 from roadweave.operators import features as ft
 from roadweave.operators import metrics, models, profile, select, series, split, summary
+from roadweave.session import materialize
 from roadweave.sources import documents, tables
 from roadweave.streaming import jobs
 
@@ -220,7 +221,8 @@ def train_enhanced_predictor(
     features = [
         c for c in select.candidates(labelled, label) if horizon > 0 or c != target
     ]
-    filled = select.fill_for_model(labelled, features, label)
+    # read several times by the split and the trainers, so written once
+    filled = materialize(select.fill_for_model(labelled, features, label), "fused-rows")
     tie = filled.withColumn("_tie", F.shiftright(F.xxhash64("region", "etag_pair", "flow_pos"), 2))
     marked = split.chronological_split(tie, "datetime", "_tie", 1.0 - test_size).drop("_tie")
     models.require_rows(marked)
@@ -279,7 +281,7 @@ def train_traffic_prediction_system(
     encoding = ft.station_encoding(vd)
     wide = ft.station_features(vd, keys, encoding=encoding, horizon=horizon)
     label = f"{target}_ahead_{horizon}" if horizon else target
-    rows = wide.na.drop()
+    rows = materialize(wide.na.drop(), "station-rows")
     models.require_rows(rows)
     features = [
         c

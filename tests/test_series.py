@@ -16,6 +16,7 @@ def history(spark, seed, keys=3, rows=120, hours=80):
     for i in range(rows):
         key = "hot" if rng.random() < 0.5 else f"k{rng.randrange(keys)}"
         when = T0 + dt.timedelta(minutes=rng.randrange(hours * 60))
+        when = None if i == 9 else when
         data.append((key, when, i, float(rng.randrange(100)) if rng.random() > 0.05 else None))
     return spark.createDataFrame(data, "k string, t timestamp, i int, v double")
 
@@ -44,12 +45,30 @@ def test_split_windows_equal_plain_windows(spark, max_rows):
     assert a == sorted(map(repr, want.select(*cols).collect()))
 
 
-def test_heavy_days_are_cut(spark):
+def test_heavy_keys_and_days_are_cut(spark):
     df = history(spark, 3)
-    cut = series._with_slices(df, ["k"], "t", 3)
+    cut, is_cut = series._with_slices(df, ["k"], "t", 3)
+    assert is_cut
     sizes = cut.groupBy("k", "_slice_day", "_slice_piece").count()
-    whole = series._with_slices(df, ["k"], "t", None).groupBy("k", "_slice_day").count()
-    assert sizes.agg(F.max("count")).first()[0] < whole.agg(F.max("count")).first()[0]
+    per_day = cut.groupBy("k", "_slice_day").count()
+    assert sizes.agg(F.max("count")).first()[0] < per_day.agg(F.max("count")).first()[0]
+
+
+def test_only_heavy_keys_are_cut(spark):
+    df = history(spark, 3)
+    counts = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    limit = sorted(counts.values())[-2]
+    cut, is_cut = series._with_slices(df, ["k"], "t", limit)
+    assert is_cut
+    sliced = {r["k"] for r in cut.where("_slice_day is not null").select("k").distinct().collect()}
+    assert sliced == {"hot"}
+
+
+def test_small_input_keeps_the_plain_window(spark):
+    df = history(spark, 3)
+    out = series.lags(df, ["k"], ["t", "i"], ["v"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Window") == 1
 
 
 def test_rolling_first_row_and_lag_borders(spark):
