@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roadweave import constants as C
 from roadweave.functions.times import floor_bin
-from roadweave.session import small_table
 
 
 def with_region(vd: DataFrame, regions: tuple[str, ...] = tuple(C.REGION_PAIRS)) -> DataFrame:
@@ -47,15 +46,21 @@ def vd_direction(vd_id: Column) -> Column:
     return F.try_element_at(F.split(vd_id, "-"), F.lit(3))
 
 
-def pair_regions(spark) -> DataFrame:
-    """The eight (region, pair) combinations."""
-    rows = [(r, p) for r, pairs in C.REGION_PAIRS.items() for p in pairs]
-    return small_table(spark, rows, "region string, etag_pair_id string")
+def regions_of_pair(pair: Column) -> Column:
+    """Array of the regions a gantry pair serves; null for other pairs."""
+    served: dict[str, list[str]] = {}
+    for region, pairs in C.REGION_PAIRS.items():
+        for p in pairs:
+            served.setdefault(p, []).append(region)
+    entries = []
+    for p, regions in served.items():
+        entries += [F.lit(p), F.array(*[F.lit(r) for r in regions])]
+    return F.try_element_at(F.create_map(*entries), pair)
 
 
-def pair_directions(spark) -> DataFrame:
-    rows = [(p[0], p[3]) for p in C.GANTRY_PAIRS]
-    return small_table(spark, rows, "etag_pair_id string, pair_direction string")
+def pair_direction(pair: Column) -> Column:
+    entries = [F.lit(x) for p in C.GANTRY_PAIRS for x in (p[0], p[3])]
+    return F.try_element_at(F.create_map(*entries), pair)
 
 
 def align(
@@ -75,8 +80,7 @@ def align(
     bins = region_bins(vd, minutes, split_direction)
     flows = gantry_side(etag)
     if split_direction:
-        flows = flows.join(F.broadcast(pair_directions(etag.sparkSession)), "etag_pair_id", "left")
-        flows = flows.withColumnRenamed("pair_direction", "direction")
+        flows = flows.withColumn("direction", pair_direction(F.col("etag_pair_id")))
     if tolerance_min < minutes / 2:
         joined = nearest_bin_join(
             flows, bins, ["region"] + (["direction"] if split_direction else []), minutes
@@ -97,11 +101,10 @@ def align(
 
 def gantry_side(etag: DataFrame) -> DataFrame:
     """Gantry rows repeated for each region their pair belongs to (at most two)."""
-    mapped = etag.join(F.broadcast(pair_regions(etag.sparkSession)), "etag_pair_id")
     extra = [c for c in ("vehicle_type_code", "flow_pos") if c in etag.columns]
-    return mapped.select(
+    return etag.where(F.col("etag_pair_id").isin(*[p[0] for p in C.GANTRY_PAIRS])).select(
         F.col("update_time").alias("datetime"),
-        "region",
+        F.explode(regions_of_pair(F.col("etag_pair_id"))).alias("region"),
         "etag_pair_id",
         F.col("space_mean_speed_kmh").alias("etag_speed"),
         F.col("vehicle_count").alias("etag_volume"),

@@ -6,7 +6,7 @@ is :func:`roadweave.operators.summary.station_day`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.rules import accuracy_midpoint
@@ -61,36 +61,31 @@ def dataset_profile(rollup: DataFrame) -> DataFrame:
     )
 
 
-def time_coverage(rollup: DataFrame, compatible: bool = True) -> DataFrame:
-    """Rows, dates, rows per day and training hours.
+def facts(rollup: DataFrame, compatible: bool = True) -> DataFrame:
+    """Every base figure of the lane table as one row, from one aggregation.
 
-    ``compatible`` counts a row in every dataset it belongs to (all, and peak or
-    off-peak), which doubles the total; otherwise each row counts once.
+    ``total_records`` is the number of lane rows. ``all_records`` adds up the
+    overlapping datasets, so it counts a row twice (all, and peak or off-peak);
+    with ``compatible=False`` it counts each row once.
     """
-    factor = 2 if compatible else 1
-    days = F.countDistinct("date")
-    total = F.coalesce(F.sum("n"), F.lit(0)) * factor
-    return rollup.agg(total.alias("total_records"), days.alias("unique_dates")).select(
-        "total_records",
-        "unique_dates",
-        F.col("unique_dates").alias("date_span_days"),
-        F.round(F.col("total_records") / F.greatest("unique_dates", F.lit(1)), 0).alias(
-            "records_per_day"
-        ),
-        F.round(F.col("total_records") / F.lit(float(RECORDS_PER_TRAINING_HOUR)), 1).alias(
-            "estimated_ai_training_hours"
-        ),
-    )
+    peak = F.col("is_peak")
+    targets = [t for t in TARGETS if f"{t}_n" in rollup.columns]
 
+    def mean_where(measure: str, cond: Column) -> Column:
+        return F.try_divide(
+            F.sum(F.when(cond, F.col(f"{measure}_sum"))), F.sum(F.when(cond, F.col(f"{measure}_n")))
+        )
+
+    def rows_where(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
 
-def readiness(rollup: DataFrame) -> DataFrame:
-    """Completeness of the targets, time span and the three model gates."""
-    targets = [t for t in TARGETS if f"{t}_n" in rollup.columns]
     span = F.unix_micros(F.max("last_time").cast("timestamp")) - F.unix_micros(
         F.min("first_time").cast("timestamp")
     )
     base = rollup.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+        rows_where(peak).alias("peak_records"),
+        rows_where(~peak).alias("offpeak_records"),
         F.countDistinct("vd_id").alias("unique_vd_stations"),
         F.countDistinct("date").alias("time_span_days"),
         (span / F.lit(3_600_000_000.0)).alias("hours"),
@@ -98,18 +93,45 @@ def readiness(rollup: DataFrame) -> DataFrame:
             F.try_divide(F.sum(f"{t}_n") * 100.0, F.sum("n")).alias(f"{t}_completeness")
             for t in targets
         ],
+        mean_where("volume_total", peak).alias("peak_volume"),
+        mean_where("volume_total", ~peak).alias("offpeak_volume"),
+        mean_where("speed", peak).alias("peak_speed"),
     )
     mean: Column = F.lit(0.0)
     for t in targets:
         mean = mean + F.col(f"{t}_completeness")
-    full = base.select(
-        "total_records",
-        "unique_vd_stations",
-        "time_span_days",
-        F.coalesce("hours", F.col("time_span_days") * 24.0).alias("time_span_hours"),
-        *[f"{t}_completeness" for t in targets],
-        F.coalesce(mean / max(len(targets), 1), F.lit(0.0)).alias("avg_completeness"),
-    )
+    return base.withColumns(
+        {
+            "all_records": F.col("total_records") * (2 if compatible else 1),
+            "time_span_hours": F.coalesce("hours", F.col("time_span_days") * 24.0),
+            "avg_completeness": F.coalesce(mean / max(len(targets), 1), F.lit(0.0)),
+        }
+    ).drop("hours")
+
+
+def _coverage_columns() -> list[Column]:
+    total, days = F.col("all_records"), F.col("time_span_days")
+    return [
+        total.alias("total_records"),
+        days.alias("unique_dates"),
+        days.alias("date_span_days"),
+        F.round(total / F.greatest(days, F.lit(1)), 0).alias("records_per_day"),
+        F.round(total / F.lit(float(RECORDS_PER_TRAINING_HOUR)), 1).alias(
+            "estimated_ai_training_hours"
+        ),
+    ]
+
+
+def time_coverage(base: DataFrame) -> DataFrame:
+    """Rows, dates, rows per day and training hours, from the facts row."""
+    return base.select(*_coverage_columns())
+
+
+def readiness(base: DataFrame) -> DataFrame:
+    """The facts row with the three model gates and the 0-100 readiness score.
+
+    The score is 50 when there is no data.
+    """
     n, done = F.col("total_records"), F.col("avg_completeness")
     stations, days = F.col("unique_vd_stations"), F.col("time_span_days")
     sequence = (
@@ -124,76 +146,76 @@ def readiness(rollup: DataFrame) -> DataFrame:
         & (stations >= BOOSTED_GATE["stations"])
     )
     forest = (n >= FOREST_GATE["records"]) & (done >= FOREST_GATE["completeness"])
-    return full.withColumns(
+    gate = F.when(sequence, 40.0).when(boosted, 25.0).when(forest, 15.0).otherwise(0.0)
+    score = (
+        gate
+        + F.least(F.lit(30.0), done * 0.3)
+        + F.least(F.lit(20.0), days * 2.0)
+        + F.least(F.lit(10.0), stations * 2.0)
+    )
+    return base.withColumns(
         {
             "lstm_ready": sequence.cast("int"),
             "xgboost_ready": boosted.cast("int"),
             "rf_ready": forest.cast("int"),
             "prediction_ready": (sequence | boosted).cast("int"),
+            "prediction_score": F.when(n == 0, 50.0).otherwise(score),
         }
     )
 
 
-def readiness_score(ready: DataFrame) -> DataFrame:
-    """0-100 score; 50 when there is no data."""
-    gate = (
-        F.when(F.col("lstm_ready") == 1, 40.0)
-        .when(F.col("xgboost_ready") == 1, 25.0)
-        .when(F.col("rf_ready") == 1, 15.0)
-        .otherwise(0.0)
-    )
-    score = (
-        gate
-        + F.least(F.lit(30.0), F.col("avg_completeness") * 0.3)
-        + F.least(F.lit(20.0), F.col("time_span_days") * 2.0)
-        + F.least(F.lit(10.0), F.col("unique_vd_stations") * 2.0)
-    )
-    return ready.withColumn(
-        "prediction_score", F.when(F.col("total_records") == 0, 50.0).otherwise(score)
-    )
+READINESS_COLUMNS = (
+    "total_records",
+    "unique_vd_stations",
+    "time_span_days",
+    "time_span_hours",
+    "speed_completeness",
+    "volume_total_completeness",
+    "occupancy_completeness",
+    "avg_completeness",
+    "lstm_ready",
+    "xgboost_ready",
+    "rf_ready",
+    "prediction_ready",
+    "prediction_score",
+)
+
+
+def _quality_parts() -> dict[str, Column]:
+    peak, off = F.col("peak_records"), F.col("offpeak_records")
+    return {
+        "volume_score": F.least(F.lit(100.0), F.col("all_records") / 1000.0),
+        "time_score": F.least(F.lit(100.0), F.col("time_span_days") * 20.0),
+        "balance_score": F.when(
+            (peak > 0) & (off > 0), F.least(peak, off) * 100.0 / F.greatest(peak, off)
+        ).otherwise(50.0),
+        "prediction_score": F.col("prediction_score"),
+    }
 
 
-def quality_metrics(rollup: DataFrame, compatible: bool = True) -> DataFrame:
-    """Volume, time, balance and readiness scores and their weighted sum."""
-    peak = F.coalesce(F.sum(F.when(F.col("is_peak"), F.col("n"))), F.lit(0))
-    off = F.coalesce(F.sum(F.when(~F.col("is_peak"), F.col("n"))), F.lit(0))
-    counts = rollup.agg(peak.alias("peak_n"), off.alias("off_n")).select(
-        F.when(
-            (F.col("peak_n") > 0) & (F.col("off_n") > 0),
-            F.least("peak_n", "off_n") * 100.0 / F.greatest("peak_n", "off_n"),
-        )
-        .otherwise(50.0)
-        .alias("balance")
-    )
-    cover = time_coverage(rollup, compatible).select(
-        F.least(F.lit(100.0), F.col("total_records") / 1000.0).alias("volume"),
-        F.least(F.lit(100.0), F.col("date_span_days") * 20.0).alias("time"),
-    )
-    scored = readiness_score(readiness(rollup)).select(F.col("prediction_score").alias("ready"))
-    one = _side_by_side(counts, cover, scored)
-    overall = (
-        F.col("volume") * 0.3 + F.col("time") * 0.3 + F.col("balance") * 0.2 + F.col("ready") * 0.2
-    )
-    return one.select(
-        F.round("volume", 1).alias("volume_score"),
-        F.round("time", 1).alias("time_score"),
-        F.round("balance", 1).alias("balance_score"),
-        F.round("ready", 1).alias("prediction_score"),
-        F.round(overall, 1).alias("overall_quality"),
+def overall_quality() -> Column:
+    p = _quality_parts()
+    return F.round(
+        p["volume_score"] * 0.3
+        + p["time_score"] * 0.3
+        + p["balance_score"] * 0.2
+        + p["prediction_score"] * 0.2,
+        1,
     )
 
 
-def _side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Put one-row frames next to each other, the others as scalar subqueries."""
-    names = [f"_part{i}" for i in range(len(others))]
-    parts = {
-        n: o.select(F.struct(*o.columns)).scalar() for n, o in zip(names, others, strict=True)
-    }
-    return first.withColumns(parts).select(*first.columns, *[f"{n}.*" for n in names])
+def _quality_columns() -> list[Column]:
+    parts = [F.round(c, 1).alias(n) for n, c in _quality_parts().items()]
+    return [*parts, overall_quality().alias("overall_quality")]
 
 
-def model_suitability(ready: DataFrame) -> DataFrame:
-    """Score, gate and texts for each model family."""
+def quality_metrics(ready: DataFrame) -> DataFrame:
+    """Volume, time, balance and readiness scores and their weighted sum."""
+    return ready.select(*_quality_columns())
+
+
+def _suitability() -> Column:
+    """The three model families as an array of structs, from a readiness row."""
     n, done = F.col("total_records"), F.col("avg_completeness")
     score = {
         "lstm_time_series": F.least(F.lit(50.0), n / 1000.0)
@@ -207,49 +229,66 @@ def model_suitability(ready: DataFrame) -> DataFrame:
         "xgboost_ensemble": "xgboost_ready",
         "random_forest_baseline": "rf_ready",
     }
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(m).alias("model"),
-            F.round(score[m], 1).alias("score"),
-            F.col(gate[m]).alias("suitable"),
-            F.array(*[F.lit(t) for t in text["pros"]]).alias("pros"),
-            F.array(*[F.lit(t) for t in text["cons"]]).alias("cons"),
-            F.lit(text["expected_accuracy"]).alias("expected_accuracy"),
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(m).alias("model"),
+                F.round(score[m], 1).alias("score"),
+                F.col(gate[m]).alias("suitable"),
+                F.array(*[F.lit(t) for t in text["pros"]]).alias("pros"),
+                F.array(*[F.lit(t) for t in text["cons"]]).alias("cons"),
+                F.lit(text["expected_accuracy"]).alias("expected_accuracy"),
+            )
+            for i, (m, text) in enumerate(MODEL_TEXTS.items())
+        ]
+    )
+
+
+def _recommended(keep: int) -> Column:
+    """The suitable families, best score first, ranked and labelled."""
+
+    def better(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["score"] > b["score"], -1)
+            .when(a["score"] < b["score"], 1)
+            .otherwise(a["position"] - b["position"])
         )
-        for i, (m, text) in enumerate(MODEL_TEXTS.items())
-    ]
-    return ready.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
-
-def recommendations(suitability: DataFrame, keep: int = 3) -> DataFrame:
-    """Suitable models by score, best first, with place labels."""
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), "position")
     labels = F.array(*[F.lit(p) for p in PRIORITIES])
-    return (
-        suitability.where(F.col("suitable") == 1)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= keep)
-        .select(
-            "rank",
-            "model",
+    ordered = F.array_sort(F.filter(_suitability(), lambda m: m["suitable"] == 1), better)
+
+    def entry(m: Column, i: Column) -> Column:
+        rank = i + 1
+        return F.struct(
+            rank.alias("rank"),
+            m["model"].alias("model"),
             F.coalesce(
-                F.try_element_at(labels, F.col("rank")), F.concat(F.lit("#"), F.col("rank"))
+                F.try_element_at(labels, rank), F.concat(F.lit("#"), rank.cast("string"))
             ).alias("priority"),
-            "score",
-            F.concat(F.lit("適合交通預測的"), "model", F.lit("模型")).alias("reason"),
-            F.slice("pros", 1, 2).alias("pros"),
-            "expected_accuracy",
-            accuracy_midpoint(F.col("expected_accuracy")).alias("expected_accuracy_mid"),
+            m["score"].alias("score"),
+            F.concat(F.lit("適合交通預測的"), m["model"], F.lit("模型")).alias("reason"),
+            F.slice(m["pros"], 1, 2).alias("pros"),
+            m["expected_accuracy"].alias("expected_accuracy"),
+            accuracy_midpoint(m["expected_accuracy"]).alias("expected_accuracy_mid"),
         )
-    )
 
+    return F.transform(F.slice(ordered, 1, keep), entry)
 
-def insights(ready: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Messages whose threshold is met, in fixed order."""
-    both = _side_by_side(ready, coverage.select(F.col("total_records").alias("all_records")))
-    total = F.col("all_records")
-    messages = F.array(
+
+def model_suitability(ready: DataFrame) -> DataFrame:
+    """Score, gate and texts for each model family, one row per family."""
+    return ready.select(F.explode(_suitability()).alias("r")).select("r.*")
+
+
+def recommendations(ready: DataFrame, keep: int = 3) -> DataFrame:
+    """Suitable models by score, best first, with place labels."""
+    return ready.select(F.explode(_recommended(keep)).alias("r")).select("r.*")
+
+
+def _insight_messages() -> Column:
+    total, days, stations = F.col("all_records"), F.col("time_span_days"), F.col("unique_vd_stations")
+    return F.array(
         F.when(
             total > 50_000,
             F.concat(
@@ -260,67 +299,63 @@ def insights(ready: DataFrame, coverage: DataFrame) -> DataFrame:
         .when(F.col("xgboost_ready") == 1, "📊 XGBoost模型就緒：適合高精度梯度提升預測")
         .when(F.col("rf_ready") == 1, "🌲 隨機森林模型就緒：適合作為預測基線"),
         F.when(
-            F.col("time_span_days") >= 7,
-            F.concat(
-                F.lit("📅 週期性分析就緒："), "time_span_days", F.lit("天數據支援週期模式學習")
-            ),
+            days >= 7,
+            F.concat(F.lit("📅 週期性分析就緒："), days, F.lit("天數據支援週期模式學習")),
         ),
         F.when(
-            F.col("unique_vd_stations") >= 5,
-            F.concat(
-                F.lit("🛣️ 多站點預測："), "unique_vd_stations", F.lit("個VD站點支援路段級預測")
-            ),
+            stations >= 5,
+            F.concat(F.lit("🛣️ 多站點預測："), stations, F.lit("個VD站點支援路段級預測")),
         ),
     )
-    return _numbered(both, messages, "insight")
 
 
-def actions(ready: DataFrame, recommended: DataFrame) -> DataFrame:
-    """What to do next, from the best model and the readiness flags."""
-    top = recommended.where(F.col("rank") == 1).select(
-        F.max("model").alias("top_model"), F.max("expected_accuracy").alias("top_accuracy")
-    )
-    both = _side_by_side(ready, top)
-    messages = F.array(
-        F.concat(F.lit("🎯 立即開發 "), "top_model", F.lit(" 模型")),
-        F.concat(F.lit("📈 預期準確率: "), "top_accuracy"),
+def _action_messages() -> Column:
+    top = F.try_element_at(_recommended(1), F.lit(1))
+    return F.array(
+        F.concat(F.lit("🎯 立即開發 "), top["model"], F.lit(" 模型")),
+        F.concat(F.lit("📈 預期準確率: "), top["expected_accuracy"]),
         F.when(F.col("lstm_ready") == 1, "🚀 數據符合LSTM要求 - 可開始深度學習開發"),
         F.when(F.col("unique_vd_stations") >= 5, "🛣️ 多站點預測能力 - 可實現路段級交通預測"),
     )
-    return _numbered(both, messages, "action")
+
+
+def insights(ready: DataFrame) -> DataFrame:
+    """Messages whose threshold is met, in fixed order."""
+    return _numbered(ready, _insight_messages(), "insight")
+
+
+def actions(ready: DataFrame) -> DataFrame:
+    """What to do next, from the best model and the readiness flags."""
+    return _numbered(ready, _action_messages(), "action")
+
+
+def _present(messages: Column) -> Column:
+    return F.filter(messages, lambda m: m.isNotNull())
 
 
 def _numbered(df: DataFrame, messages: Column, name: str) -> DataFrame:
-    kept = F.filter(messages, lambda m: m.isNotNull())
-    return df.select(F.posexplode(kept).alias("position", name)).withColumn(
+    return df.select(F.posexplode(_present(messages)).alias("position", name)).withColumn(
         "position", F.col("position") + 1
     )
 
 
 def report(rollup: DataFrame, compatible: bool = True) -> DataFrame:
     """Everything above as one row of structs, ready for ``to_json``."""
-    ready = readiness(rollup)
-    cover = time_coverage(rollup, compatible)
-    fit = model_suitability(ready)
-    best = recommendations(fit)
-
-    def nested(df: DataFrame, name: str, sort: str) -> DataFrame:
-        rest = [c for c in df.columns if c != sort]
-        rows = F.sort_array(F.collect_list(F.struct(sort, *rest)))
-        return df.agg(rows.alias(name))
-
-    def single(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.struct(*df.columns).alias(name))
-
-    return _side_by_side(
-        nested(dataset_profile(rollup), "data_summary", "dataset"),
-        single(quality_metrics(rollup, compatible), "quality_assessment"),
-        single(cover, "time_coverage"),
-        single(ready, "prediction_readiness"),
-        nested(fit, "model_suitability", "position"),
-        nested(best, "recommendations", "rank"),
-        nested(insights(ready, cover), "key_insights", "position"),
-        nested(actions(ready, best), "actionable_recommendations", "position"),
+    ready = readiness(facts(rollup, compatible))
+    profile = dataset_profile(rollup)
+    listed = profile.select(
+        F.sort_array(F.collect_list(F.struct(*profile.columns))).alias("rows")
+    ).scalar()
+
+    return ready.select(
+        listed.alias("data_summary"),
+        F.struct(*_quality_columns()).alias("quality_assessment"),
+        F.struct(*_coverage_columns()).alias("time_coverage"),
+        F.struct(*READINESS_COLUMNS).alias("prediction_readiness"),
+        _suitability().alias("model_suitability"),
+        _recommended(3).alias("recommendations"),
+        _present(_insight_messages()).alias("key_insights"),
+        _present(_action_messages()).alias("actionable_recommendations"),
     )
 
 
@@ -357,41 +392,23 @@ def dataset_quality(rollup: DataFrame) -> DataFrame:
     )
 
 
-def kpis(rollup: DataFrame, compatible: bool = True) -> DataFrame:
+def kpis(ready: DataFrame) -> DataFrame:
     """The dashboard figures as one row."""
-    ready = readiness(rollup)
-    cover = time_coverage(rollup, compatible).select("total_records")
-    flags = ready.select(F.col("lstm_ready").alias("ai_ready"))
-    best = recommendations(model_suitability(ready)).where(F.col("rank") == 1)
-    top = best.agg(
-        F.coalesce(F.max("model"), F.lit("無推薦")).alias("top_model"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("top_score"),
-    )
-    speed_peak = F.try_divide(
-        F.sum(F.when(F.col("is_peak"), F.col("speed_sum"))),
-        F.sum(F.when(F.col("is_peak"), F.col("speed_n"))),
-    )
-
-    def volume(cond: Column) -> Column:
-        return F.coalesce(
-            F.try_divide(
-                F.sum(F.when(cond, F.col("volume_total_sum"))),
-                F.sum(F.when(cond, F.col("volume_total_n"))),
-            ),
-            F.lit(0.0),
-        )
-
-    traffic = rollup.agg(
-        volume(F.col("is_peak")).alias("peak_volume"),
-        volume(~F.col("is_peak")).alias("offpeak_volume"),
-        F.coalesce(speed_peak, F.lit(75.0)).alias("avg_speed"),
+    top = F.try_element_at(_recommended(1), F.lit(1))
+    figures = ready.select(
+        F.col("all_records").alias("total_records"),
+        F.col("lstm_ready").alias("ai_ready"),
+        F.coalesce(top["model"], F.lit("無推薦")).alias("top_model"),
+        F.coalesce(top["score"], F.lit(0.0)).alias("top_score"),
+        F.coalesce("peak_volume", F.lit(0.0)).alias("peak_volume"),
+        F.coalesce("offpeak_volume", F.lit(0.0)).alias("offpeak_volume"),
+        F.coalesce("peak_speed", F.lit(75.0)).alias("avg_speed"),
+        overall_quality().alias("overall_quality"),
     )
-    quality = quality_metrics(rollup, compatible).select("overall_quality")
-    one = _side_by_side(cover, flags, top, traffic, quality)
     good = (
         (F.col("ai_ready") == 1) & (F.col("overall_quality") >= 80) & (F.col("total_records") >= 50_000)
     )
-    return one.withColumns(
+    return figures.withColumns(
         {
             "system_status": F.when(good, 100).otherwise(75),
             "prediction_ready": F.when(F.col("ai_ready") == 1, 90).otherwise(60),
@@ -401,9 +418,8 @@ def kpis(rollup: DataFrame, compatible: bool = True) -> DataFrame:
 
 def next_action(pending_files: DataFrame, stored_dates: DataFrame) -> DataFrame:
     """What the store needs: ingest pending files, analyse stored days, or get data."""
-    counts = _side_by_side(
-        pending_files.agg(F.count(F.lit(1)).alias("pending_files")),
-        stored_dates.agg(F.count(F.lit(1)).alias("stored_dates")),
+    counts = pending_files.agg(F.count(F.lit(1)).alias("pending_files")).withColumn(
+        "stored_dates", stored_dates.agg(F.count(F.lit(1))).scalar()
     )
     pending, stored = F.col("pending_files") > 0, F.col("stored_dates") > 0
     return counts.withColumns(

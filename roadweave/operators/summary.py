@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roadweave import constants as C
 from roadweave.functions.times import is_peak_label, time_category
-from roadweave.session import small_table
 
 MEASURES = (
     "speed",
@@ -158,18 +157,29 @@ def gantry_store_summary(days: DataFrame) -> DataFrame:
     )
 
 
-def pair_dimension(spark) -> DataFrame:
-    return small_table(
-        spark,
-        [(p, s, d, k) for p, s, k, d in C.GANTRY_PAIRS],
-        "etag_pair_id string, segment_name string, direction string, distance_km double",
-    )
+def _pair_lookup() -> Column:
+    entries = []
+    for pair, segment, km, side in C.GANTRY_PAIRS:
+        info = F.struct(
+            F.lit(segment).alias("segment_name"),
+            F.lit(side).alias("direction"),
+            F.lit(km).alias("distance_km"),
+        )
+        entries += [F.lit(pair), info]
+    return F.create_map(*entries)
 
 
 def with_pair_info(etag: DataFrame, targets_only: bool = True) -> DataFrame:
-    """Attach segment, direction and distance; other pairs are dropped or left null."""
-    how = "inner" if targets_only else "left"
-    return etag.join(F.broadcast(pair_dimension(etag.sparkSession)), "etag_pair_id", how)
+    """Attach segment, direction and distance; other pairs are dropped or left null.
+
+    The four pairs are a literal lookup, so there is no join and the pair filter
+    reaches the scan.
+    """
+    if targets_only:
+        etag = etag.where(F.col("etag_pair_id").isin(*[p[0] for p in C.GANTRY_PAIRS]))
+    return etag.withColumn("_pair", F.try_element_at(_pair_lookup(), F.col("etag_pair_id"))).select(
+        *etag.columns, "_pair.segment_name", "_pair.direction", "_pair.distance_km"
+    )
 
 
 def valid_flows(etag: DataFrame) -> DataFrame:

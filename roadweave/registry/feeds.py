@@ -14,6 +14,7 @@ from roadweave.operators import profile as pr
 from roadweave.operators import split, summary
 from roadweave.registry import views as V
 from roadweave.registry.base import big, day, num, query, ts
+from roadweave.session import materialize, scratch_path
 from roadweave.sources import documents, tables
 
 # --- alignment ----------------------------------------------------------------
@@ -483,8 +484,6 @@ def _newest(spark, sf):
 )
 def _one_day(spark, sf):
     """All days written as a partitioned table, one read back through pruning."""
-    from roadweave.session import scratch_path
-
     path = scratch_path(spark, "lane-days")
     tables.write_lane_days(V.readings(spark, sf), path)
     return tables.load_days(spark, path, "2024-01-15").select("update_time", "vd_id", "time_category")
@@ -497,8 +496,6 @@ def _one_day(spark, sf):
 )
 def _append(spark, sf):
     """The off-peak rows, then everything again: each row is stored once."""
-    from roadweave.session import scratch_path
-
     path = scratch_path(spark, "append")
     rows = V.readings(spark, sf)
     tables.write_lane_days(tables.named_dataset(rows, "offpeak"), path)
@@ -595,22 +592,86 @@ def _json(spark, sf):
 # --- ingest -----------------------------------------------------------------------
 
 
+_FILE_NAMES = {
+    "view": "VD_live_",
+    "click": "traffic_",
+    "signup": "靜態_",
+    "error": "weather_",
+    "purchase": "Detector_",
+}
+
+
 @query(
     "pending_files",
-    f"""select 'vd_' || event_id || '.xml' as file_name from events
-    where event_type not in ('view', 'click')""",
+    "select case event_type "
+    + " ".join(f"when '{t}' then '{n}'" for t, n in _FILE_NAMES.items())
+    + """ end || event_id || '.xml' as file_name from events
+    where event_type in ('signup', 'purchase') or (event_type = 'click' and value > 100)""",
 )
 def _pending(spark, sf):
-    """Every event names a file; those of two types are in the archive ledger."""
+    """Every event names a file; the ledger holds those of one type and some of another."""
     ev = V.table(spark, sf, "events")
-    name = F.concat(F.lit("vd_"), F.col("event_id"), F.lit(".xml"))
-    files = ev.select(name.alias("file_name"))
-    ledger = ev.where(F.col("event_type").isin("view", "click")).select(
+    prefix = F.create_map(*[F.lit(x) for kv in _FILE_NAMES.items() for x in kv])[F.col("event_type")]
+    name = F.concat(prefix, F.col("event_id"), F.lit(".xml"))
+    files = ev.select(name.alias("file_name")).where(rules.is_vd_file(F.col("file_name")))
+    archived = ev.where(
+        (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("value") <= 100))
+    )
+    ledger = archived.select(
         F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), name).alias("archived_name")
     )
     return documents.pending_files(files, ledger)
 
 
+@query(
+    "normalized_types",
+    """select event_type, sum(case when event_id % 3 = 0 then value end)::double as speed,
+    count(*) filter (event_id % 3 = 0)::bigint as n, count(*) filter (event_id % 2 = 0)::bigint as timed
+    from events group by event_type""".replace(
+        "sum(case when event_id % 3 = 0 then value end)::double",
+        "round(sum(case when event_id % 3 = 0 then value end), 6)",
+    ),
+)
+def _normalized(spark, sf):
+    """Text columns: numbers, junk and NaN; readable and unreadable times."""
+    e = F.col("event_id")
+    raw = V.table(spark, sf, "events").select(
+        "event_type",
+        F.when(e % 3 == 0, F.col("value").cast("string"))
+        .when(e % 3 == 1, "n/a")
+        .otherwise("NaN")
+        .alias("speed"),
+        F.when(e % 2 == 0, F.col("ts").cast("string")).otherwise("soon").alias("update_time"),
+    )
+    return cl.normalize_types(raw).groupBy("event_type").agg(
+        F.sum("speed").alias("speed"),
+        F.count("speed").alias("n"),
+        F.count("update_time").alias("timed"),
+    )
+
+
+@query(
+    "metric_bands",
+    f"""with {V.LANES_SQL} select case when speed < 50 then 'excellent' when speed < 100 then 'good'
+      else 'needs work' end as latency, case when occupancy / 100.0 > 0.8 and volume_total > 80
+      then 'excellent' when occupancy / 100.0 > 0.7 and volume_total > 70 then 'good'
+      else 'needs work' end as accuracy, {big('count(*)', 'n')} from lanes group by all""",
+)
+def _bands(spark, sf):
+    df = V.lanes(spark, sf)
+    return df.groupBy(
+        rules.latency_band(F.col("speed")).alias("latency"),
+        rules.accuracy_band(F.col("occupancy") / 100.0, F.col("volume_total")).alias("accuracy"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores before CPU-bound text work, but only where the scan has
+    fewer splits than cores (a single small file); larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def vd_xml(df: DataFrame) -> DataFrame:
     """Lane rows as one snapshot document each, in the feed's element names."""
 
@@ -656,7 +717,7 @@ def vd_xml(df: DataFrame) -> DataFrame:
       or (contains(vd_id, 'N1') and len({_KM}) > 0)""",
 )
 def _xml_vd(spark, sf):
-    docs = vd_xml(V.readings(spark, sf))
+    docs = vd_xml(spread(V.readings(spark, sf)))
     return documents.parse_vd(docs).select(
         "date", "update_time", "vd_id", "lane_id", "speed", "occupancy", "volume_total",
         "volume_small", "speed_large", "speed_truck",
@@ -671,7 +732,7 @@ def _xml_vd(spark, sf):
 )
 def _xml_etag(spark, sf):
     """Gantry rows as documents in dated folders, parsed back."""
-    raw = V.raw_tolls_of(V.table(spark, sf, "events"))
+    raw = spread(V.raw_tolls_of(V.table(spark, sf, "events")))
 
     def text(c):
         return F.col(c).cast("string")
@@ -711,6 +772,10 @@ def _rollup(spark, sf) -> DataFrame:
     return summary.station_day(cl.mark_null(V.lanes(spark, sf)))
 
 
+def _ready(spark, sf) -> DataFrame:
+    return pr.readiness(pr.facts(_rollup(spark, sf)))
+
+
 _CLEAN = (
     f"{V.LANES_SQL}, cleaned as (select * replace ("
     + ", ".join(f"case when {_BAD[c]} then null else {c} end as {c}" for c in _COLS)
@@ -763,7 +828,7 @@ _READY = f"""{_CLEAN}, r0 as (select count(*) as n, count(distinct vd_id) as vds
     {num('round(total / 720.0::double, 1)', 'estimated_ai_training_hours')} from overall""",
 )
 def _time_coverage(spark, sf):
-    return pr.time_coverage(_rollup(spark, sf))
+    return pr.time_coverage(pr.facts(_rollup(spark, sf)))
 
 
 @query(
@@ -776,7 +841,7 @@ def _time_coverage(spark, sf):
     {big('lstm or xgb', 'prediction_ready')}, {num('ready_score', 'prediction_score')} from scored""",
 )
 def _readiness(spark, sf):
-    return pr.readiness_score(pr.readiness(_rollup(spark, sf)))
+    return _ready(spark, sf).select(*pr.READINESS_COLUMNS)
 
 
 @query(
@@ -786,7 +851,7 @@ def _readiness(spark, sf):
     {num('round(ready_score, 1)', 'prediction_score')}, {num('q', 'overall_quality')} from overall""",
 )
 def _quality(spark, sf):
-    return pr.quality_metrics(_rollup(spark, sf))
+    return pr.quality_metrics(_ready(spark, sf))
 
 
 _FIT = f"""{_READY}, fit as (
@@ -806,7 +871,7 @@ _FIT = f"""{_READY}, fit as (
     " acc as expected_accuracy from fit",
 )
 def _suitability(spark, sf):
-    return pr.model_suitability(pr.readiness(_rollup(spark, sf))).drop("pros", "cons")
+    return pr.model_suitability(_ready(spark, sf)).drop("pros", "cons")
 
 
 @query(
@@ -818,7 +883,7 @@ def _suitability(spark, sf):
     from best where place <= 3""",
 )
 def _ranked(spark, sf):
-    best = pr.recommendations(pr.model_suitability(pr.readiness(_rollup(spark, sf))))
+    best = pr.recommendations(_ready(spark, sf))
     return best.withColumn("pros", F.concat_ws("|", "pros"))
 
 
@@ -835,8 +900,7 @@ def _ranked(spark, sf):
     select {big('row_number() over (order by p)', 'position')}, insight from m where insight is not null""",
 )
 def _insights(spark, sf):
-    r = _rollup(spark, sf)
-    return pr.insights(pr.readiness(r), pr.time_coverage(r))
+    return pr.insights(_ready(spark, sf))
 
 
 @query(
@@ -849,15 +913,12 @@ def _insights(spark, sf):
     select {big('row_number() over (order by p)', 'position')}, action from m where action is not null""",
 )
 def _actions(spark, sf):
-    ready = pr.readiness(_rollup(spark, sf))
-    return pr.actions(ready, pr.recommendations(pr.model_suitability(ready)))
+    return pr.actions(_ready(spark, sf))
 
 
 @query("report")
 def _full_report(spark, sf):
     """The whole analysis as one JSON document (its parts are checked one by one)."""
-    from roadweave.session import materialize
-
     rollup = materialize(_rollup(spark, sf), "station-day")
     return summary.to_json_report(pr.report(rollup))
 
@@ -909,7 +970,7 @@ def _dataset_quality(spark, sf):
       {big('case when lstm then 90 else 60 end', 'prediction_ready')} from overall, t, v""",
 )
 def _kpis(spark, sf):
-    return pr.kpis(_rollup(spark, sf))
+    return pr.kpis(_ready(spark, sf))
 
 
 @query(
@@ -923,6 +984,18 @@ def _next(spark, sf):
     return pr.next_action(files, tables.available_dates(V.readings(spark, sf)))
 
 
+def _user_files(spark, sf) -> DataFrame:
+    """One file per user, two of seven with other columns."""
+    u = F.col("user_id") % 7
+    names = (
+        F.when(u == 3, F.array(*[F.lit(x) for x in ("date", "speed", "region", "debug")]))
+        .when(u == 5, F.array(F.lit("date"), F.lit("speed")))
+        .otherwise(F.array(*[F.lit(x) for x in ("date", "speed", "region")]))
+    )
+    per_user = V.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
+    return per_user.select(F.col("user_id").alias("file"), names.alias("columns"), "size")
+
+
 @query(
     "schema_drift",
     f"""with f as (select user_id as file, count(*) as size,
@@ -937,27 +1010,37 @@ def _next(spark, sf):
     from (select *, file % 7 as user7 from f), a""",
 )
 def _drift(spark, sf):
-    """One file per user, two of seven with other columns."""
-    u = F.col("user_id") % 7
-    names = (
-        F.when(u == 3, F.array(*[F.lit(x) for x in ("date", "speed", "region", "debug")]))
-        .when(u == 5, F.array(F.lit("date"), F.lit("speed")))
-        .otherwise(F.array(*[F.lit(x) for x in ("date", "speed", "region")]))
-    )
-    files = V.table(spark, sf, "events").groupBy("user_id").agg(
-        F.first(names).alias("columns"), F.count(F.lit(1)).alias("size")
-    ).withColumnRenamed("user_id", "file")
-    out = tables.flag_schema_drift(files)
+    out = tables.flag_schema_drift(_user_files(spark, sf))
     return out.withColumns(
         {c: F.concat_ws(",", c) for c in ("extra_columns", "missing_columns")}
     )
 
 
+@query(
+    "schema_histogram",
+    """select column_count::bigint as column_count, count(*)::bigint as files from (
+      select user_id, case user_id % 7 when 3 then 4 when 5 then 2 else 3 end as column_count
+      from events group by user_id) group by column_count""",
+)
+def _histogram(spark, sf):
+    return tables.column_histogram(_user_files(spark, sf))
+
+
+@query(
+    "file_completeness",
+    f"""with {V.READINGS_SQL}, f as (select distinct date, time_category, lane_id from readings)
+    select {day()}, {big('count(*)', 'files')}, 8::bigint as expected,
+      {big('case when count(*) >= 8 then 1 else 0 end', 'is_complete')} from f group by date""",
+)
+def _completeness(spark, sf):
+    """One file per date, category and lane."""
+    files = V.readings(spark, sf).select("date", "time_category", "lane_id").distinct()
+    return tables.file_completeness(files, 8)
+
+
 @query("table_files")
 def _files(spark, sf):
     """Files, rows and size per date of a stored table (sizes depend on the writer)."""
-    from roadweave.session import scratch_path
-
     path = scratch_path(spark, "files")
     tables.write_days(V.readings(spark, sf), path)
     return tables.store_files(spark, path)

@@ -332,6 +332,32 @@ def _encoding(spark, sf):
     return ft.station_encoding(V.lanes(spark, sf))
 
 
+_SCALED = ("hour", "speed_lag_12", "speed_rolling_std_3", "volume_density", "is_yuanshan")
+
+
+@query(
+    "station_scaled",
+    f"""with {V.READINGS_SQL}, f as (select vd_id, update_time, speed, hour(update_time) as hour,
+      lag(speed, 12) over w as speed_lag_12,
+      stddev_samp(speed) over (partition by vd_id order by update_time rows between 2 preceding and current row)
+        as speed_rolling_std_3, volume_total / (occupancy + 1.0::double) as volume_density,
+      case when contains(vd_id, '圓山') or contains(vd_id, '23') then 1 else 0 end as is_yuanshan
+      from readings window w as (partition by vd_id order by update_time)),
+    k as (select * from f where speed_lag_12 is not null and speed_rolling_std_3 is not null),
+    s as (select """
+    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _SCALED)
+    + f" from k) select vd_id, {ts('update_time')}, {num('speed')}, "
+    + ", ".join(num(f"({c} - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end)", c) for c in _SCALED)
+    + " from k, s",
+)
+def _station_scaled(spark, sf):
+    """Fit: features, rows with any null dropped, all but the target standardised."""
+    wide = ft.station_features(V.readings(spark, sf), keys=("vd_id",))
+    rows = wide.na.drop()
+    frozen = select.fit_scaler(rows, list(_SCALED), "speed")
+    return frozen.transform(rows, ("vd_id", "update_time"))
+
+
 # --- selection and scaling ------------------------------------------------------------
 
 _SEL = ["vd_speed", "vd_volume", "etag_speed", "speed_diff", "volume_mean", "hour_sin", "etag_efficiency"]
@@ -612,8 +638,9 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CLOSED = """closed as (select b.* from bins b
-    where bin + interval 5 minutes <= (select max(update_time) from readings) - interval 10 minutes)"""
+_SERVED = "(contains(vd_id, '圓山') or contains(vd_id, '台北') or contains(vd_id, '三重'))"
+_CLOSED = f"""closed as (select b.* from bins b where bin + interval 5 minutes
+    <= (select max(update_time) from readings where {_SERVED}) - interval 10 minutes)"""
 
 
 @query(
@@ -629,9 +656,18 @@ def _stream_bins(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_align")
+@query(
+    "stream_align",
+    f"""with {V.ALIGNED_SQL}, ends as (select least(
+      (select max(update_time) from readings where {_SERVED}), (select max(update_time) from tolls))
+      - interval 10 minutes as seen)
+    select {day()}, {ts('datetime')}, region, etag_pair, {num('vd_speed')}, {big('vd_volume')},
+      {num('vd_occupancy')}, {num('etag_speed')}, {big('etag_volume')}, {num('time_diff_min')},
+      vehicle_type_code, {big('flow_pos')} from aligned, ends
+    where time_bucket(interval 5 minutes, datetime + interval 150 seconds) + interval 5 minutes <= seen""",
+)
 def _stream_align(spark, sf):
-    """Stream-stream alignment (its parity with the batch join is a test)."""
+    """Stream-stream alignment; rows whose bin is still open at the end are not emitted."""
     out, check = scratch_path(spark, "align"), scratch_path(spark, "align-check")
     joined = jobs.aligned(V.readings_of(_event_stream(spark, sf)), V.tolls_of(_event_stream(spark, sf)))
     jobs.write_available(joined, out, check)

@@ -31,20 +31,24 @@ def get_session(app: str = "roadweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` is taken from the session. Only where it is unset
-    and the master is local (tests) is one made and registered.
+    and the master is local (tests) is a folder made, once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="roadweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="roadweave-")
+    return _MADE[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,14 +63,3 @@ def materialize(df, name: str):
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def small_table(spark: SparkSession, rows: list[tuple], ddl: str):
-    """A few fixed rows as a local relation (no task reads them)."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    schema = T.StructType.fromDDL(ddl)
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.names]
-    return spark.createDataFrame(
-        pa.table([pa.array(list(c)) for c in columns], names=schema.names), schema
-    )

@@ -225,8 +225,6 @@ def parse_etag(docs: DataFrame, targets_only: bool = True) -> DataFrame:
         "pair_pos",
         F.posexplode("pair.Flows.Flow").alias("pos", "flow"),
     ).where(F.col("etag_pair_id") != "")
-    if targets_only:
-        per_flow = per_flow.where(F.col("etag_pair_id").isin(*[p[0] for p in C.GANTRY_PAIRS]))
     raw = per_flow.select(
         "update_time",
         "etag_pair_id",

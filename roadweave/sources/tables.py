@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.times import time_category
+from roadweave.session import materialize
 
 LANE_KEY = ("date", "vd_id", "lane_id", "update_time")
 
@@ -33,18 +34,24 @@ def write_days(
     )
 
 
-def append_new(df: DataFrame, path: str, key: tuple[str, ...] = LANE_KEY,
-               partitions: tuple[str, ...] = ("date",)) -> None:
+def append_new(
+    df: DataFrame,
+    path: str,
+    key: tuple[str, ...] = LANE_KEY,
+    partitions: tuple[str, ...] = ("date",),
+) -> None:
     """Append the rows whose key the table does not hold yet.
 
-    Only the key columns of the dates at hand are read back, so re-running a day
-    neither loses nor repeats rows.
+    The rows are written to the shared folder first, so their source is read once.
+    Of the table only the key columns of the dates at hand are read back. Running a
+    day again neither loses nor repeats rows.
     """
     spark = df.sparkSession
     fresh = df.dropDuplicates(list(key))
     if exists(spark, path):
+        fresh = materialize(fresh, "append")
         stored = spark.read.parquet(path).select(*key)
-        dates = df.select("date").distinct()
+        dates = fresh.select("date").distinct()
         touched = stored.join(F.broadcast(dates), "date", "left_semi")
         fresh = fresh.join(touched, list(key), "left_anti")
     write_days(fresh, path, partitions, mode="append")

@@ -218,10 +218,11 @@ def test_confidence_blend_skips_missing(spark):
 
 def test_profile_of_empty_table(spark, sf):
     rollup = summary.station_day(views.readings(spark, sf).limit(0))
-    ready = profile.readiness_score(profile.readiness(rollup)).first()
-    assert (ready["total_records"], ready["lstm_ready"], ready["prediction_score"]) == (0, 0, 50.0)
-    assert profile.recommendations(profile.model_suitability(profile.readiness(rollup))).count() == 0
-    assert profile.kpis(rollup).first()["top_model"] == "無推薦"
+    ready = profile.readiness(profile.facts(rollup))
+    row = ready.first()
+    assert (row["total_records"], row["lstm_ready"], row["prediction_score"]) == (0, 0, 50.0)
+    assert profile.recommendations(ready).count() == 0
+    assert profile.kpis(ready).first()["top_model"] == "無推薦"
     assert profile.next_action(rollup, rollup.select("date")).first()["next_action"] == "add_raw_files"
 
 
@@ -229,8 +230,8 @@ def test_profile_counts_once_or_per_dataset(spark, sf):
     vd = views.readings(spark, sf)
     rollup = summary.station_day(vd)
     n = vd.count()
-    assert profile.time_coverage(rollup).first()["total_records"] == 2 * n
-    assert profile.time_coverage(rollup, compatible=False).first()["total_records"] == n
+    assert profile.time_coverage(profile.facts(rollup)).first()["total_records"] == 2 * n
+    assert profile.time_coverage(profile.facts(rollup, compatible=False)).first()["total_records"] == n
 
 
 def test_day_table_round_trip(spark, sf, tmp_path):
