@@ -11,10 +11,8 @@ from roadweave.functions.times import floor_bin
 
 def with_region(vd: DataFrame, regions: tuple[str, ...] = tuple(C.REGION_PAIRS)) -> DataFrame:
     """One row per region whose name occurs in ``vd_id`` (a detector may match several)."""
-    names = F.array(*[F.lit(r) for r in regions])
-    return vd.withColumn(
-        "region", F.explode(F.filter(names, lambda r: F.col("vd_id").contains(r)))
-    )
+    hits = F.array(*[F.when(F.col("vd_id").contains(r), r) for r in regions])
+    return vd.withColumn("region", F.explode(hits)).where(F.col("region").isNotNull())
 
 
 def region_bins(

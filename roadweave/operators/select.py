@@ -42,6 +42,8 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> list[list[float]]:
     Only the (columns x columns) matrix reaches the driver.
     """
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    if filled.limit(2).count() < 2:
+        return [[math.nan] * len(features) for _ in features]
     vectors = VectorAssembler(inputCols=features, outputCol="v").transform(filled).select("v")
     return Correlation.corr(vectors, "v").head()[0].toArray().tolist()
 
@@ -166,8 +168,14 @@ def select_features(
 def fit_on_first_day(
     fused: DataFrame, target: str = FUSED_TARGET, k: int = 15, date: str = "date"
 ) -> FrozenFeatures:
-    """Select and scale on the earliest date only; the result is applied to every date."""
-    first = fused.agg(F.min(date)).first()[0]
+    """Select and scale on the earliest usable date; the result is applied to every date.
+
+    A date is usable with at least three rows, the fewest an F statistic needs.
+    """
+    per_date = fused.groupBy(date).agg(F.count(F.lit(1)).alias("n"))
+    first = per_date.agg(
+        F.coalesce(F.min(F.when(F.col("n") >= 3, F.col(date))), F.min(date))
+    ).first()[0]
     day = fused.where(F.col(date) == F.lit(first))
     return fit_scaler(day, select_features(day, target, k), target)
 

@@ -108,8 +108,8 @@ def pair_stats(etag: DataFrame, by: list[str] | None = None) -> DataFrame:
 def gantry_day_summary(etag: DataFrame) -> DataFrame:
     """One row per date with validity, time range, vehicle-type and pair figures.
 
-    The fine (date, pair, type) counts are made in one aggregation; the maps are
-    built from those few rows.
+    Fine (date, pair, type) counts come from one aggregation; totals and maps are
+    built from grouping sets over those few rows.
     """
     fine = (
         etag.withColumn("date", F.to_date("update_time"))
@@ -122,30 +122,37 @@ def gantry_day_summary(etag: DataFrame) -> DataFrame:
             F.max("update_time").alias("t1"),
         )
     )
-    def as_map(key: str, value: str, name: str) -> DataFrame:
-        return (
-            fine.groupBy("date", key)
-            .agg(F.sum(value).alias("v"))
-            .groupBy("date")
-            .agg(
-                F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "v")))).alias(name)
-            )
+    keys = ["date", "etag_pair_id", "vehicle_type_name"]
+    sets = fine.groupingSets([["date", "etag_pair_id"], ["date", "vehicle_type_name"]], *keys).agg(
+        F.grouping("etag_pair_id").alias("by_type"),
+        F.sum("n").alias("n"),
+        F.sum("valid").alias("valid"),
+        F.sum("vehicles").alias("vehicles"),
+        F.min("t0").alias("t0"),
+        F.max("t1").alias("t1"),
+    )
+    pair, kind = F.col("by_type") == 0, F.col("by_type") == 1
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(pair, F.col(c)))
+
+    def as_map(rows: Column, key: str, value: str) -> Column:
+        return F.map_from_entries(
+            F.sort_array(F.collect_list(F.when(rows, F.struct(key, value))))
         )
 
     span = F.unix_micros(F.max("t1").cast("timestamp")) - F.unix_micros(F.min("t0").cast("timestamp"))
-    totals = fine.groupBy("date").agg(
-        F.sum("n").alias("total_records"),
-        F.sum("valid").alias("valid_records"),
-        (F.sum("valid") * 100.0 / F.sum("n")).alias("validity_rate"),
-        F.countDistinct("etag_pair_id").alias("unique_pairs"),
+    return sets.groupBy("date").agg(
+        total("n").alias("total_records"),
+        total("valid").alias("valid_records"),
+        (total("valid") * 100.0 / total("n")).alias("validity_rate"),
+        F.count_if(pair).alias("unique_pairs"),
         F.min("t0").alias("start_time"),
         F.max("t1").alias("end_time"),
         (span / F.lit(3_600_000_000.0)).alias("span_hours"),
-    )
-    return (
-        totals.join(as_map("vehicle_type_name", "n", "vehicle_type_distribution"), "date")
-        .join(as_map("etag_pair_id", "vehicles", "pair_vehicle_count"), "date")
-        .join(as_map("etag_pair_id", "valid", "pair_data_valid"), "date")
+        as_map(kind, "vehicle_type_name", "n").alias("vehicle_type_distribution"),
+        as_map(pair, "etag_pair_id", "vehicles").alias("pair_vehicle_count"),
+        as_map(pair, "etag_pair_id", "valid").alias("pair_data_valid"),
     )
 
 

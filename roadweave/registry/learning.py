@@ -487,14 +487,15 @@ _PRED = f"""{V.READINGS_SQL}, pred as (select * from (select vd_id, lane_id, upd
 
 @query(
     "model_metrics",
-    f"""with {_PRED} select model, {big('n')}, {num('rmse')}, {num('mae')}, {num('r2')}, {num('mape')},
+    f"""with {_PRED} select model, {big('n')}, {num('rmse')}, {num('mae')}, {num('r2')}, {num('round(mape, 2)', 'mape')},
     {num('hit', 'accuracy_rate')}, case when r2 > 0.8 then 'excellent' when r2 > 0.7 then 'good'
       when r2 > 0.5 then 'acceptable' else 'insufficient' end as r2_band,
     {big('row_number() over (order by r2 desc, model)', 'rank')} from scored""",
 )
 def _metrics(spark, sf):
     scored = metrics.model_metrics(_predictors(spark, sf), "speed", ["last", "mean3"])
-    return metrics.rank_models(scored)
+    # near-zero speeds make mape huge, beyond six exact decimals
+    return metrics.rank_models(scored).withColumn("mape", F.round("mape", 2))
 
 
 @query(

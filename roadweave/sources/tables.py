@@ -34,30 +34,39 @@ def write_days(
     )
 
 
+def dates_in(df: DataFrame) -> list:
+    """The distinct dates of a table (bounded by the calendar)."""
+    return [r[0] for r in df.select("date").distinct().collect()]
+
+
+def on_dates(df: DataFrame, dates: list) -> DataFrame:
+    """Rows of the given dates; the literal list prunes partitions."""
+    return df.where(F.col("date").isin(dates))
+
+
 def append_new(
     df: DataFrame,
     path: str,
     key: tuple[str, ...] = LANE_KEY,
     partitions: tuple[str, ...] = ("date",),
-) -> None:
-    """Append the rows whose key the table does not hold yet.
+) -> list:
+    """Append the rows whose key the table does not hold yet; return the dates at hand.
 
     The rows are written to the shared folder first, so their source is read once.
-    Of the table only the key columns of the dates at hand are read back. Running a
-    day again neither loses nor repeats rows.
+    Of the table only the key columns of those dates are read back. Running a day
+    again neither loses nor repeats rows.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates(list(key))
+    fresh = materialize(df.dropDuplicates(list(key)), "append")
+    dates = dates_in(fresh)
     if exists(spark, path):
-        fresh = materialize(fresh, "append")
-        stored = spark.read.parquet(path).select(*key)
-        dates = fresh.select("date").distinct()
-        touched = stored.join(F.broadcast(dates), "date", "left_semi")
-        fresh = fresh.join(touched, list(key), "left_anti")
+        stored = on_dates(spark.read.parquet(path), dates).select(*key)
+        fresh = fresh.join(stored, list(key), "left_anti")
     write_days(fresh, path, partitions, mode="append")
+    return dates
 
 
-def write_lane_days(vd: DataFrame, path: str) -> None:
+def write_lane_days(vd: DataFrame, path: str) -> list:
     """Lane rows with their time category, partitioned by date and category.
 
     Peak and off-peak copies are filters on ``time_category``, not further files.
@@ -67,7 +76,7 @@ def write_lane_days(vd: DataFrame, path: str) -> None:
         if "time_category" in vd.columns
         else vd.withColumn("time_category", time_category(F.col("update_time")))
     )
-    append_new(labelled, path, LANE_KEY, ("date", "time_category"))
+    return append_new(labelled, path, LANE_KEY, ("date", "time_category"))
 
 
 def load_days(
@@ -97,7 +106,7 @@ def named_dataset(df: DataFrame, name: str) -> DataFrame:
 
 def prefer(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
     """Cleaned days, and raw rows of the days that were not cleaned."""
-    done = cleaned.select("date").distinct()
+    done = cleaned.select("date").distinct()  # bounded by the calendar
     rest = raw.join(F.broadcast(done), "date", "left_anti")
     return cleaned.unionByName(rest, allowMissingColumns=True)
 
