@@ -404,20 +404,20 @@ def _pairs(spark, sf):
     {num('(epoch(max(update_time)) - epoch(min(update_time))) / 3600.0', 'span_hours')},
     {big("count(*) filter (vehicle_type_name = '小客車')", 'cars')},
     {big("count(*) filter (vehicle_type_name = '未知(99)')", 'unknown_types')},
-    {big("sum(vehicle_count) filter (etag_pair_id = '01F0017N-01F0005N')", 'north_vehicles')},
-    {big("sum(data_valid) filter (etag_pair_id = '01F0017N-01F0005N')", 'north_valid')}
+    {big("coalesce(sum(vehicle_count) filter (etag_pair_id = '01F0017N-01F0005N'), 0)", 'north_vehicles')},
+    {big("coalesce(sum(data_valid) filter (etag_pair_id = '01F0017N-01F0005N'), 0)", 'north_valid')}
     from tolls group by date""",
 )
 def _gantry_days(spark, sf):
     df = summary.gantry_day_summary(V.tolls(spark, sf))
 
     def pick(column: str, key: str):
-        return F.try_element_at(F.col(column), F.lit(key))
+        return F.coalesce(F.try_element_at(F.col(column), F.lit(key)), F.lit(0))
 
     return df.withColumns(
         {
-            "cars": F.coalesce(pick("vehicle_type_distribution", "小客車"), F.lit(0)),
-            "unknown_types": F.coalesce(pick("vehicle_type_distribution", "未知(99)"), F.lit(0)),
+            "cars": pick("vehicle_type_distribution", "小客車"),
+            "unknown_types": pick("vehicle_type_distribution", "未知(99)"),
             "north_vehicles": pick("pair_vehicle_count", "01F0017N-01F0005N"),
             "north_valid": pick("pair_data_valid", "01F0017N-01F0005N"),
         }

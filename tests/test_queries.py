@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -31,7 +32,7 @@ def rows(pdf):
         out.append(
             tuple(
                 None
-                if v is None or v != v or repr(v) in ("<NA>", "NaT")
+                if pd.isna(v)
                 else (float(v) if not isinstance(v, str) else v)
                 for v in r
             )
