@@ -41,11 +41,15 @@ def _mean2(a: Column, b: Column) -> Column:
     return (a + b) / F.lit(2.0)
 
 
-def fused_row_features(aligned: DataFrame) -> DataFrame:
-    """All features of an aligned row that need no other row."""
+def _require(aligned: DataFrame) -> None:
     missing = [c for c in FUSED_REQUIRED if c not in aligned.columns]
     if missing:
         raise ValueError(f"aligned table lacks {missing}")
+
+
+def fused_row_features(aligned: DataFrame) -> DataFrame:
+    """All features of an aligned row that need no other row."""
+    _require(aligned)
     v, e = F.col("vd_speed"), F.col("etag_speed")
     vol, cnt = F.col("vd_volume"), F.col("etag_volume")
     occ = F.col("vd_occupancy")
@@ -100,15 +104,22 @@ def fused_features(
     are 0 where missing or where the date has at most two rows. ``by_vehicle``
     keeps vehicle types apart.
     """
-    rows = fused_row_features(aligned)
+    _require(aligned)
+    # Only the lagged values go through the shuffle; the row features follow it.
+    lean = aligned.withColumns(
+        {
+            "speed_mean": _mean2(F.col("vd_speed"), F.col("etag_speed")),
+            "volume_mean": _mean2(F.col("vd_volume"), F.col("etag_volume")),
+        }
+    )
     keys = ["date", "region", "etag_pair"] + (["vehicle_type_code"] if by_vehicle else [])
     order = ["datetime", "flow_pos"]
     periods = (1, 2)
     lagged = series.lags(
-        rows, keys, order, list(FUSED_LAGGED), periods, fill=0.0, max_rows=max_rows
+        lean, keys, order, list(FUSED_LAGGED), periods, fill=0.0, max_rows=max_rows
     )
-    # A day of at most two rows gets no lags at all. Day counts are one row per
-    # date, so they are joined as a checked small side by AQE.
+    # A day of at most two rows gets no lags at all. There is at most one such row
+    # per calendar date.
     short = (
         aligned.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max(periods))
     )
@@ -116,9 +127,11 @@ def fused_features(
         F.broadcast(short.select("date", F.lit(True).alias("_short"))), "date", "left"
     )
     names = [f"{t}_lag_{p}" for p in periods for t in FUSED_LAGGED]
-    return tagged.withColumns(
-        {c: F.when(F.col("_short"), 0.0).otherwise(F.col(c)) for c in names}
-    ).drop("_short")
+    return fused_row_features(
+        tagged.withColumns(
+            {c: F.when(F.col("_short"), 0.0).otherwise(F.col(c)) for c in names}
+        ).drop("_short")
+    )
 
 
 def complete_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -195,17 +208,17 @@ def station_features(
     horizon: int = 0,
     max_rows: int | None = series.MAX_SLICE_ROWS,
 ) -> DataFrame:
-    """Calendar, station, lag, rolling and interaction features, one shuffle for the windows.
+    """Lag, rolling, calendar, station and interaction features.
 
+    The windows come first, so their one shuffle carries the input columns only.
     Lags and rolling frames stay within a station lane. With ``horizon`` the label
     that many rows ahead is added.
     """
-    base = vd.withColumns(station_calendar(F.col("update_time")))
-    base = station_columns(base, encoding)
     wide = series.lags_and_rolling(
-        base, list(keys), list(order), list(targets), horizon=horizon, max_rows=max_rows
+        vd, list(keys), list(order), list(targets), horizon=horizon, max_rows=max_rows
     )
-    return interactions(wide)
+    wide = wide.withColumns(station_calendar(F.col("update_time")))
+    return interactions(station_columns(wide, encoding))
 
 
 def numeric_columns(df: DataFrame, exclude: list[str]) -> list[str]:

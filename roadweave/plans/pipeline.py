@@ -59,6 +59,10 @@ class Store:
     def fused(self) -> str:
         return self.path("processed", "fused")
 
+    @property
+    def ledger(self) -> str:
+        return self.path("ledger", "vd")
+
     @property
     def models(self) -> str:
         return self.path("models")
@@ -69,19 +73,21 @@ class Store:
 
 def process_target_route_data(spark: SparkSession, store: Store, max_files: int | None = None) -> DataFrame:
     """Ingest new detector files and return the lane table."""
-    jobs.ingest_vd(
-        spark,
-        store.raw_vd,
-        store.lanes,
-        store.path("checkpoints", "vd"),
-        max_files,
-        store.path("archive", "vd"),
-    )
+    if tables.exists(spark, store.raw_vd):
+        jobs.ingest_vd(
+            spark,
+            store.raw_vd,
+            store.lanes,
+            store.path("checkpoints", "vd"),
+            max_files,
+            store.path("archive", "vd"),
+            store.ledger,
+        )
     return load_target_route_data(spark, store)
 
 
 def load_target_route_data(spark: SparkSession, store: Store, date: str | None = None) -> DataFrame:
-    return tables.load_days(spark, store.lanes, date)
+    return tables.load_days(spark, store.lanes, date, tables.LANE_SCHEMA)
 
 
 def process_etag_data(spark: SparkSession, store: Store, max_files: int | None = None) -> DataFrame:
@@ -98,12 +104,15 @@ def get_etag_summary(spark: SparkSession, store: Store) -> DataFrame:
 
 def check_system_readiness(spark: SparkSession, store: Store) -> DataFrame:
     """Pending files, stored dates and what to do next."""
-    pending = documents.vd_documents(spark, store.raw_vd).select("file_name")
-    if tables.exists(spark, store.lanes):
-        dates = tables.available_dates(tables.load_days(spark, store.lanes))
+    if tables.exists(spark, store.raw_vd):
+        names = documents.vd_documents(spark, store.raw_vd).select("file_name")
+        done = tables.load_days(spark, store.ledger, empty="archived_name string")
+        pending = documents.pending_files(names, done)
     else:
-        dates = spark.createDataFrame([], "date date")
-    return profile.next_action(pending, dates)
+        pending = spark.createDataFrame([], "file_name string")
+    return profile.next_action(
+        pending, tables.available_dates(load_target_route_data(spark, store))
+    )
 
 
 def auto_process_data(spark: SparkSession, store: Store) -> DataFrame:
@@ -136,7 +145,7 @@ def load_cleaned_data(spark: SparkSession, store: Store, date: str | None = None
 
 def load_vd(spark: SparkSession, store: Store) -> DataFrame:
     """Cleaned days where there are any, else the lanes as ingested."""
-    raw = tables.load_days(spark, store.lanes)
+    raw = load_target_route_data(spark, store)
     if not tables.exists(spark, store.cleaned):
         return raw
     return tables.prefer(tables.load_days(spark, store.cleaned), raw)

@@ -9,6 +9,11 @@ from roadweave.functions.times import time_category
 from roadweave.session import materialize
 
 LANE_KEY = ("date", "vd_id", "lane_id", "update_time")
+LANE_SCHEMA = (
+    "update_time timestamp, vd_id string, lane_id int, lane_type int, speed int, occupancy int,"
+    " volume_total int, volume_small int, volume_large int, volume_truck int, speed_small int,"
+    " speed_large int, speed_truck int, date date, time_category string"
+)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -80,11 +85,15 @@ def write_lane_days(vd: DataFrame, path: str) -> list:
 
 
 def load_days(
-    spark: SparkSession, path: str, date: str | None = None, schema: str | None = None
+    spark: SparkSession, path: str, date: str | None = None, empty: str | None = None
 ) -> DataFrame:
-    """All dates or one; an absent date gives no rows. The filter prunes partitions."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
+    """All dates or one; an absent date gives no rows. The filter prunes partitions.
+
+    With the schema ``empty`` a table that was never written reads as no rows.
+    """
+    if empty is not None and not exists(spark, path):
+        return spark.createDataFrame([], empty)
+    df = spark.read.parquet(path)
     return df if date is None else df.where(F.col("date") == F.to_date(F.lit(date)))
 
 

@@ -151,6 +151,7 @@ def test_ingest_is_incremental_and_archives(spark, tmp_path):
     put(raw / "VD_0815.xml", VD)
     assert pipeline.check_system_readiness(spark, store).first()["next_action"] == "process_raw_files"
     assert pipeline.process_target_route_data(spark, store).count() == 3
+    assert pipeline.check_system_readiness(spark, store).first()["next_action"] == "proceed_to_analysis"
     # the same rows under another name are not stored twice; a known name is skipped
     put(raw / "again" / "VD_copy.xml", VD)
     put(raw / "other" / "VD_0815.xml", VD.replace("08:15:00", "09:15:00"))
@@ -195,3 +196,11 @@ def test_file_schemas_and_drift(spark, tmp_path):
     assert (odd["modal_count"], odd["extra_columns"], odd["missing_columns"]) == (2, ["c", "d"], ["b"])
     hist = {r["column_count"]: r["files"] for r in tables.column_histogram(files).collect()}
     assert hist == {2: 2, 3: 1}
+
+
+def test_empty_store(spark, tmp_path):
+    store = pipeline.Store(str(tmp_path / "nothing"))
+    assert pipeline.check_system_readiness(spark, store).first()["next_action"] == "add_raw_files"
+    assert pipeline.process_target_route_data(spark, store).count() == 0
+    assert pipeline.load_target_route_data(spark, store, "2025-06-23").count() == 0
+    assert pipeline.auto_process_data(spark, store).first()["overall_readiness"] == "no_data"
