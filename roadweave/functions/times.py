@@ -98,9 +98,3 @@ def floor_bin(ts: Column, minutes: int = C.BIN_MINUTES) -> Column:
     secs = F.unix_seconds(ts.cast("timestamp"))
     return F.timestamp_seconds(secs - F.pmod(secs, F.lit(width)))
 
-
-def nearest_bin(ts: Column, minutes: int = C.BIN_MINUTES) -> Column:
-    """Bin start nearest to ``ts``; the earlier one when it lies exactly between two."""
-    half = minutes * 30 * 1_000_000
-    micros = F.unix_micros(ts.cast("timestamp")) + F.lit(half - 1)
-    return floor_bin(F.timestamp_micros(micros), minutes)

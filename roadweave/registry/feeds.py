@@ -916,11 +916,31 @@ def _actions(spark, sf):
     return pr.actions(_ready(spark, sf))
 
 
-@query("report")
+@query(
+    "report",
+    f"""with {_FIT} select {big('total', 'total_records')}, {num('q', 'overall_quality')},
+      {num('done', 'avg_completeness')}, 3::bigint as datasets,
+      (select count(*) from best where place <= 3)::bigint as recommended,
+      coalesce((select max(model) from best where place = 1), '') as top_model from overall""",
+)
 def _full_report(spark, sf):
-    """The whole analysis as one JSON document (its parts are checked one by one)."""
+    """The whole analysis as one JSON document, some of it read back."""
     rollup = materialize(_rollup(spark, sf), "station-day")
-    return summary.to_json_report(pr.report(rollup))
+    doc = summary.to_json_report(pr.report(rollup))
+
+    def field(path):
+        return F.get_json_object("report", path)
+
+    names = F.from_json(field("$.recommendations"), "array<struct<model:string>>")
+    parts = F.from_json(field("$.data_summary"), "array<struct<dataset:string>>")
+    return doc.select(
+        field("$.time_coverage.total_records").cast("long").alias("total_records"),
+        field("$.quality_assessment.overall_quality").cast("double").alias("overall_quality"),
+        field("$.prediction_readiness.avg_completeness").cast("double").alias("avg_completeness"),
+        F.size(parts).alias("datasets"),
+        F.size(names).alias("recommended"),
+        F.coalesce(F.try_element_at(names, F.lit(1))["model"], F.lit("")).alias("top_model"),
+    )
 
 
 @query(
@@ -1038,9 +1058,15 @@ def _completeness(spark, sf):
     return tables.file_completeness(files, 8)
 
 
-@query("table_files")
+@query(
+    "table_files",
+    f"""with {V.READINGS_SQL} select {day()}, {big('count(*)', 'records')}, 1::bigint as has_files
+    from readings group by date""",
+)
 def _files(spark, sf):
-    """Files, rows and size per date of a stored table (sizes depend on the writer)."""
+    """Files and exact rows per date of a stored table (sizes depend on the writer)."""
     path = scratch_path(spark, "files")
     tables.write_days(V.readings(spark, sf), path)
-    return tables.store_files(spark, path)
+    return tables.store_files(spark, path).select(
+        "date", "records", (F.col("files") > 0).cast("int").alias("has_files")
+    )

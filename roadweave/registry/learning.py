@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave import constants as C
-from roadweave.operators import align as al
 from roadweave.operators import features as ft
-from roadweave.operators import metrics, models, select, series, split, summary
+from roadweave.operators import metrics, models, select, series, split
 from roadweave.registry import views as V
 from roadweave.registry.base import big, day, num, query, ts
 from roadweave.registry.feeds import aligned, vd_xml
@@ -171,6 +170,12 @@ def _split_ties(spark, sf):
 # --- fused features ---------------------------------------------------------------
 
 
+def _stored_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The aligned table as its stage stores it, so that it is computed once."""
+    return materialize(aligned(spark, sf), "aligned")
+
+
+
 def _ratio(a: str, b: str) -> str:
     return f"(case when ({b}) + 1 = 0 then null else ({a})::double / (({b}) + 1) end)"
 
@@ -256,7 +261,7 @@ _FUSED_COLS = ["date", "datetime", "region", "etag_pair", "flow_pos", *_FUSED_IN
     f"with {_fused_sql('date, region, etag_pair')} select {_FUSED_OUT} from fused",
 )
 def _fused(spark, sf):
-    return ft.fused_features(aligned(spark, sf)).select(*_FUSED_COLS)
+    return ft.fused_features(_stored_alignment(spark, sf)).select(*_FUSED_COLS)
 
 
 @query(
@@ -265,11 +270,21 @@ def _fused(spark, sf):
     f" {big('flow_pos')}, " + ", ".join(num(n) for n in _LAG_NAMES) + " from fused",
 )
 def _fused_vehicle(spark, sf):
-    out = ft.fused_features(aligned(spark, sf), by_vehicle=True)
+    out = ft.fused_features(_stored_alignment(spark, sf), by_vehicle=True)
     return out.select("date", "region", "etag_pair", "flow_pos", *_LAG_NAMES)
 
 
-@query("fusion_features_complete")
+_ZERO = ["hour_sin", "volume_mean", *_LAG_NAMES]
+
+
+@query(
+    "fusion_features_complete",
+    f"with {_fused_sql('date, region, etag_pair')} select {ts('datetime')}, region, "
+    + ", ".join(big(n) for n in _FUSED_INT)
+    + ", "
+    + ", ".join("0.0::double as " + n if n in _ZERO else num(n) for n in [*_FUSED_NUM, *_LAG_NAMES])
+    + " from fused",
+)
 def _fused_complete(spark, sf):
     """A table lacking some features gets them as 0.0 and keeps the core set."""
     slim = ft.fused_row_features(aligned(spark, sf)).drop("hour_sin", "volume_mean")
@@ -443,7 +458,7 @@ def _fused_quality(spark, sf):
 @query("selected_features")
 def _selected(spark, sf):
     """Candidates of the fused table, minus near-duplicates, the 15 best by F."""
-    wide = materialize(ft.fused_features(aligned(spark, sf)), "fused")
+    wide = materialize(ft.fused_features(_stored_alignment(spark, sf)), "fused")
     names = select.select_features(wide, k=15)
     rows = list(enumerate(names, 1))
     return spark.createDataFrame(rows, "position int, feature string")
@@ -452,7 +467,7 @@ def _selected(spark, sf):
 @query("fused_table")
 def _fused_table(spark, sf):
     """Selection and scaling frozen on the first day, all days transformed in one job."""
-    wide = materialize(ft.fused_features(aligned(spark, sf)), "fused")
+    wide = materialize(ft.fused_features(_stored_alignment(spark, sf)), "fused")
     return select.fit_on_first_day(wide).transform(wide)
 
 
@@ -512,8 +527,9 @@ def _best(spark, sf):
     "ensemble_by_r2",
     f"""with {_PRED}, w as (select greatest(0, max(r2) filter (model = 'last')) as wa,
       greatest(0, max(r2) filter (model = 'mean3')) as wb from scored)
-    select vd_id, {big('lane_id')}, {ts('update_time')}, {num('case when wa + wb > 0 then (last * wa + mean3 * wb) / (wa + wb) else (last + mean3) / 2 end', 'ensemble')}
-    from pred, w""",
+    select vd_id, {big('lane_id')}, {ts('update_time')},
+      {num('case when wa + wb > 0 then (last * wa + mean3 * wb) / (wa + wb) else (last + mean3) / 2 end',
+           'ensemble')} from pred, w""",
 )
 def _blend(spark, sf):
     out = metrics.blend_by_r2(_predictors(spark, sf), "speed", "last", "mean3")
