@@ -2,10 +2,11 @@
 
 A plain ``Window.partitionBy(key)`` puts the whole history of a key into one
 task. That is the best plan as long as every key is small. Keys with more than
-``max_rows`` rows are therefore cut into time slices that keep their order: a day,
-or a part of a day where a single day is still too much. Each slice gets copies
-("halo") of the few rows before and after it that the frames reach, so the values
-equal those of the unsplit window while no task holds more than one slice.
+``max_rows`` rows are therefore cut into slices that keep their order: a day, a part
+of a day where the day is still too much, and where a single instant holds too many
+rows, ranges of the tie-breaking column. Each slice gets copies ("halo") of the few
+rows before and after it that the frames reach, so the values equal those of the
+unsplit window while no task holds more than one slice.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_SLICE_ROWS = 2_000_000
 HOT_LIMIT = 100_000
 DAY_MICROS = 86_400 * 1_000_000
 
-_DAY, _PIECE, _HALO = "_slice_day", "_slice_piece", "_halo"
+_DAY, _PIECE, _INSTANT, _TIE = "_slice_day", "_slice_piece", "_slice_instant", "_slice_tie"
+_SLICE = (_DAY, _PIECE, _INSTANT, _TIE)
+_HALO = "_halo"
 
 
 def _certainly_small(df: DataFrame, max_rows: int) -> bool:
@@ -28,13 +32,19 @@ def _certainly_small(df: DataFrame, max_rows: int) -> bool:
     return int(str(stats.sizeInBytes())) < max_rows * 8
 
 
-def _heavy_groups(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
+def _heavy_groups(
+    df: DataFrame, keys: list[str], max_rows: int, *extra: Column
+) -> DataFrame | None:
     """Groups with more than ``max_rows`` rows and their size; None when there are none.
 
     There can be at most rows/max_rows of them. The list is broadcast only when it
     was seen to hold no more than HOT_LIMIT groups; else it stays distributed.
     """
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    heavy = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), *extra)
+        .where(F.col("_n") > max_rows)
+    )
     found = heavy.limit(HOT_LIMIT + 1).collect()
     if not found:
         return None
@@ -43,40 +53,59 @@ def _heavy_groups(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame |
     return F.broadcast(df.sparkSession.createDataFrame(found, heavy.schema))
 
 
-def _tag(df: DataFrame, groups: DataFrame, keys: list[str], into: str) -> DataFrame:
+def _tag(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the group's ``_n`` (and further figures); null in other groups."""
     cond = [df[k].eqNullSafe(groups[k]) for k in keys]
-    return df.join(groups, cond, "left").select(
-        *[df[c] for c in df.columns], groups["_n"].alias(into)
-    )
+    figures = [groups[c] for c in groups.columns if c not in keys]
+    return df.join(groups, cond, "left").select(*[df[c] for c in df.columns], *figures)
 
 
 def _with_slices(
-    df: DataFrame, keys: list[str], ts: str, max_rows: int | None, oversplit: int = 4
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None, oversplit: int = 4
 ) -> tuple[DataFrame, bool]:
     """``df`` with slice columns (a null day marks keys left whole), and whether any
-    key is cut at all."""
+    key is cut at all. Each finer level is only looked at when the one above it still
+    has heavy groups."""
     if max_rows is None or _certainly_small(df, max_rows):
         return df, False
-    heavy_keys = _heavy_groups(df.select(*keys), keys, max_rows)
-    if heavy_keys is None:
+    heavy = _heavy_groups(df.select(*keys), keys, max_rows)
+    if heavy is None:
         return df, False
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    pieces = F.ceil(F.col("_n") * oversplit / max_rows)
     # a missing time sorts first, in a slice of its own
     day = F.coalesce(F.floor(micros / F.lit(DAY_MICROS)).cast("int"), F.lit(-(2**31)))
-    sliced = (
-        _tag(df, heavy_keys, keys, "_key_n")
-        .withColumn(_DAY, F.when(F.col("_key_n").isNotNull(), day))
-        .drop("_key_n")
-    )
-    days = [*keys, _DAY]
-    cut = sliced.where(F.col(_DAY).isNotNull()).select(*days)
-    heavy_days = _heavy_groups(cut, days, max_rows)
-    if heavy_days is None:
-        return sliced.withColumn(_PIECE, F.lit(0)), True
-    pieces = F.ceil(F.col("_day_n") * oversplit / max_rows)
+    none = {_PIECE: F.lit(0), _INSTANT: F.lit(None).cast("long"), _TIE: F.lit(0)}
+    out = _tag(df, heavy, keys).withColumn(_DAY, F.when(F.col("_n").isNotNull(), day)).drop("_n")
+    out = out.withColumns(none)
+
+    by = [*keys, _DAY]
+    heavy = _heavy_groups(out.where(F.col(_DAY).isNotNull()).select(*by), by, max_rows)
+    if heavy is None:
+        return out, True
     within = F.pmod(micros, F.lit(DAY_MICROS)) / F.lit(DAY_MICROS)
     part = F.coalesce(F.floor(within * pieces), F.lit(0)).cast("int")
-    return _tag(sliced, heavy_days, days, "_day_n").withColumn(_PIECE, part).drop("_day_n"), True
+    out = _tag(out, heavy, by).withColumn(_PIECE, part).drop("_n")
+
+    by = [*keys, _DAY, _PIECE]
+    heavy = _heavy_groups(out.where(F.col(_DAY).isNotNull()).select(*by), by, max_rows)
+    if heavy is None:
+        return out, True
+    # in a part that is still heavy every instant is a slice
+    out = _tag(out, heavy, by).withColumn(_INSTANT, F.when(F.col("_n").isNotNull(), micros)).drop("_n")
+    tie = order[1] if len(order) > 1 else None
+    if tie is None or not isinstance(df.schema[tie].dataType, T.IntegralType):
+        return out, True
+    by = [*keys, _INSTANT]
+    low, high = F.min(tie).cast("long").alias("_lo"), F.max(tie).cast("long").alias("_hi")
+    heavy = _heavy_groups(
+        out.where(F.col(_INSTANT).isNotNull()).select(*by, tie), by, max_rows, low, high
+    )
+    if heavy is None:
+        return out, True
+    share = (F.col(tie) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    range_no = F.coalesce(F.floor(share * pieces), F.lit(0)).cast("int")
+    return _tag(out, heavy, by).withColumn(_TIE, range_no).drop("_n", "_lo", "_hi"), True
 
 
 def _halo_rows(
@@ -89,14 +118,14 @@ def _halo_rows(
     # slice and map task before the shuffle.
     edge = (
         sliced.withColumn(
-            "_rn", F.row_number().over(Window.partitionBy(*keys, _DAY, _PIECE).orderBy(*down))
+            "_rn", F.row_number().over(Window.partitionBy(*keys, *_SLICE).orderBy(*down))
         )
         .where(F.col("_rn") <= reach)
         .drop("_rn")
     )
-    payload = [c for c in edge.columns if c not in (*keys, _DAY, _PIECE)]
+    payload = [c for c in edge.columns if c not in (*keys, *_SLICE)]
     series = Window.partitionBy(*keys).orderBy(*up)
-    slice_id = F.struct(_DAY, _PIECE)
+    slice_id = F.struct(*_SLICE)
     enters = ~F.lag(slice_id).over(series).eqNullSafe(slice_id)
     carried = (
         edge.withColumn("_enter", enters)
@@ -105,9 +134,9 @@ def _halo_rows(
             F.collect_list(F.struct(*payload)).over(series.rowsBetween(-reach, -1)),
         )
         .where("_enter")
-        .select(*keys, _DAY, _PIECE, F.explode("_near").alias("_r"))
+        .select(*keys, *_SLICE, F.explode("_near").alias("_r"))
     )
-    return carried.select(*keys, _DAY, _PIECE, *[F.col(f"_r.{c}").alias(c) for c in payload])
+    return carried.select(*keys, *_SLICE, *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
 def over_rows(
@@ -127,13 +156,11 @@ def over_rows(
     back and ``after`` rows ahead. ``max_rows=None`` skips the check for heavy
     keys, for callers that know every key to be small.
     """
-    sliced, is_cut = _with_slices(df, keys, order[0], max_rows)
-    window = Window.partitionBy(*keys, _DAY, _PIECE).orderBy(*order)
+    sliced, is_cut = _with_slices(df, keys, order, max_rows)
     if not is_cut:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns(build(window))
+        return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
     # Halo rows are only needed by the keys that are cut.
-    lean = sliced.select(*dict.fromkeys([*keys, *order, *values]), _DAY, _PIECE).where(
+    lean = sliced.select(*dict.fromkeys([*keys, *order, *values]), *_SLICE).where(
         F.col(_DAY).isNotNull()
     )
     full = sliced.withColumn(_HALO, F.lit(False))
@@ -141,12 +168,8 @@ def over_rows(
         if reach:
             halo = _halo_rows(lean, keys, order, reach, forward).withColumn(_HALO, F.lit(True))
             full = full.unionByName(halo, allowMissingColumns=True)
-    added = build(window)
-    return (
-        full.withColumns(added)
-        .where(~F.col(_HALO))
-        .drop(_DAY, _PIECE, _HALO)
-    )
+    window = Window.partitionBy(*keys, *_SLICE).orderBy(*order)
+    return full.withColumns(build(window)).where(~F.col(_HALO)).drop(*_SLICE, _HALO)
 
 
 def lags(

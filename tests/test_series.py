@@ -47,7 +47,7 @@ def test_split_windows_equal_plain_windows(spark, max_rows):
 
 def test_heavy_keys_and_days_are_cut(spark):
     df = history(spark, 3)
-    cut, is_cut = series._with_slices(df, ["k"], "t", 3)
+    cut, is_cut = series._with_slices(df, ["k"], ["t", "i"], 3)
     assert is_cut
     sizes = cut.groupBy("k", "_slice_day", "_slice_piece").count()
     per_day = cut.groupBy("k", "_slice_day").count()
@@ -58,12 +58,31 @@ def test_only_heavy_keys_are_cut(spark):
     df = history(spark, 3)
     counts = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
     limit = sorted(counts.values())[-2]
-    cut, is_cut = series._with_slices(df, ["k"], "t", limit)
+    cut, is_cut = series._with_slices(df, ["k"], ["t", "i"], limit)
     assert is_cut
     sliced = {r["k"] for r in cut.where("_slice_day is not null").select("k").distinct().collect()}
     assert sliced == {"hot"}
 
 
+def test_one_instant_is_cut_by_its_tie(spark):
+    noon = T0 + dt.timedelta(hours=12)
+    rows = [("a", noon, i, float(i % 13)) for i in range(60)]
+    rows += [("a", noon + dt.timedelta(minutes=m), 900 + m, float(m)) for m in (-2, -1, 1, 2)]
+    rows += [("b", noon, 7, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, i int, v double")
+    cut, _ = series._with_slices(df, ["k"], ["t", "i"], 8)
+    sizes = cut.groupBy("k", *series._SLICE).count().agg(F.max("count")).first()[0]
+    assert sizes <= 8
+
+    def build(w):
+        return {"l3": F.lag("v", 3).over(w), "m": F.avg("v").over(w.rowsBetween(-3, 2))}
+
+    got = series.over_rows(df, ["k"], ["t", "i"], ["v"], build, before=3, after=2, max_rows=8)
+    want = df.withColumns(build(Window.partitionBy("k").orderBy("t", "i")))
+    cols = sorted(want.columns)
+    assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
+
+
 def test_small_input_keeps_the_plain_window(spark):
     df = history(spark, 3)
     out = series.lags(df, ["k"], ["t", "i"], ["v"])
