@@ -379,7 +379,7 @@ _SEL = ["vd_speed", "vd_volume", "etag_speed", "speed_diff", "volume_mean", "hou
 
 
 def _fused_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.fused_row_features(aligned(spark, sf))
+    return ft.fused_row_features(_stored_alignment(spark, sf))
 
 
 @query(

@@ -115,7 +115,7 @@ def parse_vd(docs: DataFrame, strict: bool = False, route_only: bool = True) ->
     used and ``time_is_fallback`` is 1.
     """
     root = F.from_xml("content", VD_SCHEMA, _OPTIONS)
-    parsed = docs.select("file_name", "modified", root.alias("r")).where(F.col("r").isNotNull())
+    parsed = docs.select("file_name", "modified", root.alias("r"))
     stated = _xml_time(F.col("r.UpdateTime"))
     lives = F.concat(
         F.coalesce("r.VDLive", _empty(_VDLIVE)), F.coalesce("r.VDLives.VDLive", _empty(_VDLIVE))
@@ -124,7 +124,8 @@ def parse_vd(docs: DataFrame, strict: bool = False, route_only: bool = True) ->
         "file_name",
         F.coalesce(stated, "modified").alias("update_time"),
         stated.isNull().cast("int").alias("time_is_fallback"),
-        F.explode(lives).alias("vd"),
+        # outer: a filter inferred for an inner explode would parse each document again
+        F.explode_outer(lives).alias("vd"),
     ).where(F.col("vd.VDID").isNotNull())
     if route_only:
         per_vd = per_vd.where(rules.is_target_route(F.col("vd.VDID"), strict))
@@ -182,19 +183,31 @@ def lane_columns() -> list[Column]:
     ]
 
 
+def _named_digits(file_name: Column) -> Column:
+    return F.regexp_extract(file_name, r"^ETagPairLive_(?:.*_)?(\d{4})\.xml\.gz$", 1)
+
+
+def _named_time(folder_date: Column, file_name: Column) -> Column:
+    digits = _named_digits(file_name)
+    hour = F.substring(digits, 1, 2).try_cast("int")
+    minute = F.substring(digits, 3, 2).try_cast("int")
+    y, m, d = F.year(folder_date), F.month(folder_date), F.day(folder_date)
+    return F.try_make_timestamp(y, m, d, hour, minute, F.lit(0))
+
+
+def named_time_is_possible(folder_date: Column, file_name: Column) -> Column:
+    """False for a name whose four digits are no time of day; such a file is skipped."""
+    return (_named_digits(file_name) == "") | _named_time(folder_date, file_name).isNotNull()
+
+
 def gantry_time(folder_date: Column, file_name: Column, xml_time: Column) -> Column:
     """Time on the folder's date: from ``_HHMM`` of the name, else from the document,
-    else noon. Null where the name holds an impossible time."""
-    digits = F.regexp_extract(file_name, r"^ETagPairLive_(?:.*_)?(\d{4})\.xml\.gz$", 1)
-    named = digits != ""
+    else noon."""
     y, m, d = F.year(folder_date), F.month(folder_date), F.day(folder_date)
-    from_name = F.try_make_timestamp(
-        y, m, d, F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int"), F.lit(0)
-    )
     t = _xml_time(F.replace(xml_time, F.lit("Z"), F.lit("")))
     from_xml = F.try_make_timestamp(y, m, d, F.hour(t), F.minute(t), F.second(t))
     noon = F.try_make_timestamp(y, m, d, F.lit(12), F.lit(0), F.lit(0))
-    return F.when(named, from_name).otherwise(F.coalesce(from_xml, noon))
+    return F.coalesce(_named_time(folder_date, file_name), from_xml, noon)
 
 
 def _or_default(text: Column, default: str) -> Column:
@@ -210,15 +223,16 @@ def parse_etag(docs: DataFrame, targets_only: bool = True) -> DataFrame:
     ``flow_pos`` is the flow's place in its document.
     """
     root = F.from_xml("content", ETAG_SCHEMA, _OPTIONS)
-    parsed = docs.select("folder_date", "file_name", root.alias("r")).where(F.col("r").isNotNull())
+    readable = docs.where(named_time_is_possible(F.col("folder_date"), F.col("file_name")))
+    parsed = readable.select("folder_date", "file_name", root.alias("r"))
     when = gantry_time(F.col("folder_date"), F.col("file_name"), F.col("r.UpdateTime"))
     pairs = F.concat(
         F.coalesce("r.ETagPairLive", _empty(_PAIR)),
         F.coalesce("r.ETagPairLives.ETagPairLive", _empty(_PAIR)),
     )
     per_pair = parsed.select(
-        when.alias("update_time"), F.posexplode(pairs).alias("pair_pos", "pair")
-    ).where(F.col("update_time").isNotNull())
+        when.alias("update_time"), F.posexplode_outer(pairs).alias("pair_pos", "pair")
+    )
     per_flow = per_pair.select(
         "update_time",
         F.trim("pair.ETagPairId").alias("etag_pair_id"),

@@ -204,3 +204,13 @@ def test_empty_store(spark, tmp_path):
     assert pipeline.process_target_route_data(spark, store).count() == 0
     assert pipeline.load_target_route_data(spark, store, "2025-06-23").count() == 0
     assert pipeline.auto_process_data(spark, store).first()["overall_readiness"] == "no_data"
+
+
+def test_each_document_is_parsed_once(spark, tmp_path):
+    put(tmp_path / "VD_0815.xml", VD)
+    put(tmp_path / "ETag_Data_20250625" / "ETagPairLive_1620.xml.gz", etag_xml(), True)
+    for df in (
+        documents.parse_vd(documents.vd_documents(spark, str(tmp_path))),
+        documents.parse_etag(documents.etag_documents(spark, str(tmp_path))),
+    ):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
