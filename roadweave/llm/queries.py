@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import licenses, mixing, sharding
+from roadweave.llm import ann, licenses, mixing, sharding, topk
 from roadweave.llm.common import table
 from roadweave.llm.registry import ORACLES, QUERIES, query
 
@@ -44,3 +44,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """License phrases and notices in every document."""
     return licenses.scan(table(spark, sf, "documents", "doc_id", "text")).drop("matches")
+
+
+@query("op6_top_k", topk.ORACLE)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return topk.top_k(table(spark, sf, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
+@query("op7_nearest")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """About the 10 nearest of every hundredth vector among all others."""
+    return ann.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
