@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import ann, licenses, mixing, sharding, topk
+from roadweave.llm import ann, html, licenses, mixing, neardup, passages, sharding, topk
 from roadweave.llm.common import table
 from roadweave.llm.registry import ORACLES, QUERIES, query
 
@@ -56,3 +56,22 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """About the 10 nearest of every hundredth vector among all others."""
     return ann.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-duplicate class of every document: three-word shingles, similarity 0.85 or more."""
+    return neardup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), k=3, percent=85)
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    return html.extract(pages, html.learn(pages))
+
+
+@query("op9_passages")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage of 50 words or more that an earlier document holds too."""
+    return passages.repeated_passages(table(spark, sf, "documents", "doc_id", "text"))
