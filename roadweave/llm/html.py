@@ -226,10 +226,11 @@ def main_text(page: str | None, weights: Weights) -> str:
 def learn(pages: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE) -> Weights:
     """Weights from labelled pages: the share of a context's words, or of a tag, inside the
     content; and how much tags cost against words, by the words that regions get right."""
-    rows = pages.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(page).alias("html"))
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
+    rows = pages.select(part.alias("h"), F.col(page).alias("html"))
     total = rows.count()
-    limit = int(min(1.0, sample / max(total, 1)) * (2**63 - 1))
-    chosen = rows.filter((F.shiftrightunsigned("h", 1) < limit) & F.col("html").isNotNull()).select("html")
+    limit = int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    chosen = rows.filter((F.col("h") < limit) & F.col("html").isNotNull()).select("html")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
