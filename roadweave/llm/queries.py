@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import ann, html, licenses, mixing, neardup, passages, sharding, topk
+from roadweave.llm import ann, html, licenses, mixing, neardup, passages, sharding, tokens, topk, toxicity
 from roadweave.llm.common import table
 from roadweave.llm.registry import ORACLES, QUERIES, query
 
@@ -75,3 +76,27 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every passage of 50 words or more that an earlier document holds too."""
     return passages.repeated_passages(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("tox_starts").alias("spans"),
+    )
+
+
+#: Vocabulary of op5 and of the pipeline.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op5_tokens")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's token ids and the text decoded from them, as digests."""
+    return tokens.digests(table(spark, sf, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
