@@ -29,6 +29,13 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, start: str) -> str:
+    """``start``, with underscores in front until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start = "_" + start
+    return start
+
+
 def unit_hash(*columns: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an md5 that any engine can repeat."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
@@ -54,4 +61,4 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield rest
 
 
-__all__ = ["WORD", "bounded", "runs", "scratch_path", "stored", "table", "unit_hash"]
+__all__ = ["WORD", "bounded", "runs", "scratch_path", "stored", "table", "unit_hash", "unused"]

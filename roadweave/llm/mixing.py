@@ -68,37 +68,39 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
     seed: int = 7,
+    prefix: str = "mix_",
 ) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies under ``mix_`` names.
+    """``docs`` with size, source_size, target, rate and copies behind ``prefix``.
 
     A document is taken floor(rate) times and once more if a number seeded by its key and
     size falls below the fraction. Null text has size 0; null sources form one source;
     rows of one key and size share their draw; an empty table stays empty. Columns of
-    ``docs`` keep their names and values, whatever they are called, but those that start
-    with ``mix_``. Reruns agree.
+    ``docs`` keep their names and values; the new names must not be among them
+    (``common.unused`` finds a prefix). Reruns agree.
     """
     sized = docs.select(F.col(source).alias("_source"), words(F.col(text)).alias("_size"))
     table = stored(targets(sized, weights, most), "mix-targets")
     lookup = table.select(
-        F.col("_source").alias("mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("rate").alias("mix_rate"),
+        F.col("_source").alias(f"{prefix}source"),
+        F.col("source_size").alias(f"{prefix}source_size"),
+        F.col("target").alias(f"{prefix}target"),
+        F.col("rate").alias(f"{prefix}rate"),
     )
-    data = docs.withColumn("mix_size", words(F.col(text)))
-    joined = data.join(bounded(lookup, SMALL_SOURCES), data[source].eqNullSafe(lookup["mix_source"]), "left")
-    whole = F.floor("mix_rate")
-    draw = unit_hash(F.lit(seed), F.col(key), F.col("mix_size"))
-    extra = (draw < F.col("mix_rate") - whole).cast("int")
-    return joined.drop("mix_source").withColumn("mix_copies", (whole + extra).cast("int"))
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each row of ``mix`` as often as it was taken, without the ``mix_`` columns."""
-    kept = [c for c in mixed.columns if not c.startswith("mix_")]
+    data = docs.withColumn(f"{prefix}size", words(F.col(text)))
+    same = F.col(f"`{source}`").eqNullSafe(F.col(f"{prefix}source"))
+    joined = data.join(bounded(lookup, SMALL_SOURCES), same, "left")
+    rate = F.col(f"{prefix}rate")
+    draw = unit_hash(F.lit(seed), F.col(key), F.col(f"{prefix}size"))
+    extra = (draw < rate - F.floor(rate)).cast("int")
+    return joined.drop(f"{prefix}source").withColumn(f"{prefix}copies", (F.floor(rate) + extra).cast("int"))
+
+
+def emit(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
+    """Each row of ``mix`` as often as it was taken, without the columns of ``prefix``."""
+    kept = [c for c in mixed.columns if not c.startswith(prefix)]
     return (
-        mixed.filter("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+        mixed.filter(f"{prefix}copies > 0")
+        .withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies"))))
         .select(*[F.col(f"`{c}`") for c in kept])
     )
 

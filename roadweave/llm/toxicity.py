@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from roadweave.llm.common import bounded, stored
 
-#: The model is learned from about this many labelled rows of each class, taken by the hash
-#: of their keys, and from at most WINDOWS stretches of REACH words on both sides of a word
-#: with features in each of them.
-SAMPLE, WINDOWS, REACH = 4_000, 20, 4
+#: The model is learned from about this many labelled rows that are not toxic and that are,
+#: taken by the hash of their keys, and from at most WINDOWS stretches of REACH words on both
+#: sides of a word with features in each of them.
+SAMPLE, WINDOWS, REACH = (12_000, 6_000), 20, 4
 #: A feature is used if it occurs in this many toxic rows; of these the FEATURES most telling.
 LEAST, FEATURES = 4, 4_000
 #: A word of a toxic row is labelled toxic if rows with one of its features are toxic with
@@ -136,24 +136,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1:] @ values, -50, 50))))
 
 
-def training(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
+def training(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: tuple[int, int]) -> DataFrame:
     """About ``sample`` labelled rows (text, toxic, weight) of each class, of rows that are not held out."""
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(label).cast("int").alias("toxic"))
-        .filter(~held_out(F.col("_key")))
+        .filter(~held_out(F.col("_key")) & F.col("toxic").isin(0, 1))
     )
     sizes = dict(known.groupBy("toxic").count().collect())
     share = F.lit(0.0)
     for value, n in sizes.items():
-        share = F.when(F.col("toxic") == value, min(1.0, sample / n)).otherwise(share)
+        share = F.when(F.col("toxic") == value, min(1.0, sample[value] / n)).otherwise(share)
     part = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
     chosen = known.filter(part < share).withColumn("weight", 1 / share)
     # at most about twice the sample, so small enough to send along
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     return stored(
-        rows.join(bounded(chosen, 4 * sample + 1_000), "_key").select("text", "toxic", "weight"), "toxic-sample"
+        rows.join(bounded(chosen, 2 * sum(sample) + 1_000), "_key").select("text", "toxic", "weight"), "toxic-sample"
     )
 
 
@@ -297,7 +297,7 @@ def learn(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    sample: int = SAMPLE,
+    sample: tuple[int, int] = SAMPLE,
 ) -> Model:
     """The field of a bounded sample of labelled rows whose crc32(key as text) mod 4 is not 2.
 
