@@ -18,8 +18,10 @@ from roadweave.llm.common import bounded, stored
 #: taken by the hash of their keys, and from at most WINDOWS stretches of REACH words on both
 #: sides of a word with features in each of them.
 SAMPLE, WINDOWS, REACH = (12_000, 6_000), 20, 4
-#: A feature is used if it occurs in this many toxic rows; of these the FEATURES most telling.
-LEAST, FEATURES = 4, 4_000
+#: A feature is used if it occurs in LEAST toxic rows and its counts are e^EVIDENCE times
+#: likelier under its own share of toxic rows than under that of all rows, which chance gives
+#: to one of a million features; of these the FEATURES most telling.
+LEAST, EVIDENCE, FEATURES = 4, 14.0, 4_000
 #: A word of a toxic row is labelled toxic if rows with one of its features are toxic with
 #: this smoothed probability, both classes weighing the same.
 SURE = 0.95
@@ -149,7 +151,7 @@ def training(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     for value, n in sizes.items():
         share = F.when(F.col("toxic") == value, min(1.0, sample[value] / n)).otherwise(share)
     part = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    chosen = known.filter(part < share).withColumn("weight", 1 / share)
+    chosen = known.filter(part < share).withColumn("weight", F.try_divide(F.lit(1.0), share))
     # at most about twice the sample, so small enough to send along
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     return stored(
@@ -181,6 +183,11 @@ def telling(rows: DataFrame) -> dict[str, tuple[float, float]]:
         return {}
     share = (F.col("toxic") + 0.5) / (n[1] + 1)
     other = (F.col("clean") + 0.5) / (n.get(0, 0) + 1)
+    q = n[1] / (n[1] + n.get(0, 0) + 1)
+    rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = F.col("toxic") * F.log(rate / q) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - q))
+    ).otherwise(0.0)
     found = (
         rows.select("text", "toxic")
         .mapInArrow(work, "feature string, clean long, toxic long")
@@ -189,7 +196,7 @@ def telling(rows: DataFrame) -> dict[str, tuple[float, float]]:
         .filter(F.col("toxic") >= LEAST)
         .withColumn("p", share / (share + other))
         .withColumn("z", F.sqrt("toxic") * F.log(share / other))
-        .filter("p > 0.6")
+        .filter((F.col("p") > 0.6) & (gain >= EVIDENCE))
         .orderBy(F.desc("z"), "feature")
         .limit(FEATURES)
         .collect()

@@ -1,0 +1,70 @@
+"""The pipeline against a plain version of its stages, and odd rows through all of it."""
+
+import random
+import zlib
+
+import corpus_pipeline
+import numpy as np
+from roadweave.llm import mixing
+from roadweave.llm.shingles import shingle_set
+
+
+def test_stages(spark, sf, make_docs, tmp_path):
+    r = random.Random(5)
+
+    def text(n):
+        return " ".join(f"t{r.randrange(4000)}" for _ in range(n))
+
+    passage = text(60)
+    base = text(120)
+    near = base.split()
+    near[60] = "other"
+    rows = [(i, text(90), f"s{i % 4}") for i in range(80)]
+    rows += [(100, base, "s0"), (101, " ".join(near), "s1"), (102, base, "s2")]
+    rows += [(110, text(40) + " " + passage, "s0"), (111, passage + " " + text(45), "s1")]
+    bad = [(200 + i, text(50) + " vilest rotten " + text(20), "s0") for i in range(60)]
+    rows += bad + [(300, None, "s0"), (301, "", None), (302, " ", "s3"), (7, rows[7][1], "s3")]
+    docs = make_docs(rows, clash=("mix_rate", "tox_score", "_spans", "ids"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, 1, int(200 <= i < 260)) for i, *_ in rows]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "tokens":
+            assert out.columns == docs.columns
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen.append(docs.toPandas())
+    kept = [set(x.doc_id.dropna().astype(int)) for x in seen]
+    clean = {i for i, *_ in rows if not 200 <= i < 260}
+    assert kept[0] == clean and len(seen[0]) == len(clean) + 1
+    sets = {i: set(shingle_set(t, 5).tolist()) for i, t, *_ in rows}
+    alike = {
+        i for i in clean for j in clean
+        if j < i and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert kept[1] == clean - alike == clean - {101, 102} and len(seen[1]) == len(kept[1])
+    assert kept[2] == kept[1]
+    texts = dict(zip(seen[2].doc_id, seen[2].text, strict=True))
+    assert passage in texts[110] and len(texts[111].split()) == 45
+    lengths = dict(zip(seen[2].doc_id, seen[2].n_chars, strict=True))
+    assert lengths[111] == len(texts[111])
+    again = mixing.mix(spark.read.parquet(f"{tmp_path}/substring_dedup").drop("mix_rate")).toPandas()
+    want = dict(zip(again.doc_id, again.mix_copies, strict=True))
+    got = seen[3].doc_id.value_counts().to_dict()
+    assert got == {i: n for i, n in want.items() if n}
+    assert len(seen[4]) == len(seen[3]) and seen[4].decoded_sha256.notna().all()
+
+
+def test_run(spark, sf):
+    out = corpus_pipeline.run(spark, sf).toPandas()
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    assert len(out) and out.doc_id.is_unique is not None
+
+
+def test_held_out_rule():
+    assert sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(4000)) in range(900, 1100)
+    assert np.isfinite(corpus_pipeline.SIMILARITY)
