@@ -10,6 +10,7 @@ from roadweave import constants as C
 from roadweave.functions.rules import congestion, speed_level
 from roadweave.functions.times import flag, fused_calendar, station_calendar
 from roadweave.operators import series
+from roadweave.session import materialize
 
 FUSED_KEYS = ("date", "datetime", "region", "etag_pair", "vehicle_type_code", "flow_pos")
 FUSED_TARGET = "speed_mean"
@@ -18,18 +19,49 @@ FUSED_LAGGED = ("speed_mean", "vd_speed", "volume_mean")
 
 # --- fixed value: columns every fused table has ----------------------------
 FUSED_CORE = (
-    "hour day_of_week is_weekend is_morning_peak is_evening_peak is_peak_hour hour_sin hour_cos "
-    "speed_diff speed_diff_abs speed_diff_ratio speed_mean speed_max speed_min "
-    "vd_speed_level etag_speed_level "
-    "volume_diff volume_diff_abs volume_diff_ratio volume_mean volume_max "
-    "vd_density etag_density density_ratio "
-    "vd_congestion etag_congestion congestion_mean "
-    "vd_efficiency etag_efficiency efficiency_ratio "
-    "occupancy_speed_ratio occupancy_volume_ratio "
-    "region_code is_yuanshan is_taipei is_sanchong "
-    "speed_mean_lag_1 vd_speed_lag_1 volume_mean_lag_1 "
-    "speed_mean_lag_2 vd_speed_lag_2 volume_mean_lag_2"
-).split()
+    "hour",
+    "day_of_week",
+    "is_weekend",
+    "is_morning_peak",
+    "is_evening_peak",
+    "is_peak_hour",
+    "hour_sin",
+    "hour_cos",
+    "speed_diff",
+    "speed_diff_abs",
+    "speed_diff_ratio",
+    "speed_mean",
+    "speed_max",
+    "speed_min",
+    "vd_speed_level",
+    "etag_speed_level",
+    "volume_diff",
+    "volume_diff_abs",
+    "volume_diff_ratio",
+    "volume_mean",
+    "volume_max",
+    "vd_density",
+    "etag_density",
+    "density_ratio",
+    "vd_congestion",
+    "etag_congestion",
+    "congestion_mean",
+    "vd_efficiency",
+    "etag_efficiency",
+    "efficiency_ratio",
+    "occupancy_speed_ratio",
+    "occupancy_volume_ratio",
+    "region_code",
+    "is_yuanshan",
+    "is_taipei",
+    "is_sanchong",
+    "speed_mean_lag_1",
+    "vd_speed_lag_1",
+    "volume_mean_lag_1",
+    "speed_mean_lag_2",
+    "vd_speed_lag_2",
+    "volume_mean_lag_2",
+)
 
 
 def _per(top: Column, bottom: Column) -> Column:
@@ -96,7 +128,7 @@ def fused_row_features(aligned: DataFrame) -> DataFrame:
 def fused_features(
     aligned: DataFrame,
     by_vehicle: bool = False,
-    max_rows: int | None = series.MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """The 47 candidate features and the target.
 
@@ -116,7 +148,7 @@ def fused_features(
     order = ["datetime", "flow_pos"]
     periods = (1, 2)
     lagged = series.lags(
-        lean, keys, order, list(FUSED_LAGGED), periods, fill=0.0, max_rows=max_rows
+        lean, keys, order, list(FUSED_LAGGED), periods, fill=0.0, parts=parts
     )
     # A day of at most two rows gets no lags at all. There is at most one such row
     # per calendar date.
@@ -149,18 +181,22 @@ def station_encoding(vd: DataFrame) -> DataFrame:
     return number_sorted(ids, "vd_id", "vd_encoded")
 
 
-def number_sorted(ids: DataFrame, column: str, code: str, prefix: int = 12) -> DataFrame:
+def number_sorted(ids: DataFrame, column: str, code: str) -> DataFrame:
     """Number distinct strings 0.. in sorted order.
 
-    Ids are counted per prefix first, so a prefix's offset comes from a small table
-    and a task sorts the ids of single prefixes only.
+    The ids are dealt by ranges and ranked inside each; a range's offset comes from the
+    ranges' sizes, of which there are as many as partitions.
     """
-    marked = ids.withColumn("_p", F.substring(column, 1, prefix))
-    sizes = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    dealt = ids.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    dealt = materialize(dealt, "numbers")
+    running = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        dealt.groupBy("_p")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_p", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_o"))
+    )
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    return marked.join(offsets.drop("_n"), "_p").select(
+    return dealt.join(F.broadcast(offsets), "_p").select(
         column, (F.col("_o") + rank - 1).cast("int").alias(code)
     )
 
@@ -206,7 +242,7 @@ def station_features(
     targets: tuple[str, ...] = ("speed",),
     encoding: DataFrame | None = None,
     horizon: int = 0,
-    max_rows: int | None = series.MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Lag, rolling, calendar, station and interaction features.
 
@@ -215,7 +251,7 @@ def station_features(
     that many rows ahead is added.
     """
     wide = series.lags_and_rolling(
-        vd, list(keys), list(order), list(targets), horizon=horizon, max_rows=max_rows
+        vd, list(keys), list(order), list(targets), horizon=horizon, parts=parts
     )
     wide = wide.withColumns(station_calendar(F.col("update_time")))
     return interactions(station_columns(wide, encoding))

@@ -1,12 +1,10 @@
-"""Row-frame window functions over long series, split where a series is heavy.
-
-A plain ``Window.partitionBy(key)`` puts the whole history of a key into one
-task. That is the best plan as long as every key is small. Keys with more than
-``max_rows`` rows are therefore cut into slices that keep their order: a day, a part
-of a day where the day is still too much, and where a single instant holds too many
-rows, ranges of the tie-breaking column. Each slice gets copies ("halo") of the few
-rows before and after it that the frames reach, so the values equal those of the
-unsplit window while no task holds more than one slice.
+"""Row-frame window functions over long series, cut into ranges of rows.
+
+A plain ``Window.partitionBy(key)`` puts the whole history of a key into one task. Here the
+table is first dealt by ranges of (key, order), so every part holds about as many rows as
+any other, however long a single series is. The rows of a key that runs over several parts
+are joined by copies ("halo") of the few rows before and behind each border that the frames
+reach. The values equal those of the plain window, and the plan is the same for any size.
 """
 
 from __future__ import annotations
@@ -15,128 +13,41 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MAX_SLICE_ROWS = 2_000_000
-HOT_LIMIT = 100_000
-DAY_MICROS = 86_400 * 1_000_000
-
-_DAY, _PIECE, _INSTANT, _TIE = "_slice_day", "_slice_piece", "_slice_instant", "_slice_tie"
-_SLICE = (_DAY, _PIECE, _INSTANT, _TIE)
-_HALO = "_halo"
-
 
-def _certainly_small(df: DataFrame, max_rows: int) -> bool:
-    """The planner's size estimate leaves less than 8 bytes for ``max_rows`` rows."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) < max_rows * 8
+from roadweave.session import materialize
 
+_PART, _HALO = "_series_part", "_series_halo"
 
-def _heavy_groups(
-    df: DataFrame, keys: list[str], max_rows: int, *extra: Column
-) -> DataFrame | None:
-    """Groups with more than ``max_rows`` rows and their size; None when there are none.
 
-    There can be at most rows/max_rows of them. The list is broadcast only when it
-    was seen to hold no more than HOT_LIMIT groups; else it stays distributed.
-    """
-    heavy = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), *extra)
-        .where(F.col("_n") > max_rows)
-    )
-    found = heavy.limit(HOT_LIMIT + 1).collect()
-    if not found:
-        return None
-    if len(found) > HOT_LIMIT:
-        return heavy
-    return F.broadcast(df.sparkSession.createDataFrame(found, heavy.schema))
-
-
-def _tag(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the group's ``_n`` (and further figures); null in other groups."""
-    cond = [df[k].eqNullSafe(groups[k]) for k in keys]
-    figures = [groups[c] for c in groups.columns if c not in keys]
-    return df.join(groups, cond, "left").select(*[df[c] for c in df.columns], *figures)
-
-
-def _with_slices(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None, oversplit: int = 4
-) -> tuple[DataFrame, bool]:
-    """``df`` with slice columns (a null day marks keys left whole), and whether any
-    key is cut at all. Each finer level is only looked at when the one above it still
-    has heavy groups."""
-    if max_rows is None or _certainly_small(df, max_rows):
-        return df, False
-    heavy = _heavy_groups(df.select(*keys), keys, max_rows)
-    if heavy is None:
-        return df, False
-    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    pieces = F.ceil(F.col("_n") * oversplit / max_rows)
-    # a missing time sorts first, in a slice of its own
-    day = F.coalesce(F.floor(micros / F.lit(DAY_MICROS)).cast("int"), F.lit(-(2**31)))
-    none = {_PIECE: F.lit(0), _INSTANT: F.lit(None).cast("long"), _TIE: F.lit(0)}
-    out = _tag(df, heavy, keys).withColumn(_DAY, F.when(F.col("_n").isNotNull(), day)).drop("_n")
-    out = out.withColumns(none)
-
-    by = [*keys, _DAY]
-    heavy = _heavy_groups(out.where(F.col(_DAY).isNotNull()).select(*by), by, max_rows)
-    if heavy is None:
-        return out, True
-    within = F.pmod(micros, F.lit(DAY_MICROS)) / F.lit(DAY_MICROS)
-    part = F.coalesce(F.floor(within * pieces), F.lit(0)).cast("int")
-    out = _tag(out, heavy, by).withColumn(_PIECE, part).drop("_n")
-
-    by = [*keys, _DAY, _PIECE]
-    heavy = _heavy_groups(out.where(F.col(_DAY).isNotNull()).select(*by), by, max_rows)
-    if heavy is None:
-        return out, True
-    # in a part that is still heavy every instant is a slice
-    out = _tag(out, heavy, by).withColumn(_INSTANT, F.when(F.col("_n").isNotNull(), micros)).drop("_n")
-    tie = order[1] if len(order) > 1 else None
-    if tie is None or not isinstance(df.schema[tie].dataType, T.IntegralType):
-        return out, True
-    by = [*keys, _INSTANT]
-    low, high = F.min(tie).cast("long").alias("_lo"), F.max(tie).cast("long").alias("_hi")
-    heavy = _heavy_groups(
-        out.where(F.col(_INSTANT).isNotNull()).select(*by, tie), by, max_rows, low, high
-    )
-    if heavy is None:
-        return out, True
-    share = (F.col(tie) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    range_no = F.coalesce(F.floor(share * pieces), F.lit(0)).cast("int")
-    return _tag(out, heavy, by).withColumn(_TIE, range_no).drop("_n", "_lo", "_hi"), True
+def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> DataFrame:
+    """``df`` by ranges of (key, order), with the number of its range; stored, so that
+    the numbers stay what they are."""
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return materialize(dealt.withColumn(_PART, F.spark_partition_id()), "series")
 
 
 def _halo_rows(
-    sliced: DataFrame, keys: list[str], order: list[str], reach: int, forward: bool
+    lean: DataFrame, keys: list[str], order: list[str], reach: int, forward: bool
 ) -> DataFrame:
-    """The ``reach`` rows bordering each slice, labelled with that slice."""
+    """The ``reach`` rows of a key bordering each of its parts, labelled with that part.
+
+    A part gives up to ``reach`` rows for a key, cut before the shuffle; a part takes the
+    nearest ones of the parts beside it. Per key that is one row for each part.
+    """
     down = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
-    up = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
-    # Edge rows of every slice: a row_number limit, cut to ``reach`` rows per
-    # slice and map task before the shuffle.
-    edge = (
-        sliced.withColumn(
-            "_rn", F.row_number().over(Window.partitionBy(*keys, *_SLICE).orderBy(*down))
-        )
-        .where(F.col("_rn") <= reach)
-        .drop("_rn")
+    rank = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*down))
+    edge = lean.withColumn("_rn", rank).where(F.col("_rn") <= reach)
+    payload = [c for c in lean.columns if c not in (*keys, _PART)]
+    # nearest row first, as seen from the part that takes them
+    lists = edge.groupBy(*keys, _PART).agg(
+        F.sort_array(F.collect_list(F.struct("_rn", *payload))).alias("_rows")
     )
-    payload = [c for c in edge.columns if c not in (*keys, *_SLICE)]
-    series = Window.partitionBy(*keys).orderBy(*up)
-    slice_id = F.struct(*_SLICE)
-    enters = ~F.lag(slice_id).over(series).eqNullSafe(slice_id)
-    carried = (
-        edge.withColumn("_enter", enters)
-        .withColumn(
-            "_near",
-            F.collect_list(F.struct(*payload)).over(series.rowsBetween(-reach, -1)),
-        )
-        .where("_enter")
-        .select(*keys, *_SLICE, F.explode("_near").alias("_r"))
-    )
-    return carried.select(*keys, *_SLICE, *[F.col(f"_r.{c}").alias(c) for c in payload])
+    toward = F.col(_PART).desc() if forward else F.col(_PART).asc()
+    beside = Window.partitionBy(*keys).orderBy(toward).rowsBetween(-reach, -1)
+    near = F.slice(F.flatten(F.reverse(F.collect_list("_rows").over(beside))), 1, reach)
+    taken = lists.withColumn("_near", near).select(*keys, _PART, F.explode("_near").alias("_r"))
+    return taken.select(*keys, _PART, *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
 def over_rows(
@@ -147,29 +58,44 @@ def over_rows(
     build: Callable[[WindowSpec], dict[str, Column]],
     before: int = 0,
     after: int = 0,
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``build(window)`` to ``df``.
 
-    ``order[0]`` is the time; ``order`` must be a total order within a key.
-    ``values`` are the columns the frames read. Frames may reach ``before`` rows
-    back and ``after`` rows ahead. ``max_rows=None`` skips the check for heavy
-    keys, for callers that know every key to be small.
+    ``order[0]`` is the time; ``order`` must be a total order within a key. ``values`` are
+    the columns the frames read. Frames may reach ``before`` rows back and ``after`` rows
+    ahead. ``parts`` is the number of ranges, Spark's usual number if none is given.
     """
-    sliced, is_cut = _with_slices(df, keys, order, max_rows)
-    if not is_cut:
-        return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
-    # Halo rows are only needed by the keys that are cut.
-    lean = sliced.select(*dict.fromkeys([*keys, *order, *values]), *_SLICE).where(
-        F.col(_DAY).isNotNull()
+    cut = _ranged(df, keys, order, parts)
+    # keys of more than one part: at most one for each border between two parts
+    ends = cut.groupBy(*keys).agg(F.min(_PART).alias("_lo"), F.max(_PART).alias("_hi"))
+    over = ends.where(F.col("_lo") < F.col("_hi")).select(*[F.col(k).alias(f"_over_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_over_{k}")) for k in keys]
+    lean = cut.select(*dict.fromkeys([*keys, *order, *values]), _PART).join(
+        F.broadcast(over), same, "left_semi"
     )
-    full = sliced.withColumn(_HALO, F.lit(False))
+    full = cut.withColumn(_HALO, F.lit(False))
     for reach, forward in ((before, False), (after, True)):
         if reach:
             halo = _halo_rows(lean, keys, order, reach, forward).withColumn(_HALO, F.lit(True))
             full = full.unionByName(halo, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, *_SLICE).orderBy(*order)
-    return full.withColumns(build(window)).where(~F.col(_HALO)).drop(*_SLICE, _HALO)
+    window = Window.partitionBy(*keys, _PART).orderBy(*order)
+    return full.withColumns(build(window)).where(~F.col(_HALO)).drop(_PART, _HALO)
+
+
+def _statistics(w: WindowSpec, targets: list[str], periods: tuple[int, ...], windows: tuple[int, ...]) -> dict[str, Column]:
+    """Lags and rolling mean, sample sd, min and max of each target."""
+    out = {}
+    for t in targets:
+        for p in periods:
+            out[f"{t}_lag_{p}"] = F.lag(t, p).over(w)
+        for n in windows:
+            frame = w.rowsBetween(-(n - 1), 0)
+            out[f"{t}_rolling_mean_{n}"] = F.avg(t).over(frame)
+            out[f"{t}_rolling_std_{n}"] = F.stddev_samp(t).over(frame)
+            out[f"{t}_rolling_min_{n}"] = F.min(t).over(frame)
+            out[f"{t}_rolling_max_{n}"] = F.max(t).over(frame)
+    return out
 
 
 def lags(
@@ -179,19 +105,15 @@ def lags(
     targets: list[str],
     periods: tuple[int, ...] = (1, 2, 3, 6, 12),
     fill: float | None = None,
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """``<target>_lag_<p>`` columns per key; ``fill`` replaces missing values."""
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        for t in targets:
-            for p in periods:
-                value = F.lag(t, p).over(w)
-                out[f"{t}_lag_{p}"] = value if fill is None else F.coalesce(value, F.lit(fill))
-        return out
+        out = _statistics(w, targets, periods, ())
+        return out if fill is None else {k: F.coalesce(v, F.lit(fill)) for k, v in out.items()}
 
-    return over_rows(df, keys, order, targets, build, before=max(periods), max_rows=max_rows)
+    return over_rows(df, keys, order, targets, build, before=max(periods), parts=parts)
 
 
 def rolling(
@@ -200,22 +122,14 @@ def rolling(
     order: list[str],
     targets: list[str],
     windows: tuple[int, ...] = (3, 6, 12),
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Mean, sample sd, min and max over the last ``w`` rows, the current one included."""
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        for t in targets:
-            for n in windows:
-                frame = w.rowsBetween(-(n - 1), 0)
-                out[f"{t}_rolling_mean_{n}"] = F.avg(t).over(frame)
-                out[f"{t}_rolling_std_{n}"] = F.stddev_samp(t).over(frame)
-                out[f"{t}_rolling_min_{n}"] = F.min(t).over(frame)
-                out[f"{t}_rolling_max_{n}"] = F.max(t).over(frame)
-        return out
+        return _statistics(w, targets, (), windows)
 
-    return over_rows(df, keys, order, targets, build, before=max(windows) - 1, max_rows=max_rows)
+    return over_rows(df, keys, order, targets, build, before=max(windows) - 1, parts=parts)
 
 
 def lags_and_rolling(
@@ -226,29 +140,50 @@ def lags_and_rolling(
     periods: tuple[int, ...] = (1, 2, 3, 6, 12),
     windows: tuple[int, ...] = (3, 6, 12),
     horizon: int = 0,
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Lags, rolling statistics and (``horizon`` > 0) the label, in one shuffle."""
+    """Lags, rolling statistics and (``horizon`` > 0) the label, in one window."""
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        for t in targets:
-            for p in periods:
-                out[f"{t}_lag_{p}"] = F.lag(t, p).over(w)
-            for n in windows:
-                frame = w.rowsBetween(-(n - 1), 0)
-                out[f"{t}_rolling_mean_{n}"] = F.avg(t).over(frame)
-                out[f"{t}_rolling_std_{n}"] = F.stddev_samp(t).over(frame)
-                out[f"{t}_rolling_min_{n}"] = F.min(t).over(frame)
-                out[f"{t}_rolling_max_{n}"] = F.max(t).over(frame)
-            if horizon:
-                out[f"{t}_ahead_{horizon}"] = F.lead(t, horizon).over(w)
+        out = _statistics(w, targets, periods, windows)
+        if horizon:
+            out |= {f"{t}_ahead_{horizon}": F.lead(t, horizon).over(w) for t in targets}
         return out
 
     reach = max(max(periods), max(windows) - 1)
-    return over_rows(
-        df, keys, order, targets, build, before=reach, after=horizon, max_rows=max_rows
+    return over_rows(df, keys, order, targets, build, before=reach, after=horizon, parts=parts)
+
+
+def later(
+    df: DataFrame,
+    keys: list[str],
+    time: str,
+    target: str,
+    minutes: int,
+    first: list[str] | None = None,
+    into: str | None = None,
+) -> DataFrame:
+    """``df`` with the value of ``target`` of the same key exactly ``minutes`` later.
+
+    Joined on time, so it does not depend on how many rows lie between; days do not end
+    it. Of several rows of a key at one time the least by ``first`` gives the value. Rows
+    without such a later one get null, rows without time too.
+    """
+    name = into or f"{target}_in_{minutes}_min"
+    decides = F.struct(*(first or [target]))
+    there = (
+        df.where(F.col(time).isNotNull())
+        .groupBy(*keys, time)
+        .agg(F.min_by(target, decides).alias("_later"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.timestamp_add("MINUTE", F.lit(-minutes), F.col(time)).alias("_time"),
+            "_later",
+        )
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = df.join(there, [*same, F.col(time) == F.col("_time")], "left")
+    return joined.withColumn(name, F.col("_later")).drop("_later", "_time", *[f"_k{i}" for i in range(len(keys))])
 
 
 def ahead(
@@ -258,7 +193,7 @@ def ahead(
     target: str,
     horizon: int = 3,
     step_minutes: float | None = None,
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Forecast label: ``target`` ``horizon`` rows ahead.
 
@@ -276,7 +211,7 @@ def ahead(
             value = F.when(gap == F.lit(int(step_minutes * 60 * horizon)), value)
         return {name: value}
 
-    return over_rows(df, keys, order, [target], build, after=horizon, max_rows=max_rows)
+    return over_rows(df, keys, order, [target], build, after=horizon, parts=parts)
 
 
 def sequences(
@@ -287,7 +222,7 @@ def sequences(
     target: str,
     length: int = 12,
     horizon: int = 3,
-    max_rows: int | None = MAX_SLICE_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per complete window: ``length`` input rows and the next ``horizon`` targets."""
 
@@ -308,7 +243,7 @@ def sequences(
         build,
         before=length - 1,
         after=horizon,
-        max_rows=max_rows,
+        parts=parts,
     )
     return (
         built.where((F.size("x") == length) & (F.size("y") == horizon))

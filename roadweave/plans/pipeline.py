@@ -196,14 +196,20 @@ def get_fusion_data_status(spark: SparkSession, store: Store) -> DataFrame:
 # --- train and forecast -----------------------------------------------------
 
 
-def with_horizon(
-    fused: DataFrame, target: str, horizon: int, keys: tuple[str, ...] = ("region", "etag_pair")
+def with_label(
+    df: DataFrame,
+    target: str,
+    minutes: int,
+    keys: tuple[str, ...] = ("region", "etag_pair", "vehicle_type_code"),
+    time: str = "datetime",
+    first: tuple[str, ...] = ("flow_pos",),
 ) -> tuple[DataFrame, str]:
-    """The label to learn: ``target`` itself, or its value ``horizon`` rows ahead."""
-    if horizon == 0:
-        return fused, target
-    out = series.ahead(fused, ["date", *keys], ["datetime", "flow_pos"], target, horizon)
-    label = f"{target}_ahead_{horizon}"
+    """The label to learn: ``target`` itself (0 minutes), or its value so many minutes later
+    for the same key. Rows without one cannot be learned from."""
+    if minutes == 0:
+        return df, target
+    label = f"{target}_in_{minutes}_min"
+    out = series.later(df, list(keys), time, target, minutes, list(first), label)
     return out.where(F.col(label).isNotNull()), label
 
 
@@ -212,23 +218,23 @@ def train_enhanced_predictor(
     store: Store,
     sample_rate: float = 1.0,
     test_size: float = 0.2,
-    horizon: int = 3,
+    minutes: int = 15,
     gbt: dict | None = None,
     forest: dict | None = None,
 ) -> DataFrame:
     """Train both regressors on the fused table, store them, return the metric table.
 
-    ``horizon`` rows ahead is the label (3 = 15 minutes). ``horizon=0`` learns the
-    same row's speed, which the features contain; its R2 is no forecast quality.
+    The label is the speed ``minutes`` later, by time. ``minutes=0`` learns the same row's
+    speed, which the features contain; its R2 is no forecast quality.
     """
     target = ft.FUSED_TARGET
     fused = tables.load_days(spark, store.fused)
     fused = split.sample_exact(
         fused, "date", ["datetime", "region", "etag_pair", "flow_pos"], sample_rate
     )
-    labelled, label = with_horizon(fused, target, horizon)
+    labelled, label = with_label(fused, target, minutes)
     features = [
-        c for c in select.candidates(labelled, label) if horizon > 0 or c != target
+        c for c in select.candidates(labelled, label) if minutes > 0 or c != target
     ]
     # read several times by the split and the trainers, so written once
     filled = materialize(select.fill_for_model(labelled, features, label), "fused-rows")
@@ -247,7 +253,7 @@ def train_enhanced_predictor(
         forest,
     )
     models.save(
-        spark, store.models, model, frozen, {"target": target, "label": label, "horizon": horizon}
+        spark, store.models, model, frozen, {"target": target, "label": label, "minutes": minutes}
     )
     return scored
 
@@ -277,25 +283,27 @@ def evaluate_models(spark: SparkSession, store: Store, labelled: DataFrame) -> D
 def train_traffic_prediction_system(
     spark: SparkSession,
     store: Store,
-    horizon: int = 3,
+    minutes: int = 15,
     gbt: dict | None = None,
     forest: dict | None = None,
 ) -> DataFrame:
     """The station-level models: detector features, chronological split, metrics.
 
-    ``horizon=0`` learns the same row's speed, as the fused models do.
+    The label is the lane's speed ``minutes`` later; snapshots are told apart by the minute.
+    ``minutes=0`` learns the same row's speed, as the fused models do.
     """
     vd = load_vd(spark, store)
     keys, target = ("vd_id", "lane_id"), "speed"
     encoding = ft.station_encoding(vd)
-    wide = ft.station_features(vd, keys, encoding=encoding, horizon=horizon)
-    label = f"{target}_ahead_{horizon}" if horizon else target
-    rows = materialize(wide.na.drop(), "station-rows")
+    wide = ft.station_features(vd, keys, encoding=encoding)
+    minute = wide.withColumn("_minute", F.date_trunc("minute", "update_time"))
+    wide, label = with_label(minute, target, minutes, keys, "_minute", ("update_time",))
+    rows = materialize(wide.drop("_minute").na.drop(), "station-rows")
     models.require_rows(rows)
     features = [
         c
         for c in ft.numeric_columns(rows, ["lane_id", label])
-        if c != target or horizon
+        if c != target or minutes
     ]
     tie = rows.withColumn("_tie", F.shiftright(F.xxhash64(*keys), 2))
     marked = split.chronological_split(tie, "update_time", "_tie").drop("_tie")
@@ -316,7 +324,7 @@ def train_traffic_prediction_system(
         store.path("models", "station"),
         model,
         frozen,
-        {"target": target, "label": label, "horizon": horizon},
+        {"target": target, "label": label, "minutes": minutes},
     )
     return scored
 

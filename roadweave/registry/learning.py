@@ -48,9 +48,9 @@ def _lags(spark, sf):
     " from readings window w as (partition by vd_id order by update_time)",
 )
 def _lags_hot(spark, sf):
-    """The same with a tiny slice limit, so that station days are cut into pieces."""
+    """The same over many ranges, so that stations are cut into pieces."""
     df = V.readings(spark, sf).select("vd_id", *ORDER, "speed")
-    return series.lags(df, ["vd_id"], ORDER, ["speed"], (2,), max_rows=2).drop("speed")
+    return series.lags(df, ["vd_id"], ORDER, ["speed"], (2,), parts=64).drop("speed")
 
 
 @query(
@@ -375,84 +375,110 @@ def _station_scaled(spark, sf):
 
 # --- selection and scaling ------------------------------------------------------------
 
-_SEL = ["vd_speed", "vd_volume", "etag_speed", "speed_diff", "volume_mean", "hour_sin", "etag_efficiency"]
+def _fused_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored, since selection and scaling read it more than once."""
+    return materialize(ft.fused_features(_stored_alignment(spark, sf)), "fused")
 
 
-def _fused_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.fused_row_features(_stored_alignment(spark, sf))
+_ALL = [c for c in [*ft.FUSED_REQUIRED, *_FUSED_INT, *_FUSED_NUM, *_LAG_NAMES] if c != "speed_mean"]
+_PAIRS = [(a, b) for i, a in enumerate(_ALL) for b in _ALL[i + 1 :]]
+
+
+def _listed(values) -> str:
+    return "unnest([" + ", ".join(values) + "])"
+
+
+def _corr_sql(a: str, b: str) -> str:
+    """Null for a constant column, where the quotient of rounding errors means nothing."""
+    x, y = f"coalesce({a}, 0)::double", f"coalesce({b}, 0)::double"
+    return f"case when min({x}) < max({x}) and min({y}) < max({y}) then corr({x}, {y}) end"
 
 
 @query(
     "corr_pairs",
-    f"with {_fused_sql('date, region, etag_pair')} "
-    + " union all ".join(
-        f"select '{a}' as feature_a, '{b}' as feature_b,"
-        f" {num(f'corr(coalesce({a}, 0)::double, coalesce({b}, 0)::double)', 'r')} from fused"
-        for i, a in enumerate(_SEL)
-        for b in _SEL[i + 1 :]
-    ),
+    f"with {_fused_sql('date, region, etag_pair')}, c as (select "
+    + _listed(f"'{a}'" for a, _ in _PAIRS)
+    + " as feature_a, "
+    + _listed(f"'{b}'" for _, b in _PAIRS)
+    + " as feature_b, "
+    + _listed(_corr_sql(a, b) for a, b in _PAIRS)
+    + f" as r from fused) select feature_a, feature_b, {num('r')} from c",
 )
 def _corr(spark, sf):
-    return select.correlation_pairs(_fused_rows(spark, sf), _SEL)
-
-
-_FCOLS = [c for c in _SEL if c not in ("vd_speed", "etag_speed")]
+    """All candidate features."""
+    return select.correlation_pairs(_fused_rows(spark, sf), _ALL)
 
 
 @query(
     "f_scores",
-    f"with {_fused_sql('date, region, etag_pair')}, c as ("
-    + " union all ".join(
-        f"select '{c}' as feature, corr(coalesce({c}, 0)::double, speed_mean) as r, count(*) as n from fused"
-        for c in _FCOLS
-    )
-    + f") select feature, {num('r')}, {num('r * r / (1 - r * r) * (n - 2)', 'f_score')} from c",
+    f"with {_fused_sql('date, region, etag_pair')}, c as (select "
+    + _listed(f"'{c}'" for c in _ALL)
+    + " as feature, "
+    + _listed(_corr_sql(c, "speed_mean") for c in _ALL)
+    + f" as r, count(*) as n from fused) select feature, {num('r')},"
+    + f" {num('r * r / (1 - r * r) * (n - 2)', 'f_score')} from c",
 )
 def _f_scores(spark, sf):
-    return select.f_scores(_fused_rows(spark, sf), _FCOLS, "speed_mean")
-
-
-_Z = ["vd_speed", "volume_mean", "hour_sin"]
+    """All candidate features."""
+    return select.f_scores(_fused_rows(spark, sf), _ALL, "speed_mean")
 
 
 @query(
     "zscore_first_day",
     f"with {_fused_sql('date, region, etag_pair')}, s as (select "
-    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _Z)
+    + ", ".join(f"avg(coalesce({c}, 0)) as m_{c}, stddev_pop(coalesce({c}, 0)) as s_{c}" for c in _ALL)
     + " from fused where date = (select min(date) from fused))"
     + f" select {day()}, region, etag_pair, {big('flow_pos')}, {num('speed_mean')}, "
-    + ", ".join(num(f"({c} - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end)", c) for c in _Z)
+    + ", ".join(
+        num(f"(coalesce({c}, 0) - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end)", c) for c in _ALL
+    )
     + " from fused, s",
 )
 def _zscore(spark, sf):
-    """Statistics of the first day, applied to every day."""
+    """Statistics of the first day, applied to every day and candidate feature."""
     rows = _fused_rows(spark, sf)
     first = rows.agg(F.min("date")).first()[0]
-    frozen = select.fit_scaler(rows.where(F.col("date") == F.lit(first)), _Z, "speed_mean")
+    frozen = select.fit_scaler(rows.where(F.col("date") == F.lit(first)), _ALL, "speed_mean")
     return frozen.transform(rows, ("date", "region", "etag_pair", "flow_pos"))
 
 
 @query(
     "fused_quality",
     f"""with {_fused_sql('date, region, etag_pair')}, q as (select date, count(*) as n,
-      avg(case when vd_speed is not null and volume_mean is not null and vd_speed_level is not null
+      avg(case when {' and '.join(f'{c} is not null' for c in [*_ALL, 'speed_mean'])}
           then 1 else 0 end) * 100 as done,
       stddev_samp(speed_mean) as sd, max(speed_mean) - min(speed_mean) as rng,
-      [stddev_samp(vd_speed), stddev_samp(volume_mean), stddev_samp(vd_speed_level)] as sds
+      [{', '.join(f'stddev_samp({c})' for c in _ALL)}] as sds
       from fused group by date),
     p as (select *, list_filter(sds, lambda x: x is not null) as kept from q),
     v as (select *, case when len(kept) > 0 then list_sum(kept) / len(kept) end as var from p)
-    select {day()}, {big('n', 'record_count')}, 3::bigint as feature_count,
+    select {day()}, {big('n', 'record_count')}, {len(_ALL)}::bigint as feature_count,
       {num('done', 'data_completeness')}, {num('sd', 'target_std')}, {num('rng', 'target_range')},
       {num('var', 'feature_variance')},
       {big('len(list_filter(kept, lambda x: x < 0.01))', 'low_variance_features')},
-      {num('least(30, done * 0.3) + least(25, n / 100.0 * 25) + 4.0 + least(15, coalesce(sd, 0) / 10 * 15)'
+      {num('least(30, done * 0.3) + least(25, n / 100.0 * 25) + 20.0 + least(15, coalesce(sd, 0) / 10 * 15)'
            ' + least(10, coalesce(var, 0) * 100)', 'quality_score')} from v""",
 )
 def _fused_quality(spark, sf):
-    names = ["vd_speed", "volume_mean", "vd_speed_level"]
-    rows = _fused_rows(spark, sf).select("date", "speed_mean", *names)
-    return select.fused_quality(rows, names, "speed_mean", ["date"])
+    rows = _fused_rows(spark, sf).select("date", "speed_mean", *_ALL)
+    return select.fused_quality(rows, _ALL, "speed_mean", ["date"])
+
+
+@query(
+    "fused_label_15min",
+    f"""with {V.ALIGNED_SQL}, later as (select region, etag_pair, vehicle_type_code, datetime,
+      arg_min((vd_speed + etag_speed) / 2, flow_pos) as v from aligned group by all)
+    select {day('a.date', 'date')}, {ts('a.datetime', 'datetime')}, a.region, a.etag_pair, a.vehicle_type_code,
+      {big('a.flow_pos', 'flow_pos')}, {num('l.v', 'speed_mean_in_15_min')}
+    from aligned a left join later l on l.region is not distinct from a.region and l.etag_pair is not distinct from a.etag_pair
+      and l.vehicle_type_code is not distinct from a.vehicle_type_code and l.datetime = a.datetime + interval 15 minutes""",
+)
+def _label_15(spark, sf):
+    """The label of the fused models: the mean speed of the same key 15 minutes later."""
+    rows = _stored_alignment(spark, sf).withColumn("speed_mean", (F.col("vd_speed") + F.col("etag_speed")) / 2)
+    keys = ["region", "etag_pair", "vehicle_type_code"]
+    out = series.later(rows, keys, "datetime", "speed_mean", 15, ["flow_pos"])
+    return out.select("date", "datetime", *keys, "flow_pos", "speed_mean_in_15_min")
 
 
 @query("selected_features")
@@ -547,7 +573,7 @@ def _blend_fixed(spark, sf):
     return out.select(*KEYS, *ORDER, "ensemble", "confidence_ensemble")
 
 
-_CONF = "((round(last, 1) * 85 + round(mean3, 1) * 80) / 165)"
+_CONF = "((round(last::decimal(18, 6), 1)::double * 85 + round(mean3::decimal(18, 6), 1)::double * 80) / 165)"
 
 
 @query(
@@ -555,12 +581,12 @@ _CONF = "((round(last, 1) * 85 + round(mean3, 1) * 80) / 165)"
     f"""with {_PRED}, c as (select *, {_CONF} as m from pred)
     select vd_id, {big('lane_id')}, {ts('update_time')},
     case when m >= 80 then '暢通🟢' when m >= 50 then '緩慢🟡' else '擁堵🔴' end as traffic_status,
-    85::bigint as confidence, 2::bigint as models_used from c""",
+    85::bigint as confidence, 2::bigint as models_used, {num('round(m, 1)', 'predicted_speed')} from c""",
 )
 def _blend_confidence(spark, sf):
     conf = {"last": C.STATION_CONFIDENCE["gbt"], "mean3": C.STATION_CONFIDENCE["random_forest"]}
     out = metrics.blend_by_confidence(_predictors(spark, sf), conf)
-    return out.select(*KEYS, *ORDER, "traffic_status", "confidence", "models_used")
+    return out.select(*KEYS, *ORDER, "traffic_status", "confidence", "models_used", "predicted_speed")
 
 
 _GRID = ", ".join(f"({a}::double, {b}::double)" for a, b in C.WEIGHT_GRID)

@@ -36,6 +36,10 @@ ETAG_SCHEMA = (
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
+#: Spark's file stream leaves out files a week older than the newest one, unless told otherwise.
+ANY_AGE = "36500d"
+
+
 def read_documents(
     spark: SparkSession,
     path: str,
@@ -49,13 +53,14 @@ def read_documents(
 
     As a stream, files already seen are skipped by full path, or by bare name
     with ``by_name_only``; ``archive_dir`` moves a file there once its batch is
-    committed.
+    committed. A file is read however old it is: back-filled days come late.
     """
     reader = spark.readStream if streaming else spark.read
     reader = (
         reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     )
     if streaming:
+        reader = reader.option("maxFileAge", ANY_AGE)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
         if by_name_only:

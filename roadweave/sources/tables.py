@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.times import time_category
-from roadweave.session import materialize
+from roadweave.session import scratch_path
 
 LANE_KEY = ("date", "vd_id", "lane_id", "update_time")
 LANE_SCHEMA = (
@@ -49,26 +49,46 @@ def on_dates(df: DataFrame, dates: list) -> DataFrame:
     return df.where(F.col("date").isin(dates))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def one_per_key(df: DataFrame, key: tuple[str, ...], latest: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each key: the last by ``latest``, then by its values, so reruns agree."""
+    rest = [c for c in df.columns if c not in key and c not in latest]
+    pick = F.max(F.struct(*latest, *rest)).alias("_row")
+    return df.groupBy(*key).agg(pick).select(*[c if c in key else f"_row.{c}" for c in df.columns])
+
+
 def append_new(
     df: DataFrame,
     path: str,
     key: tuple[str, ...] = LANE_KEY,
     partitions: tuple[str, ...] = ("date",),
+    latest: tuple[str, ...] = (),
 ) -> list:
     """Append the rows whose key the table does not hold yet; return the dates at hand.
 
-    The rows are written to the shared folder first, so their source is read once.
-    Of the table only the key columns of those dates are read back. Running a day
-    again neither loses nor repeats rows.
+    Of several new rows of one key the last by ``latest`` stays. The rows are written to
+    the shared folder first, so their source is read once; that copy is removed at the
+    end, also when a step fails. Of the table only the key columns of those dates are
+    read back. Running a day again neither loses nor repeats rows.
     """
     spark = df.sparkSession
-    fresh = materialize(df.dropDuplicates(list(key)), "append")
-    dates = dates_in(fresh)
-    if exists(spark, path):
-        stored = on_dates(spark.read.parquet(path), dates).select(*key)
-        fresh = fresh.join(stored, list(key), "left_anti")
-    write_days(fresh, path, partitions, mode="append")
-    return dates
+    copy = scratch_path(spark, "append")
+    try:
+        one_per_key(df, key, latest).write.parquet(copy)
+        fresh = spark.read.schema(df.schema).parquet(copy).select(*df.columns)
+        dates = dates_in(fresh)
+        if exists(spark, path):
+            stored = on_dates(spark.read.parquet(path), dates).select(*key)
+            fresh = fresh.join(stored, list(key), "left_anti")
+        write_days(fresh, path, partitions, mode="append")
+        return dates
+    finally:
+        remove(spark, copy)
 
 
 def write_lane_days(vd: DataFrame, path: str) -> list:

@@ -77,7 +77,7 @@ def test_whole_chain(spark, store):
     scored = {
         r["model"]: r
         for r in pipeline.train_enhanced_predictor(
-            spark, store, horizon=3, gbt=GBT, forest=FOREST
+            spark, store, minutes=15, gbt=GBT, forest=FOREST
         ).collect()
     }
     assert set(scored) == {"gbt", "random_forest", "ensemble"}
@@ -88,11 +88,11 @@ def test_whole_chain(spark, store):
     assert len(forecast) == 4  # two pairs, each serving two regions
     assert all(0 < r["ensemble"] < 200 and r["confidence_ensemble"] == 92 for r in forecast)
 
-    labelled, _ = pipeline.with_horizon(fused, "speed_mean", 3)
+    labelled, _ = pipeline.with_label(fused, "speed_mean", 15)
     assert pipeline.evaluate_models(spark, store, labelled).count() == 3
 
     leaky = pipeline.train_enhanced_predictor(
-        spark, store, sample_rate=0.9, horizon=0, gbt=GBT, forest=FOREST
+        spark, store, sample_rate=0.9, minutes=0, gbt=GBT, forest=FOREST
     )
     assert leaky.count() == 3
 

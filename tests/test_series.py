@@ -21,8 +21,8 @@ def history(spark, seed, keys=3, rows=120, hours=80):
     return spark.createDataFrame(data, "k string, t timestamp, i int, v double")
 
 
-@pytest.mark.parametrize("max_rows", [None, 1, 5, 1000])
-def test_split_windows_equal_plain_windows(spark, max_rows):
+@pytest.mark.parametrize("parts", [None, 1, 7, 60])
+def test_split_windows_equal_plain_windows(spark, parts):
     df = history(spark, 7)
     w = Window.partitionBy("k").orderBy("t", "i")
 
@@ -37,7 +37,7 @@ def test_split_windows_equal_plain_windows(spark, max_rows):
             "lst": F.collect_list("v").over(win.rowsBetween(-4, 2)),
         }
 
-    got = series.over_rows(df, ["k"], ["t", "i"], ["v"], build, before=4, after=2, max_rows=max_rows)
+    got = series.over_rows(df, ["k"], ["t", "i"], ["v"], build, before=4, after=2, parts=parts)
     want = df.withColumns(build(w))
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
@@ -45,49 +45,51 @@ def test_split_windows_equal_plain_windows(spark, max_rows):
     assert a == sorted(map(repr, want.select(*cols).collect()))
 
 
-def test_heavy_keys_and_days_are_cut(spark):
-    df = history(spark, 3)
-    cut, is_cut = series._with_slices(df, ["k"], ["t", "i"], 3)
-    assert is_cut
-    sizes = cut.groupBy("k", "_slice_day", "_slice_piece").count()
-    per_day = cut.groupBy("k", "_slice_day").count()
-    assert sizes.agg(F.max("count")).first()[0] < per_day.agg(F.max("count")).first()[0]
+def check_bounded(spark, df, parts, reach):
+    """Parts are bounded, border rows few, and values those of the plain window."""
+    cut = series._ranged(df, ["k"], ["t", "i"], parts)
+    sizes = [r["count"] for r in cut.groupBy(series._PART).count().collect()]
+    assert max(sizes) <= 4 * df.count() / parts
+    for forward in (True, False):
+        lean = cut.select("k", "t", "i", "v", series._PART)
+        halo = series._halo_rows(lean, ["k"], ["t", "i"], reach, forward)
+        assert halo.count() <= reach * (len(sizes) + df.select("k").distinct().count())
 
+    def build(w):
+        return {"l3": F.lag("v", 3).over(w), "m": F.avg("v").over(w.rowsBetween(-3, 2))}
 
-def test_only_heavy_keys_are_cut(spark):
-    df = history(spark, 3)
-    counts = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
-    limit = sorted(counts.values())[-2]
-    cut, is_cut = series._with_slices(df, ["k"], ["t", "i"], limit)
-    assert is_cut
-    sliced = {r["k"] for r in cut.where("_slice_day is not null").select("k").distinct().collect()}
-    assert sliced == {"hot"}
+    got = series.over_rows(df, ["k"], ["t", "i"], ["v"], build, before=3, after=2, parts=parts)
+    want = df.withColumns(build(Window.partitionBy("k").orderBy("t", "i")))
+    cols = sorted(want.columns)
+    assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
+
+
+def test_one_long_key_is_cut(spark):
+    rows = [("a", T0 + dt.timedelta(seconds=7 * i), i, float(i % 13)) for i in range(600)]
+    check_bounded(spark, spark.createDataFrame(rows, "k string, t timestamp, i int, v double"), 12, 3)
 
 
 def test_one_instant_is_cut_by_its_tie(spark):
     noon = T0 + dt.timedelta(hours=12)
-    rows = [("a", noon, i, float(i % 13)) for i in range(60)]
+    rows = [("a", noon, i, float(i % 13)) for i in range(600)]
     rows += [("a", noon + dt.timedelta(minutes=m), 900 + m, float(m)) for m in (-2, -1, 1, 2)]
     rows += [("b", noon, 7, 1.0)]
-    df = spark.createDataFrame(rows, "k string, t timestamp, i int, v double")
-    cut, _ = series._with_slices(df, ["k"], ["t", "i"], 8)
-    sizes = cut.groupBy("k", *series._SLICE).count().agg(F.max("count")).first()[0]
-    assert sizes <= 8
+    check_bounded(spark, spark.createDataFrame(rows, "k string, t timestamp, i int, v double"), 12, 3)
 
-    def build(w):
-        return {"l3": F.lag("v", 3).over(w), "m": F.avg("v").over(w.rowsBetween(-3, 2))}
-
-    got = series.over_rows(df, ["k"], ["t", "i"], ["v"], build, before=3, after=2, max_rows=8)
-    want = df.withColumns(build(Window.partitionBy("k").orderBy("t", "i")))
-    cols = sorted(want.columns)
-    assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
 
+def test_later_value_is_that_of_the_time(spark):
+    def at(minute):
+        return T0 + dt.timedelta(hours=23, minutes=minute)
 
-def test_small_input_keeps_the_plain_window(spark):
-    df = history(spark, 3)
-    out = series.lags(df, ["k"], ["t", "i"], ["v"])
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" not in plan and plan.count("Window") == 1
+    rows = [("a", c, at(m), n, float(100 * c + m)) for n, (m, c) in enumerate((m, c) for m in range(0, 121, 5) for c in range(5))]
+    rows += [("a", 0, at(7), 999, -1.0), ("a", 0, None, 998, -2.0), ("a", 1, at(15), 997, 9999.0)]
+    df = spark.createDataFrame(rows, "k string, c int, t timestamp, pos int, v double")
+    out = series.later(df, ["k", "c"], "t", "v", 15, first=["pos"])
+    assert out.count() == len(rows)
+    for r in out.collect():
+        minute = None if r.t is None else (r.t - at(0)).total_seconds() / 60
+        known = minute is not None and minute % 5 == 0 and minute + 15 <= 120
+        assert r.v_in_15_min == (100 * r.c + minute + 15 if known else None)
 
 
 def test_rolling_first_row_and_lag_borders(spark):
@@ -137,6 +139,16 @@ def test_chronological_split_with_ties(spark):
     assert train == set(range(82))
 
 
+def test_chronological_split_leaves_rows_without_time_out(spark):
+    rows = [(T0 + dt.timedelta(minutes=i), i) for i in range(700)] + [(None, 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "t timestamp, i long")
+    out = split.chronological_split(df, "t", "i", 0.8)
+    sizes = {r["is_train"]: r["count"] for r in out.groupBy("is_train").count().collect()}
+    assert sizes == {1: 560, 0: 140, None: 300}
+    with pytest.raises(ValueError):
+        split.kth_smallest(df.select("i"), "i", 1001)
+
+
 def test_sample_exact_sizes_and_repeatability(spark):
     df = spark.range(5000).select(
         F.col("id"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("d")
