@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave import constants as C
+from roadweave.functions.rules import traffic_status
 from roadweave.operators import features as ft
 from roadweave.operators import metrics, models, select, series, split
 from roadweave.registry import views as V
@@ -618,10 +619,11 @@ def _learning_table(spark: SparkSession, sf: str):
     """Station features of every lane with the speed three rows ahead, scaled and split."""
     wide = ft.station_features(V.readings(spark, sf), horizon=3)
     label = "speed_ahead_3"
+    # the newest rows of a lane have no label yet; they are scored, not learned from
     rows = materialize(
-        wide.select("vd_id", "lane_id", "update_time", *_LEARN, label).na.drop(), "station-rows"
+        wide.select("vd_id", "lane_id", "update_time", *_LEARN, label).na.drop(subset=_LEARN), "station-rows"
     )
-    tie = rows.withColumn("_tie", F.shiftright(F.xxhash64("vd_id", "lane_id"), 2))
+    tie = rows.na.drop().withColumn("_tie", F.shiftright(F.xxhash64("vd_id", "lane_id"), 2))
     marked = split.chronological_split(tie, "update_time", "_tie")
     train_df, test_df = marked.where("is_train = 1"), marked.where("is_train = 0")
     frozen = select.fit_scaler(train_df, _LEARN, label)
@@ -659,16 +661,37 @@ def _search(spark, sf):
     return table
 
 
-@query("stored_model_scores")
+_NEWEST = f"""{V.READINGS_SQL}, f as (select *, lag(speed, 1) {_W} as before from readings
+      where occupancy is not null and speed is not null),
+    n as (select vd_id, lane_id, max(update_time) as update_time from f where before is not null group by all)"""
+
+
+@query(
+    "stored_model_scores",
+    f"""with {_NEWEST} select vd_id, {big('lane_id')}, {ts('update_time')}, 1::bigint as has_score,
+    1::bigint as loaded_agrees, 1::bigint as status_agrees, 92::bigint as confidence_ensemble from n""",
+)
 def _stored(spark, sf):
-    """Train, store, load, and forecast from every lane's newest row."""
+    """Train, store, load, and forecast from every lane's newest row, which has no label yet.
+
+    The loaded model must give the scores of the one in memory."""
     rows, frozen, train_df, _, label = _learning_table(spark, sf)
     model = models.train(train_df, frozen.names, label, SMALL_GBT, SMALL_FOREST)
     path = scratch_path(spark, "model")
     models.save(spark, path, model, frozen, {"label": label})
     loaded, features, _ = models.load(spark, path)
-    newest = series.latest(rows, KEYS, ORDER)
-    return models.score(loaded, features, newest, ("vd_id", "lane_id", "update_time"))
+    newest = materialize(series.latest(rows, KEYS, ORDER), "newest")
+    keys = ("vd_id", "lane_id", "update_time")
+    there = models.score(loaded, features, newest, keys)
+    here = models.score(model, frozen, newest, keys).select(*keys, F.col("ensemble").alias("_here"))
+    status = F.when(F.col("ensemble") >= 80, "暢通🟢").when(F.col("ensemble") >= 50, "緩慢🟡").otherwise("擁堵🔴")
+    return there.join(here, list(keys)).select(
+        *keys,
+        F.col("ensemble").isNotNull().cast("long").alias("has_score"),
+        (F.abs(F.col("ensemble") - F.col("_here")) < 1e-9).cast("long").alias("loaded_agrees"),
+        (traffic_status(F.col("ensemble")) == status).cast("long").alias("status_agrees"),
+        "confidence_ensemble",
+    )
 
 
 # --- streams ------------------------------------------------------------------------------
