@@ -96,6 +96,11 @@ def r2_band(r2: Column) -> Column:
     )
 
 
+def tuning_band(r2: Column) -> Column:
+    """The stricter scale that tuned models are judged by."""
+    return F.when(r2 > 0.9, "excellent").when(r2 > 0.8, "good").otherwise("needs work")
+
+
 def accuracy_band(r2: Column, accuracy_rate: Column) -> Column:
     return (
         F.when((r2 > 0.8) & (accuracy_rate > 80), "excellent")

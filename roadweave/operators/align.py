@@ -73,7 +73,8 @@ def align(
 
     A tolerance below half a bin leaves one candidate bin, the nearest one, so the
     as-of join is a plain equi join on (region, bin) plus a filter. Bins are built
-    once per region. Wider tolerances go through :func:`nearest_join`.
+    once per region. With wider tolerances a row has a few candidate bins, joined in
+    the same way. (A right side off the grid needs :func:`nearest_join`.)
     """
     bins = region_bins(vd, minutes, split_direction)
     flows = gantry_side(etag)
@@ -84,15 +85,12 @@ def align(
             flows, bins, ["region"] + (["direction"] if split_direction else []), minutes
         )
     else:
-        joined = nearest_join(
+        joined = candidate_bin_join(
             flows,
             bins,
             ["region"] + (["direction"] if split_direction else []),
-            "datetime",
-            "bin",
-            ["vd_speed", "vd_volume", "vd_occupancy"],
-            tolerance_min * 60,
-            same_day=True,
+            tolerance_min,
+            minutes,
         )
     return finish_alignment(joined, tolerance_min, keep_null)
 
@@ -118,6 +116,31 @@ def nearest_bin_join(
     return near.join(bins, [*keys, "bin"])
 
 
+def candidate_bin_join(
+    flows: DataFrame, bins: DataFrame, keys: list[str], tolerance_min: float, minutes: int = C.BIN_MINUTES
+) -> DataFrame:
+    """The nearest bin of the same day within the tolerance, the earlier one of two.
+
+    Bins lie on a grid, so a row is dealt to its 2 * tolerance / bin + 1 candidates at most
+    and joined by equality; the nearest one found is picked per row.
+    """
+    step = minutes * 60_000_000
+    at = F.unix_micros(F.col("datetime").cast("timestamp"))
+    tol = F.lit(int(round(tolerance_min * 60_000_000)))
+    grid = F.sequence(F.ceil((at - tol) / F.lit(step)).cast("long"), F.floor((at + tol) / F.lit(step)).cast("long"))
+    near = (
+        flows.withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("bin", F.explode(grid))
+        .withColumn("bin", F.timestamp_micros(F.col("bin") * F.lit(step)))
+        .where(F.to_date("bin") == F.to_date("datetime"))
+    )
+    joined = near.join(bins, [*keys, "bin"])
+    gap = F.abs(F.unix_micros("bin") - F.unix_micros(F.col("datetime").cast("timestamp")))
+    value = [c for c in joined.columns if c not in ("_row", "bin")]
+    pick = F.min_by(F.struct("bin", *value), F.struct(gap, "bin"))
+    return joined.groupBy("_row").agg(pick.alias("_r")).select("_r.*")
+
+
 def finish_alignment(joined: DataFrame, tolerance_min: float, keep_null: bool) -> DataFrame:
     gap = F.abs(
         F.unix_micros(F.col("datetime").cast("timestamp")) - F.unix_micros(F.col("bin"))

@@ -10,6 +10,7 @@ from roadweave.functions import rules
 from roadweave.functions.times import is_peak_label, time_category
 from roadweave.operators import align as al
 from roadweave.operators import clean as cl
+from roadweave.operators import features as ft
 from roadweave.operators import profile as pr
 from roadweave.operators import split, summary
 from roadweave.registry import views as V
@@ -130,22 +131,19 @@ def _common(spark, sf):
 
 @query(
     "coverage",
-    f"""with {V.READINGS_SQL}, {V.TOLLS_SQL},
-    a as (select date, count(*) as n from readings where speed > 140 group by date),
-    f as (select date, count(*) as n from tolls where vehicle_type_code = '99'
-          and space_mean_speed_kmh > 100 group by date)
-    select {day('coalesce(a.date, f.date)', 'date')}, {big('coalesce(a.n, 0)', 'aligned_rows')},
-      {big('coalesce(f.n, 0)', 'fused_rows')},
-      {big('case when a.n is not null and f.n is not null then 1 else 0 end', 'in_both')}
-    from a full join f on a.date = f.date""",
+    f"""with {V.ALIGNED_SQL}, a as (select date, count(*) as n from aligned group by date),
+    f as (select * from a where date <> (select max(date) from a))
+    select {day('a.date', 'date')}, {big('a.n', 'aligned_rows')}, {big('coalesce(f.n, 0)', 'fused_rows')},
+      {big('case when f.n is not null then 1 else 0 end', 'in_both')} from a left join f on a.date = f.date""",
 )
 def _coverage(spark, sf):
-    """Two feeds with gaps, day by day (fast detector rows, fast odd vehicles)."""
-    fast = V.readings(spark, sf).where(F.col("speed") > 140)
-    odd = V.tolls(spark, sf).where(
-        (F.col("vehicle_type_code") == "99") & (F.col("space_mean_speed_kmh") > 100)
-    )
-    return al.coverage(fast, odd)
+    """The stored alignment against the stored fused table, whose newest day is yet to come."""
+    stored, fused = scratch_path(spark, "aligned-days"), scratch_path(spark, "fused-days")
+    tables.write_days(aligned(spark, sf), stored)
+    days = tables.load_days(spark, stored)
+    newest = days.agg(F.max("date")).first()[0]
+    tables.write_days(ft.fused_features(days.where(F.col("date") != F.lit(newest))), fused)
+    return al.coverage(days, tables.load_days(spark, fused))
 
 
 # --- row rules ------------------------------------------------------------------
@@ -655,21 +653,22 @@ def _normalized(spark, sf):
     f"""with {V.LANES_SQL} select case when speed < 50 then 'excellent' when speed < 100 then 'good'
       else 'needs work' end as latency, case when occupancy / 100.0 > 0.8 and volume_total > 80
       then 'excellent' when occupancy / 100.0 > 0.7 and volume_total > 70 then 'good'
-      else 'needs work' end as accuracy, {big('count(*)', 'n')} from lanes group by all""",
+      else 'needs work' end as accuracy, case when occupancy / 100.0 > 0.9 then 'excellent'
+      when occupancy / 100.0 > 0.8 then 'good' else 'needs work' end as tuning,
+      {big('count(*)', 'n')} from lanes group by all""",
 )
 def _bands(spark, sf):
     df = V.lanes(spark, sf)
     return df.groupBy(
         rules.latency_band(F.col("speed")).alias("latency"),
         rules.accuracy_band(F.col("occupancy") / 100.0, F.col("volume_total")).alias("accuracy"),
+        rules.tuning_band(F.col("occupancy") / 100.0).alias("tuning"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores before CPU-bound text work, but only where the scan has
-    fewer splits than cores (a single small file); larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows to as many tasks as a shuffle has, before CPU-bound text work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def vd_xml(df: DataFrame) -> DataFrame:
