@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from roadweave.llm.common import WORD, bounded, stored, unit_hash
 
+#: Hash seeds that each source tries; it takes the one whose draws come nearest its target.
+SEEDS = 16
 #: A source list of at most this many rows is broadcast; a longer one is joined by shuffle.
 SMALL_SOURCES = 50_000
 
@@ -60,6 +62,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     )
 
 
+def draws(key: Column, size: Column, rate: Column, seed: Column) -> Column:
+    """Whether a document is taken once more: a number seeded by its key and size falls
+    below the fraction of its source's rate."""
+    return unit_hash(seed, key, size) < rate - F.floor(rate)
+
+
+def seeded(sized: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """``rates`` with the seed of each source. Every document's draw has the probability of
+    the fraction under any seed; trying some keeps a source's sum near its target."""
+    key, size, rate = F.col("_key"), F.col("_size"), F.col("rate")
+    joined = sized.join(bounded(rates, SMALL_SOURCES), sized["_source"].eqNullSafe(rates["_from"]))
+    numbers = range(seed, seed + SEEDS)
+    sums = joined.groupBy("_from").agg(
+        *[F.sum(F.when(draws(key, size, rate, F.lit(i)), size).otherwise(0)).alias(f"_sum{i}") for i in numbers]
+    )
+    both = rates.join(sums.withColumnRenamed("_from", "_same"), F.col("_from").eqNullSafe(F.col("_same")))
+    taken = F.floor("rate") * F.col("source_size")
+    misses = [F.struct(F.abs(taken + F.col(f"_sum{i}") - F.col("target")).alias("miss"), F.lit(i).alias("seed")) for i in numbers]
+    return both.withColumn("seed", F.array_min(F.array(*misses))["seed"]).select(*rates.columns, "seed")
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -78,21 +101,19 @@ def mix(
     ``docs`` keep their names and values; the new names must not be among them
     (``common.unused`` finds a prefix). Reruns agree.
     """
-    sized = docs.select(F.col(source).alias("_source"), words(F.col(text)).alias("_size"))
-    table = stored(targets(sized, weights, most), "mix-targets")
-    lookup = table.select(
-        F.col("_source").alias(f"{prefix}source"),
-        F.col("source_size").alias(f"{prefix}source_size"),
-        F.col("target").alias(f"{prefix}target"),
-        F.col("rate").alias(f"{prefix}rate"),
+    sized = stored(
+        docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), words(F.col(text)).alias("_size")), "mix-sizes"
     )
+    rates = stored(targets(sized, weights, most).withColumnRenamed("_source", "_from"), "mix-targets")
+    table = stored(seeded(sized, rates, seed), "mix-seeds")
+    lookup = table.select(*[F.col(c).alias(prefix + c.strip("_")) for c in table.columns])
     data = docs.withColumn(f"{prefix}size", words(F.col(text)))
-    same = F.col(f"`{source}`").eqNullSafe(F.col(f"{prefix}source"))
+    same = F.col(f"`{source}`").eqNullSafe(F.col(f"{prefix}from"))
     joined = data.join(bounded(lookup, SMALL_SOURCES), same, "left")
     rate = F.col(f"{prefix}rate")
-    draw = unit_hash(F.lit(seed), F.col(key), F.col(f"{prefix}size"))
-    extra = (draw < rate - F.floor(rate)).cast("int")
-    return joined.drop(f"{prefix}source").withColumn(f"{prefix}copies", (F.floor(rate) + extra).cast("int"))
+    extra = draws(F.col(key), F.col(f"{prefix}size"), rate, F.col(f"{prefix}seed")).cast("int")
+    counted = joined.withColumn(f"{prefix}copies", (F.floor(rate) + extra).cast("int"))
+    return counted.drop(f"{prefix}from", f"{prefix}seed")
 
 
 def emit(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
@@ -120,10 +141,14 @@ l as (select *, (total::double - coalesce(sum(source_size) over (order by fill,
 c as (select coalesce((select arg_min(level, fill) from l where level <= fill),
         (select max(fill) from l)) as level),
 t as (select l.source, source_size, least(source_size * 3.0::double, c.level * weight) as target from l, c),
-r as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from t)
-select doc_id, size, source_size, target,
-  (size * (floor(rate) + case when
-     ('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '') || '|' || size::varchar), 1, 13))::ubigint::double
-       / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end))::bigint as taken
-from d join r on d.source is not distinct from r.source
+r as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from t),
+u as (select d.*, source_size, target, rate, seed,
+    '0x' || substr(md5(seed::varchar || '|' || coalesce(doc_id::varchar, '') || '|' || size::varchar), 1, 13) as hex
+  from d join r on d.source is not distinct from r.source, (select unnest(range(7, 23)) as seed)),
+e as (select *, case when hex::ubigint::double / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end as extra from u),
+m as (select source, seed, abs(floor(any_value(rate)) * any_value(source_size) + sum(size * extra) - any_value(target)) as miss
+  from e group by source, seed),
+b as (select source, seed from (select *, row_number() over (partition by source order by miss, seed) as n from m) where n = 1)
+select doc_id, size, source_size, target, (size * (floor(rate) + extra))::bigint as taken
+from e join b on e.source is not distinct from b.source and e.seed = b.seed
 """
