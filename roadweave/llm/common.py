@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +43,37 @@ def unit_hash(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of equal keys as one frame each, across batch borders.
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a worker makes of whole texts stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            yield batch.slice(a, most)
+
+
+def runs(
+    batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 1
+) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Consecutive rows of equal keys, column by column, the runs that end in a batch at a time.
 
-    The rows must be sorted by the keys within the partition.
+    The rows must be sorted by the keys within the partition; a run may go over batch
+    borders. Runs of fewer than ``least`` rows are left out.
     """
-    rest: pd.DataFrame | None = None
+    rest: dict[str, np.ndarray] | None = None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        data = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        change = (data[keys] != data[keys].shift()).any(axis=1).to_numpy()
-        starts = change.nonzero()[0]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield data.iloc[a:b]
-        rest = data.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
-__all__ = ["WORD", "bounded", "runs", "scratch_path", "stored", "table", "unit_hash", "unused"]
+        data = {n: batch[n].to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        if rest is not None:
+            data = {n: np.concatenate([rest[n], v]) for n, v in data.items()}
+        change = np.zeros(len(data[keys[0]]), dtype=bool)
+        for k in keys:
+            change[1:] |= data[k][1:] != data[k][:-1]
+        starts = np.concatenate([[0], np.nonzero(change)[0]])
+        long = np.nonzero(np.diff(starts) >= least)[0]
+        yield [{n: v[starts[i] : starts[i + 1]] for n, v in data.items()} for i in long]
+        rest = {n: v[starts[-1] :].copy() for n, v in data.items()}
+    if rest is not None and len(rest[keys[0]]) >= least:
+        yield [rest]
+
+
+__all__ = ["WORD", "bounded", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]
