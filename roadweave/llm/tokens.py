@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -13,37 +13,46 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that go into one recursive query, and tokens into one decoding query.
-WORDS, TOKENS = 40_000, 400_000
+from roadweave.llm.common import slices
+
+#: Rows whose words are looked up together, words that go into one recursive query, and
+#: tokens into one decoding query.
+ROWS, WORDS, TOKENS = 1_000, 30_000, 400_000
 #: A worker remembers the tokens of so many different words, then starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The recursive query takes a round for each merge of its longest word. Words of more bytes
 #: are merged by the same rule with a heap.
 LONG = 200
 
-# Each word is a run of rows (word, place, token). In each round the merge of the least rank,
-# the leftmost one of equals, is found for each word: rank, place and the place of its right
-# part are packed into one number, so that a minimum names all three. Rows whose word has no
-# merge left leave the recursion as done.
+# Each word is a run of rows (word, place, token, next place, next token). In each round the
+# merge of the least rank, the leftmost one of equals, is found for each word: rank, place
+# and the place of its right part are packed into one number, so that a minimum names all
+# three. The merged row takes over what follows its right part, whose row goes; the row in
+# front learns the new token. Words without a merge leave the recursion as done.
 ENCODE = """
-with recursive state(w, p, t, live) as (
-  select w, p, t, true from start
+with recursive state(w, p, t, np, nt, live) as (
+  select w, p, t, np, nt, true from start
   union all
-  (with pairs as materialized (
-     select w, p, lead(p) over x as np, t, t::bigint * 1048576 + lead(t) over x as ab
-     from state where live window x as (partition by w order by p)),
-   best as (
-     select w, min(m * 1048576 + p * 1024 + np) as k from pairs join merges using (ab) group by w)
-   select pairs.w, p, case when p = ((k >> 10) & 1023) then (k >> 20)::int else t end, k is not null
-   from pairs left join best using (w)
-   where k is null or p <> (k & 1023)))
+  (with rows as materialized (select w, p, t, np, nt from state where live),
+   best as materialized (
+     select w, min(m * 1048576 + p * 1024 + np) as k
+     from rows join merges on ab = t::bigint * 1048576 + nt group by w),
+   behind as materialized (
+     select rows.w, k, np as bnp, nt as bnt from rows join best on rows.w = best.w and p = (k & 1023))
+   select rows.w, p,
+     case when p = ((k >> 10) & 1023) then (k >> 20)::int else t end,
+     case when p = ((k >> 10) & 1023) then bnp else np end,
+     case when p = ((k >> 10) & 1023) then bnt when np = ((k >> 10) & 1023) then (k >> 20)::int else nt end,
+     k is not null
+   from rows left join behind using (w) where k is null or p <> (k & 1023)))
 select w, list(t order by p) as ids from state where not live group by w order by w
 """
 
+# The aggregation runs over each row's list in its order.
 DECODE = """
-with spread as (
-  select d, unnest(ids) as id, generate_subscripts(ids, 1) as p from rows)
-select d, unhex(string_agg(h, '' order by p)) as bytes from spread join vocabulary using (id) group by d order by d
+select d, unhex(coalesce(list_aggregate(
+    list_transform(ids, lambda x: case when x >= 0 then pieces[x + 1] end), 'string_agg', ''), '')) as bytes
+from rows, vocabulary order by d
 """
 
 
@@ -59,26 +68,41 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        self.tables: set[str] = set()
         self.byte = np.zeros(256, dtype=np.int32)
         for token, rank in ranks.items():
             if len(token) == 1:
                 self.byte[token[0]] = rank
         self.duck = duckdb.connect()
         self.duck.execute("set threads = 1")
-        self.duck.execute("set memory_limit = '400MB'")
+        self.duck.execute("set memory_limit = '250MB'")
+        self.forget()
+
+    def given(self, name: str, data: Callable[[], pa.Table]) -> None:
+        """A table of the connection, made when it is first needed."""
+        if name not in self.tables:
+            self.duck.register("given", data())
+            self.duck.execute(f"create table {name} as select * from given")
+            self.duck.unregister("given")
+            self.tables.add(name)
+
+    def merges(self) -> pa.Table:
+        """Pairs of tokens whose bytes together are a token, and its rank."""
+        ranks = self.ranks
         pairs = [
             (ranks[t[:i]] * 1048576 + ranks[t[i:]], r)
             for t, r in ranks.items()
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        merges = pa.table({"ab": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int64())})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "h": [t.hex() for t in ranks]})
-        for name, data in (("merges", merges), ("vocabulary", vocabulary)):
-            self.duck.register("given", data)
-            self.duck.execute(f"create table {name} as select * from given")
-            self.duck.unregister("given")
-        self.forget()
+        return pa.table({"ab": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int64())})
+
+    def vocabulary(self) -> pa.Table:
+        """One row: the bytes of every id, in hex, by place in a list."""
+        pieces: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            pieces[rank] = token.hex()
+        return pa.table({"pieces": [pieces]})
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
@@ -113,7 +137,13 @@ class Codec:
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         number = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = pa.table({"w": number, "p": place.astype(np.int32), "t": self.byte[raw]})
+        token = self.byte[raw]
+        ends = np.zeros(len(raw), dtype=bool)
+        ends[np.cumsum(lengths) - 1] = True
+        following = pa.array(np.roll(token, -1), pa.int32(), mask=ends)
+        onward = pa.array((place + 1).astype(np.int32), pa.int32(), mask=ends)
+        start = pa.table({"w": number, "p": place.astype(np.int32), "t": token, "np": onward, "nt": following})
+        self.given("merges", self.merges)
         self.duck.register("start", start)
         ids = self.duck.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
         self.duck.unregister("start")
@@ -169,6 +199,7 @@ class Codec:
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each row of ids, in slices of bounded size."""
+        self.given("vocabulary", self.vocabulary)
         lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         out = [b""] * len(ids)
         a = 0
@@ -198,11 +229,6 @@ def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     return _codecs[key]
 
 
-def bounded_slices(batch: pa.RecordBatch, column: str, most: int = 2_000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, most):
-        yield batch.slice(a, most)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text in the column ``ids`` (replaced if there).
 
@@ -216,10 +242,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for whole in batches:
-            for batch in bounded_slices(whole, text):
-                found = own.encode(batch[text].to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), found], names=[*kept, ids])
+        for batch in slices(batches, ROWS):
+            found = own.encode(batch[text].to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), found], names=[*kept, ids])
 
     data = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = data.withColumn(ids, F.array().cast("array<int>")).schema
@@ -236,12 +261,11 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for whole in batches:
-            for batch in bounded_slices(whole, ids):
-                raw = own.decode(batch[ids].cast(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c] for c in kept), pa.array(raw, pa.binary())], names=[*kept, out]
-                )
+        for batch in slices(batches, ROWS):
+            raw = own.decode(batch[ids].cast(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in kept), pa.array(raw, pa.binary())], names=[*kept, out]
+            )
 
     data = rows.select(*[F.col(f"`{c}`") for c in kept])
     schema = data.withColumn(out, F.lit(None).cast("binary")).schema
