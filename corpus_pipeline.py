@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm import mixing, neardup, passages, tokens, toxicity
-from roadweave.llm.common import stored, table, unused
+from roadweave.llm.common import SMALL_IDS, bounded, stored, table, unused
 
 #: Near-duplicates share 80 % of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -37,9 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are in no class; rows repeated with one id and text go.
     """
-    found = neardup.near_duplicates(docs, k=SHINGLE, percent=PERCENT)
-    copies = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*_columns(docs)).dropDuplicates(["doc_id", "text"])
+    found = stored(neardup.near_duplicates(docs, k=SHINGLE, percent=PERCENT), "pipeline-classes")
+    copies = found.filter("not kept").select("doc_id")
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone = bounded(stored(copies.union(again).distinct(), "pipeline-copies"), SMALL_IDS)
+    once = docs.join(bounded(stored(again, "pipeline-again"), SMALL_IDS), "doc_id", "left_semi")
+    single = docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    return single.unionByName(once.select(*_columns(docs)).dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from roadweave.session import materialize, scratch_path
 
+#: Ids are broadcast up to this many (8 MB); longer lists are joined by a shuffle.
+SMALL_IDS = 1_000_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,4 +79,4 @@ def runs(
         yield [rest]
 
 
-__all__ = ["WORD", "bounded", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]
+__all__ = ["SMALL_IDS", "WORD", "bounded", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]

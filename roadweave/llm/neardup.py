@@ -10,21 +10,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import stored
+from roadweave.llm.common import SMALL_IDS, bounded, slices, stored
 from roadweave.llm.components import components
 from roadweave.llm.shingles import mixed, shingle_set
 
 #: Independent trees. A pair at the threshold misses one first level with probability 0.13.
 TREES = 8
 #: A node of at most this many documents is compared exhaustively.
-SMALL = 1_000
+SMALL = 2_000
+#: Bins of a sketch, and by how many standard deviations a pair may stay behind the threshold
+#: before full sets are fetched. That loses one pair of some ten millions.
+BINS, ROOM = 64, 5.5
 #: Levels of branching; nodes that are still larger are dense and are cut into blocks.
 LEVELS = 4
 #: Members of a dense node that all its blocks are compared with.
 HUBS = 8
 
-MEMBER = "node long, id long, items binary"
-
 
 def tokens(items: np.ndarray, path: int, similarity: float) -> Iterator[int]:
     """The nodes below ``path`` that a set goes to: the path and a selected minwise token.
@@ -39,24 +40,61 @@ def tokens(items: np.ndarray, path: int, similarity: float) -> Iterator[int]:
         yield xxhash.xxh64_intdigest(f"{path}/{j}/{least}") - (1 << 63)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A byte of the least shingle of each bin of hashes, 0 for an empty bin."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(items, edges)
+    there = at < np.append(at[1:], len(items))
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[there] = items[at[there]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def promising(n: np.ndarray, sketches: np.ndarray, similarity: float) -> np.ndarray:
+    """Members of a node that may be similar to another one, by sizes and sketches."""
+    out = np.zeros(len(n), dtype=bool)
+    order = np.argsort(n, kind="stable")
+    n, sketches = n[order], sketches[order]
+    full = sketches > 0
+    for x in range(len(n) - 1):
+        end = np.searchsorted(n, n[x] / similarity, "right")  # larger sets cannot be similar
+        if end <= x + 1:
+            continue
+        others = sketches[x + 1 : end]
+        used = (full[x + 1 : end] | full[x]).sum(axis=1)
+        same = ((others == sketches[x]) & full[x]).sum(axis=1)
+        close = np.nonzero(same >= similarity * used - ROOM * np.sqrt(similarity * (1 - similarity) * used))[0]
+        if len(close):
+            out[order[x]] = True
+            out[order[x + 1 + close]] = True
+    return out
+
+
 def described(docs: DataFrame, key: str, text: str, k: int, trees: int, similarity: float) -> DataFrame:
-    """(doc_id, n, digest, nodes) of each row; nodes are those of the first level."""
+    """(doc_id, n, digest, sketch, nodes) of each row; nodes are those of the first level."""
 
     def work(batches):
-        for batch in batches:
-            n, digest, nodes = [], [], []
+        for batch in slices(batches):
+            n, digest, drawn, nodes = [], [], [], []
             for t in batch["text"].to_pylist():
                 items = shingle_set(t, k)
                 n.append(len(items))
+                drawn.append(sketch(items) if len(items) else None)
                 digest.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                 nodes.append([x for tree in range(trees) for x in tokens(items, tree, similarity)] if len(items) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "nodes"],
+                [
+                    batch["doc_id"],
+                    pa.array(n, pa.int64()),
+                    pa.array(digest, pa.binary()),
+                    pa.array(drawn, pa.binary()),
+                    pa.array(nodes, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n", "digest", "sketch", "nodes"],
             )
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        work, "doc_id long, n long, digest binary, nodes array<long>"
+        work, "doc_id long, n long, digest binary, sketch binary, nodes array<long>"
     )
 
 
@@ -64,32 +102,29 @@ def with_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> D
     """(id, items) of the named documents, their shingle sets as bytes."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             items = [shingle_set(t, k).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(items, pa.binary())], names=["id", "items"])
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # repeated rows go while the texts still lie by id
-    once = named.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    ids = bounded(stored(ids, "neardup-ids"), SMALL_IDS)
+    once = named.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])  # repeated rows go
     return once.mapInArrow(work, "id long, items binary").filter(F.length("items") > 0)
 
 
 def branched(members: DataFrame, similarity: float) -> DataFrame:
-    """Members (node, id, items) one level further down."""
+    """Members (node, id, items) one level further down: (node, id)."""
 
     def work(batches):
         for batch in batches:
-            out = ([], [], [])
+            nodes, ids = [], []
             for node, i, raw in zip(*(batch[c].to_pylist() for c in ("node", "id", "items")), strict=True):
-                for child in tokens(np.frombuffer(raw, dtype=np.uint64), node, similarity):
-                    for column, value in zip(out, (child, i, raw), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                names=["node", "id", "items"],
-            )
+                below = list(tokens(np.frombuffer(raw, dtype=np.uint64), node, similarity))
+                nodes += below
+                ids += [i] * len(below)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.int64())], names=["node", "id"])
 
-    return members.mapInArrow(work, MEMBER)
+    return members.mapInArrow(work, "node long, id long")
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -143,6 +178,19 @@ def compared(members: DataFrame, percent: int, keys: list[str], known: bool = Fa
     return members.groupBy(*keys).applyInArrow(work, "a long, b long").distinct()
 
 
+def sifted(leaves: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Members (node, id) of small nodes whose full sets have to be compared."""
+
+    def work(data: pa.Table) -> pa.Table:
+        if data.num_rows < 2:
+            return data.select(["node", "id"]).slice(0, 0)
+        raw = np.frombuffer(b"".join(data["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        keep = promising(data["n"].to_numpy(), raw, similarity)
+        return data.select(["node", "id"]).filter(pa.array(keep))
+
+    return leaves.join(sketches, "id").select("node", "id", "n", "sketch").groupBy("node").applyInArrow(work, "node long, id long")
+
+
 def by_size(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Members (node, id) of nodes of two to ``small`` documents, one of each equal node, and of larger ones."""
     nodes = members.groupBy("node").agg(
@@ -227,23 +275,28 @@ def near_duplicates(
     rows = stored(described(docs, key, text, k, trees, similarity), "neardup-rows")
     full = rows.filter("digest is not null and doc_id is not null")
     classes = stored(
-        full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("nodes").alias("nodes")), "neardup-classes"
+        full.groupBy("digest").agg(
+            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")
+        ),
+        "neardup-classes",
     )
-    first = stored(classes.select("id", F.explode(F.array_distinct("nodes")).alias("node")), "neardup-nodes")
-    leaves, large = by_size(first, small)
-    leaves, large = stored(leaves, "neardup-leaves"), stored(large, "neardup-large")
+    sketches = classes.select("id", "n", "sketch")
+    leaves, large = by_size(classes.select("id", F.explode(F.array_distinct("nodes")).alias("node")), small)
+    leaves, large = stored(sifted(leaves, sketches, similarity), "neardup-sifted"), stored(large, "neardup-large")
+    leaves = stored(by_size(leaves, small)[0], "neardup-leaves")  # what is left of many nodes is equal
     sets = stored(
-        with_sets(docs, leaves.select("id").union(large.select("id")).distinct(), key, text, k),
-        "neardup-sets",
+        with_sets(docs, leaves.select("id").union(large.select("id")).distinct(), key, text, k), "neardup-sets"
     )
-    links = compared(leaves.join(sets, "id").select("node", "id", "items"), percent, ["node"])
-    found = [stored(links, "neardup-links")]
+    found = [stored(compared(leaves.join(sets, "id").select("node", "id", "items"), percent, ["node"]), "neardup-links")]
     for level in range(2, levels + 1):
         if large.isEmpty():
             break
-        below = stored(branched(large.join(sets, "id").select("node", "id", "items"), similarity), "neardup-level")
-        leaves, large = by_size(below.select("node", "id"), small)
-        found.append(stored(compared(leaves.join(sets, "id").select("node", "id", "items"), percent, ["node"]), "neardup-links"))
+        below = branched(large.join(sets, "id").select("node", "id", "items"), similarity)
+        below = stored(below, f"neardup-level{level}")
+        leaves, large = by_size(below, small)
+        leaves = sifted(leaves, sketches, similarity)
+        links = compared(leaves.join(sets, "id").select("node", "id", "items"), percent, ["node"])
+        found.append(stored(links, "neardup-links"))
         large = stored(large, "neardup-large")
     if not large.isEmpty():
         found.append(dense(large.join(sets, "id").select("node", "id", "items"), percent, small, hubs))
