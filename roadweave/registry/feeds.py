@@ -548,7 +548,14 @@ def _sample_sizes(spark, sf):
     return picked.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    f"""with {V.READINGS_SQL}, h as (select *, ('0x' || substr(md5(concat_ws('|', vd_id, lane_id::varchar,
+      epoch_us(update_time)::varchar, '42')), 1, 15))::ubigint as h from readings),
+    r as (select *, row_number() over (partition by date order by h, vd_id, lane_id, update_time) as rn,
+      round(count(*) over (partition by date) * 0.25::double) as want from h)
+    select {ts('update_time')}, vd_id, {big('lane_id')}, {num('speed')} from r where rn <= want""",
+)
 def _sample_rows(spark, sf):
     """A quarter of each day's rows, chosen by a seeded hash."""
     picked = split.sample_exact(
