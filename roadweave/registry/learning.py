@@ -482,10 +482,30 @@ def _label_15(spark, sf):
     return out.select("date", "datetime", *keys, "flow_pos", "speed_mean_in_15_min")
 
 
-@query("selected_features")
+_CAND = [*_ALL, "time_diff_min"]
+_CAND_PAIRS = [(i, j) for i in range(len(_CAND)) for j in range(i + 1, len(_CAND))]
+
+
+@query(
+    "selected_features",
+    f"with {_fused_sql('date, region, etag_pair')}, c as (select "
+    + _listed(str(j) for _, j in _CAND_PAIRS)
+    + " as j, "
+    + _listed(_corr_sql(_CAND[i], _CAND[j]) for i, j in _CAND_PAIRS)
+    + " as r from fused), n as (select "
+    + _listed(f"'{c}'" for c in _CAND)
+    + " as feature, "
+    + _listed(str(i) for i in range(len(_CAND)))
+    + " as pos, "
+    + _listed(_corr_sql(c, "speed_mean") for c in _CAND)
+    + f""" as r, count(*) as n from fused),
+    k as (select *, row_number() over (order by r * r / (1 - r * r) * (n - 2) desc nulls last, pos) as best
+      from n where pos not in (select j from c where abs(r) > {select.CORRELATION_LIMIT}))
+    select {big('row_number() over (order by pos)', 'position')}, feature from k where best <= 15""",
+)
 def _selected(spark, sf):
     """Candidates of the fused table, minus near-duplicates, the 15 best by F."""
-    wide = materialize(ft.fused_features(_stored_alignment(spark, sf)), "fused")
+    wide = _fused_rows(spark, sf).select(*ft.FUSED_KEYS, ft.FUSED_TARGET, *_CAND)
     names = select.select_features(wide, k=15)
     rows = list(enumerate(names, 1))
     return spark.createDataFrame(rows, "position int, feature string")
