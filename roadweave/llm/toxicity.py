@@ -18,10 +18,11 @@ from roadweave.llm.common import bounded, stored
 #: taken by the hash of their keys, and from at most WINDOWS stretches of REACH words on both
 #: sides of a word with features in each of them.
 SAMPLE, WINDOWS, REACH = (12_000, 6_000), 20, 4
-#: A feature is used if it occurs in LEAST toxic rows and its counts are e^EVIDENCE times
-#: likelier under its own share of toxic rows than under that of all rows, which chance gives
-#: to one of a million features; of these the FEATURES most telling.
-LEAST, EVIDENCE, FEATURES = 4, 14.0, 4_000
+#: A feature is tried if it occurs in LEAST toxic rows. It is used if its counts are likelier
+#: under its own share of toxic rows than under that of all rows by a factor of e^EVIDENCE
+#: times the number of features tried, so chance gives less than one in ten models a feature;
+#: of these the FEATURES most telling.
+LEAST, EVIDENCE, FEATURES = 4, 2.5, 4_000
 #: A word of a toxic row is labelled toxic if rows with one of its features are toxic with
 #: this smoothed probability, both classes weighing the same.
 SURE = 0.95
@@ -188,15 +189,19 @@ def telling(rows: DataFrame) -> dict[str, tuple[float, float]]:
     gain = F.col("toxic") * F.log(rate / q) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - q))
     ).otherwise(0.0)
-    found = (
+    tried = stored(
         rows.select("text", "toxic")
         .mapInArrow(work, "feature string, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= LEAST)
-        .withColumn("p", share / (share + other))
+        .filter(F.col("toxic") >= LEAST),
+        "toxic-features",
+    )
+    enough = EVIDENCE + np.log(max(tried.count(), 1))
+    found = (
+        tried.withColumn("p", share / (share + other))
         .withColumn("z", F.sqrt("toxic") * F.log(share / other))
-        .filter((F.col("p") > 0.6) & (gain >= EVIDENCE))
+        .filter((F.col("p") > 0.6) & (gain >= float(enough)))
         .orderBy(F.desc("z"), "feature")
         .limit(FEATURES)
         .collect()
