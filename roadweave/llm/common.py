@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,16 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000) -> Iterator[pa.
             yield batch.slice(a, most)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which Spark keeps, gives unused memory back."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(
     batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 1
 ) -> Iterator[list[dict[str, np.ndarray]]]:
@@ -79,4 +91,4 @@ def runs(
         yield [rest]
 
 
-__all__ = ["SMALL_IDS", "WORD", "bounded", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]
+__all__ = ["SMALL_IDS", "WORD", "bounded", "released", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import SMALL_IDS, bounded, slices, stored
+from roadweave.llm.common import SMALL_IDS, bounded, released, slices, stored
 from roadweave.llm.components import components
 from roadweave.llm.shingles import mixed, shingle_set
 
@@ -94,7 +94,7 @@ def described(docs: DataFrame, key: str, text: str, k: int, trees: int, similari
             )
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        work, "doc_id long, n long, digest binary, sketch binary, nodes array<long>"
+        lambda batches: released(work(batches)), "doc_id long, n long, digest binary, sketch binary, nodes array<long>"
     )
 
 
@@ -109,7 +109,7 @@ def with_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> D
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     ids = bounded(stored(ids, "neardup-ids"), SMALL_IDS)
     once = named.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])  # repeated rows go
-    return once.mapInArrow(work, "id long, items binary").filter(F.length("items") > 0)
+    return once.mapInArrow(lambda batches: released(work(batches)), "id long, items binary").filter(F.length("items") > 0)
 
 
 def branched(members: DataFrame, similarity: float) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers (about 30 MB); the memory is emptied when it is full.
-REMEMBERED = 150_000
+#: Words whose hashes a worker remembers (about 20 MB); the memory is emptied when it is full.
+REMEMBERED = 100_000
 
 
 class Hashes(dict):

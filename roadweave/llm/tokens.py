@@ -13,13 +13,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import slices
+from roadweave.llm.common import released, slices
 
 #: Rows whose words are looked up together, words that go into one recursive query, and
 #: tokens into one decoding query.
-ROWS, WORDS, TOKENS = 1_000, 30_000, 400_000
+ROWS, WORDS, TOKENS = 1_000, 25_000, 200_000
 #: A worker remembers the tokens of so many different words, then starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: The recursive query takes a round for each merge of its longest word. Words of more bytes
 #: are merged by the same rule with a heap.
 LONG = 200
@@ -75,7 +75,7 @@ class Codec:
                 self.byte[token[0]] = rank
         self.duck = duckdb.connect()
         self.duck.execute("set threads = 1")
-        self.duck.execute("set memory_limit = '250MB'")
+        self.duck.execute("set memory_limit = '200MB'")
         self.forget()
 
     def given(self, name: str, data: Callable[[], pa.Table]) -> None:
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     data = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = data.withColumn(ids, F.array().cast("array<int>")).schema
-    return data.mapInArrow(work, schema)
+    return data.mapInArrow(lambda batches: released(work(batches)), schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -269,15 +269,31 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
 
     data = rows.select(*[F.col(f"`{c}`") for c in kept])
     schema = data.withColumn(out, F.lit(None).cast("binary")).schema
-    return data.mapInArrow(work, schema)
+    return data.mapInArrow(lambda batches: released(work(batches)), schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``docs`` (with a column text) with n_tokens, ids_sha256 and decoded_sha256, without the text."""
-    coded = decode(encode(docs, ranks_path, pattern).drop("text"), ranks_path, pattern)
+    """``docs`` (with a column text) with n_tokens, ids_sha256 and decoded_sha256, without the text.
+
+    Encoding and decoding share a pass, so a task needs one worker and ids are not sent to and fro.
+    """
+    ranks = ranks_of(ranks_path)
+    kept = [c for c in docs.columns if c != "text"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks, pattern)
+        for batch in slices(batches, ROWS):
+            ids = own.encode(batch["text"].to_pylist())
+            decoded = pa.array(own.decode(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), ids, decoded], names=[*kept, "ids", "decoded"])
+
+    data = docs.select("text", *[F.col(f"`{c}`") for c in kept])
+    empty = F.array().cast("array<int>")
+    schema = data.drop("text").withColumn("ids", empty).withColumn("decoded", F.lit(None).cast("binary")).schema
+    coded = data.mapInArrow(lambda batches: released(work(batches)), schema)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
-        *[c for c in coded.columns if c not in ("ids", "decoded")],
+        *[F.col(f"`{c}`") for c in kept],
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import bounded, stored
+from roadweave.llm.common import bounded, released, stored
 
 #: The model is learned from about this many labelled rows that are not toxic and that are,
 #: taken by the hash of their keys, and from at most WINDOWS stretches of REACH words on both
@@ -29,7 +29,7 @@ SURE = 0.95
 #: A score from which a document is rejected.
 THRESHOLD = 0.3
 #: Words whose score a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 WORDS = re.compile(r"\w+")
 
@@ -382,4 +382,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "tox_
     schema = data
     for n, kind in new.items():
         schema = schema.withColumn(prefix + n, F.lit(None).cast(kind))
-    return data.mapInArrow(work, schema.schema)
+    return data.mapInArrow(lambda batches: released(work(batches)), schema.schema)
