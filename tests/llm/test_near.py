@@ -8,7 +8,7 @@ import pytest
 from roadweave.llm import neardup, passages
 from roadweave.llm.common import stored
 from roadweave.llm.components import components
-from roadweave.llm.shingles import shingle_set
+from roadweave.llm.shingles import rolled, shingle_set, word_hashes
 
 
 def words(seed, n):
@@ -184,3 +184,26 @@ def test_alignment():
     assert (start, source_start) == (0, 3)
     assert matched == passages.common_words(a[start:end], b[source_start:source_end])
     assert passages.common_words(np.array([1, 2, 3]), np.array([2, 9, 3, 3])) == 2
+
+
+def matches(copy, source):
+    """Places of the seeds that two lists of words share."""
+    a, b = (rolled(word_hashes(" ".join(ws)), passages.K) for ws in (copy, source))
+    first = {}
+    for q in passages.minimizers(b, passages.WINDOW):
+        first.setdefault(int(b[q]), int(q))
+    found = [(int(p), first[int(a[p])]) for p in passages.minimizers(a, passages.WINDOW) if int(a[p]) in first]
+    return np.array([p for p, _ in found]), np.array([q for _, q in found])
+
+
+@pytest.mark.parametrize("left_out", [40, 80, 150, 400, 1000])
+def test_words_left_out(left_out):
+    r = random.Random(left_out)
+    source = [f"w{r.randrange(10**9)}" for _ in range(700 + left_out)]
+    pos, places = matches(source[:300] + source[300 + left_out :], source)
+    found = [path for _, path in passages.chains(pos, places) if len(path) > 1]
+    covered = np.zeros(700, dtype=bool)
+    for path in found:
+        covered[pos[path[0]] : pos[path[-1]] + passages.K] = True
+        assert all(pos[b] - pos[a] <= passages.FAR and places[b] - places[a] <= passages.FAR for a, b in zip(path, path[1:], strict=False))
+    assert len(found) == (1 if left_out == 40 else 2) and covered.sum() >= 650
