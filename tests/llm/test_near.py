@@ -207,3 +207,37 @@ def test_words_left_out(left_out):
         covered[pos[path[0]] : pos[path[-1]] + passages.K] = True
         assert all(pos[b] - pos[a] <= passages.FAR and places[b] - places[a] <= passages.FAR for a, b in zip(path, path[1:], strict=False))
     assert len(found) == (1 if left_out == 40 else 2) and covered.sum() >= 650
+
+
+@pytest.mark.parametrize("between", range(20, 61, 5))
+def test_words_between(between):
+    r = random.Random(between)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    x, y = new(55), new(55)
+    source, copy = (new(30) + x + new(between) + y + new(30) for _ in range(2))
+    a, b = word_hashes(" ".join(copy)), word_hashes(" ".join(source))
+    pos, places = matches(copy, source)
+    found = []
+    for _, path in passages.chains(pos, places):
+        found += passages.similar(a, b, pos[path], places[path], 50, 0.8)
+    covered = np.zeros(len(copy), dtype=bool)
+    for start, end, source_start, source_end, matched in found:
+        assert matched >= 0.8 * max(end - start, source_end - source_start)
+        covered[start:end] = True
+    both = list(range(30, 85)) + list(range(85 + between, 140 + between))
+    assert covered[both].all()
+    if between > 27:  # 110 of 138 words are less than 0.8
+        assert sorted(f[:2] for f in found) == [(30, 85), (85 + between, 140 + between)]
+
+
+def test_weak_ends():
+    """An exact passage whose surroundings agree by three quarters is not lost with them."""
+    r = random.Random(5)
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    exact, around = new(60), new(300)
+    source = around[:150] + exact + around[150:]
+    copy = [f"x{i}" if i % 4 == 0 and not 150 <= i < 210 else w for i, w in enumerate(source)]
+    a, b = word_hashes(" ".join(copy)), word_hashes(" ".join(source))
+    pos, places = matches(copy, source)
+    (start, end, *_, matched), = passages.similar(a, b, pos, places, 50, 0.8)
+    assert start <= 150 and end >= 210 and matched >= 0.8 * (end - start)
