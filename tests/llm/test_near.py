@@ -241,3 +241,33 @@ def test_weak_ends():
     pos, places = matches(copy, source)
     (start, end, *_, matched), = passages.similar(a, b, pos, places, 50, 0.8)
     assert start <= 150 and end >= 210 and matched >= 0.8 * (end - start)
+
+
+@pytest.mark.parametrize("parts, size", [(3, 20), (4, 15), (6, 20)])
+def test_passage_of_parts(make_docs, parts, size):
+    """A passage of two documents is found though others hold each part of it before."""
+    pieces = [words(8000 + i, size) for i in range(parts)]
+    rows = [(i, " ".join(words(8100 + i, 40) + piece + words(8200 + i, 40))) for i, piece in enumerate(pieces)]
+    whole = [w for piece in pieces for w in piece]
+    rows += [(n, " ".join(words(8300 + n, 30) + whole + words(8400 + n, 30))) for n in (20, 21)]
+    rows += [(30 + i, " ".join(words(8500 + i, 50) + piece)) for i, piece in enumerate(pieces)]
+    (r,) = passages.repeated_passages(make_docs(rows)).collect()
+    assert (r.doc_id, r.source_id, r.start, r.end, r.similarity) == (21, 20, 30, 30 + len(whole), 1.0)
+
+
+def test_links_over_batches(spark):
+    r = random.Random(3)
+    data = sorted({(r.randrange(6), r.randrange(12), r.randrange(40)) for _ in range(600)})
+    first = {}
+    for seed, i, pos in data:
+        first.setdefault((seed, i), pos)
+    want = set()
+    for seed, i, pos in data:
+        earlier = [x for x in range(i) if (seed, x) in first]
+        want |= {(i, x, pos, first[seed, x]) for x in {*earlier[:1], *earlier[-1:]}}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = passages.linked(spark.createDataFrame(data, "seed long, id long, pos int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(x) for x in got} == want
