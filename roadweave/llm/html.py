@@ -37,8 +37,12 @@ MARKS = frozenset(
     " newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond"
     " disqus login signup search form widget contentinfo complementary dialog".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPLIT = frozenset("p li dt dd tr td th option".split())
 
+#: Class, id and role words are not believed where they would leave less of the words than this.
+LEFT = 0.1
+
 TOKEN = re.compile(
     r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -69,16 +73,35 @@ def marked(attributes: str) -> bool:
     return False
 
 
+def believed(found: list[Block], depths: list[int]) -> int:
+    """The marks around a block that say nothing: the fewest that keep a share of LEFT of the
+    words of the named content, or of the page if it names none."""
+    named = [(d, b.words) for b, d in zip(found, depths, strict=True) if b.content and not b.boilerplate]
+    open_ = named or [(d, b.words) for b, d in zip(found, depths, strict=True) if not b.boilerplate]
+    total, kept = sum(w for _, w in open_), 0
+    for depth, words in sorted(open_):
+        kept += words
+        if kept >= LEFT * total:
+            return depth
+    return 0
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, the last one for the tags behind all text."""
     out: list[Block] = []
     text: list[str] = []
     tags: list[str] = []
-    stack: list[tuple[str, int]] = []  # name and 1: boilerplate, 2: content, 4: link
+    depths: list[int] = []  # marks around each block, those of article and main count half
+    stack: list[tuple[str, int]] = []  # name and sum of 1: boilerplate, 2: content, 4: link, 8: marked, 16: marked content
     held = Counter()
     flags = Counter()
     place = 0
 
+    def count(flag: int, by: int) -> None:
+        for bit in (1, 2, 4, 8, 16):
+            if flag & bit:
+                flags[bit] += by
+
     def close() -> None:
         nonlocal tags
         whole = " ".join(html.unescape("".join(text)).split())
@@ -86,16 +109,16 @@ def blocks(page: str) -> list[Block]:
         if whole:
             name = next((n for n, _ in reversed(stack) if n not in INLINE), "")
             block = Block(whole, whole.count(" ") + 1, "", flags[1] > 0, flags[2] > 0, tags)
-            block.context = f"{name}/{'link' if flags[4] else ''}/{'boilerplate' if block.boilerplate else ''}"
+            block.context = f"{name}/{'link' if flags[4] else ''}/"
             out.append(block)
+            depths.append(2 * flags[8] + flags[16])
             tags = []
 
     def pop_to(name: str) -> None:
         while stack:
             top, flag = stack.pop()
             held[top] -= 1
-            if flag:
-                flags[flag] -= 1
+            count(flag, -1)
             if top == name:
                 return
 
@@ -125,8 +148,7 @@ def blocks(page: str) -> list[Block]:
                     at = max(i for i, (n, _) in enumerate(stack) if n == name) if stack[-1][0] != name else -1
                     _, flag = stack.pop(at)
                     held[name] -= 1
-                    if flag:
-                        flags[flag] -= 1
+                    count(flag, -1)
         else:
             tags.append(name)
             if name in VOID:
@@ -141,18 +163,24 @@ def blocks(page: str) -> list[Block]:
                 above = next((n for n, _ in reversed(stack) if n not in INLINE), "")
                 if above == name:  # the last one was not closed
                     pop_to(name)
-            odd = marked(attributes) or bool(HIDDEN.search(attributes))
-            if name in CONTENT and not odd and all(n in ("nav", "header", "menu") for n, f in stack if f == 1):
+            odd, unseen = marked(attributes), bool(HIDDEN.search(attributes))
+            if odd:  # names of headings are often made of their words
+                odd = (next((n for n, _ in reversed(stack) if n not in INLINE), "") if name in INLINE else name) not in HEADINGS
+            if name in CONTENT and not unseen and all(n in ("nav", "header", "menu") for n, f in stack if f & 1):
                 while flags[1]:  # a menu that was not closed
                     pop_to(stack[-1][0])
-            inner_header = name == "header" and flags[2] > 0 and not odd
-            flag = 1 if odd and name not in ("html", "body") or name in BOILERPLATE and not inner_header else 0
-            flag = flag or (2 if name in CONTENT else 4 if name == "a" else 0)
+            inner_header = name == "header" and flags[2] > 0 and not unseen
+            root = name in ("html", "body")
+            flag = 1 if unseen and not root or name in BOILERPLATE and not inner_header else 0
+            flag = flag or (2 if name in CONTENT else 4 if name == "a" else 0) + (0 if root or not odd else 16 if name in CONTENT else 8)
             stack.append((name, flag))
             held[name] += 1
-            if flag:
-                flags[flag] += 1
+            count(flag, 1)
     close()
+    base = believed(out, depths)
+    for block, depth in zip(out, depths, strict=True):
+        if block.boilerplate or depth > base:
+            block.boilerplate, block.context = True, block.context + "boilerplate"
     out.append(Block("", 0, "", False, False, tags))
     return out
 

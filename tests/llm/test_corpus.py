@@ -166,6 +166,32 @@ def test_pages(spark):
     assert html.extract(none, html.learn(none)).count() == 0
 
 
+BODY = "<h1>A title</h1><p>First words of the text.</p><p>More words follow here.</p>"
+ENDS = "<section id='comments'><article><p>A reader says much.</p></article></section><footer>me</footer>"
+
+
+@pytest.mark.parametrize(
+    "whole",
+    [
+        "<div class='layout has-sidebar'><article>{}</article></div>",
+        "<div class='layout has-sidebar'><article>{}</article>" + ENDS + "</div>",
+        "<article class='post comments-open'>{}</article>" + ENDS,
+        "<main class='with-menu'><article class='post related'>{}</article>" + ENDS + "</main>",
+        "<article>{}<div class='related'><p>Read this too.</p></div></article>" + ENDS,
+        "<div class='has-sidebar'>{}<div class='share'>Share it</div></div>",
+    ],
+)
+def test_marks_do_not_empty_a_page(whole):
+    got = html.main_text(whole.replace("{}", BODY), html.Weights({}, {}, 0.5))
+    assert got == "A title\nFirst words of the text.\nMore words follow here."
+
+
+def test_names_of_headings():
+    heads = ["<h2 id='related-work'>One</h2>", "<h2 id='form-and-function'>Two</h2>", "<h3><span id='search'>Three</span></h3>"]
+    got = html.main_text("<article>" + "".join(h + "<p>Some words of text.</p>" for h in heads) + "</article>", html.Weights({}, {}, 0.5))
+    assert got.split("\n")[::2] == ["One", "Two", "Three"]
+
+
 def test_region_is_maximal():
     """The scan against all regions."""
     r = random.Random(4)
