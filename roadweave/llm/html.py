@@ -63,6 +63,8 @@ class Block:
     boilerplate: bool
     content: bool
     tags: list[str] = field(default_factory=list)
+    #: Those of the tags that belong to boilerplate.
+    aside: list[str] = field(default_factory=list)
 
 
 def marked(attributes: str) -> bool:
@@ -91,6 +93,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     tags: list[str] = []
+    around: list[float] = []  # marks around each tag since the last block, itself among them
+    arounds: list[list[float]] = []
     depths: list[int] = []  # marks around each block, those of article and main count half
     stack: list[tuple[str, int]] = []  # name and sum of 1: boilerplate, 2: content, 4: link, 8: marked, 16: marked content
     held = Counter()
@@ -102,8 +106,11 @@ def blocks(page: str) -> list[Block]:
             if flag & bit:
                 flags[bit] += by
 
+    def marks() -> float:
+        return float("inf") if flags[1] else 2 * flags[8] + flags[16]
+
     def close() -> None:
-        nonlocal tags
+        nonlocal tags, around
         whole = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if whole:
@@ -111,8 +118,9 @@ def blocks(page: str) -> list[Block]:
             block = Block(whole, whole.count(" ") + 1, "", flags[1] > 0, flags[2] > 0, tags)
             block.context = f"{name}/{'link' if flags[4] else ''}/"
             out.append(block)
+            arounds.append(around)
             depths.append(2 * flags[8] + flags[16])
-            tags = []
+            tags, around = [], []
 
     def pop_to(name: str) -> None:
         while stack:
@@ -141,6 +149,7 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
         elif closing:
             tags.append("/" + name)
+            around.append(marks())
             if held[name] > 0:
                 if name == "a" or name not in INLINE:
                     pop_to(name)
@@ -151,6 +160,7 @@ def blocks(page: str) -> list[Block]:
                     count(flag, -1)
         else:
             tags.append(name)
+            around.append(marks())
             if name in VOID:
                 continue
             if name in RAW:
@@ -176,12 +186,15 @@ def blocks(page: str) -> list[Block]:
             stack.append((name, flag))
             held[name] += 1
             count(flag, 1)
+            around[-1] = marks()
     close()
     base = believed(out, depths)
     for block, depth in zip(out, depths, strict=True):
         if block.boilerplate or depth > base:
             block.boilerplate, block.context = True, block.context + "boilerplate"
     out.append(Block("", 0, "", False, False, tags))
+    for block, marked_by in zip(out, [*arounds, around], strict=True):
+        block.aside = [t for t, n in zip(block.tags, marked_by, strict=True) if n > base]
     return out
 
 
@@ -218,8 +231,12 @@ class Weights:
         usual = 0.25 if "/link/" in block.context else 0.9
         return block.words * self.word.get(block.context, usual)
 
-    def tags(self, block: Block) -> float:
-        return -self.cost * sum(1.02 - self.tag.get(t, 0.5) for t in block.tags)
+    def tags(self, block: Block, labelled: bool = False) -> float:
+        """Tags of what is left out in any case cost nothing."""
+        if block.boilerplate or labelled and not block.content:
+            return 0.0
+        rest = Counter(block.tags) - Counter(block.aside) if block.aside else Counter(block.tags)
+        return -self.cost * sum(n * (1.02 - self.tag.get(t, 0.5)) for t, n in rest.items())
 
 
 def region(found: list[Block], weights: Weights) -> tuple[int, int]:
@@ -228,7 +245,7 @@ def region(found: list[Block], weights: Weights) -> tuple[int, int]:
     labelled = any(b.content and not b.boilerplate for b in found)
     best, first, last, total, start = 0.0, 0, -1, 0.0, 0
     for i, b in enumerate(found):
-        cost = weights.tags(b)
+        cost = weights.tags(b, labelled)
         if total + cost > 0:
             total += cost
         else:
@@ -298,7 +315,7 @@ def learn(pages: DataFrame, key: str = "page_id", page: str = "html", sample: in
                     continue
                 for row in out:
                     # the label is not shown to the scan here
-                    hidden = [Block(b.text, b.words, b.context, b.boilerplate, False, b.tags) for b in found]
+                    hidden = [Block(b.text, b.words, b.context, b.boilerplate, False, b.tags, b.aside) for b in found]
                     first, last = region(hidden, Weights(word, tag, row[0]))
                     row[1] += sum(
                         b.words * (1 if (first <= i <= last and not b.boilerplate) == truth[i] else -1)

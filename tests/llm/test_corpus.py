@@ -192,6 +192,21 @@ def test_names_of_headings():
     assert got.split("\n")[::2] == ["One", "Two", "Three"]
 
 
+@pytest.mark.parametrize("element", ["article", "div"])
+@pytest.mark.parametrize("links", ["nav", "div class='share'", "aside"])
+@pytest.mark.parametrize("inner", ["<li><a href=x>one</a></li>", "<li><a href=x><i></i></a></li>"])
+def test_links_inside_an_article(element, links, inner):
+    """A list of links between two parts costs neither of them."""
+    lead, rest = "lead " * 30, "rest " * 400
+    for first, last in ((lead, rest), (rest, lead)):
+        middle = f"<{links}><ul>{inner * 60}</ul></{links.split()[0]}>"
+        got = html.main_text(
+            f"<{element}><h1>Title</h1><p>{first}</p>{middle}<p>{last}</p></{element}>",
+            html.Weights({}, {t: 1.0 for t in ("h1", "/h1", "p", "/p")} | {t: 0.3 for t in ("li", "/li", "a", "/a")}, 3.25),
+        )
+        assert got.split("\n") == ["Title", first.strip(), last.strip()]
+
+
 def test_region_is_maximal():
     """The scan against all regions."""
     r = random.Random(4)
