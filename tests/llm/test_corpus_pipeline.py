@@ -60,9 +60,16 @@ def test_stages(spark, sf, make_docs, tmp_path):
 
 
 def test_run(spark, sf):
+    """Every row that mixing emits gets tokens; toxic documents and copies are gone."""
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
-    assert len(out) and out.doc_id.is_unique is not None
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    assert set(out.doc_id) <= set(docs.doc_id) and 2 * out.doc_id.nunique() > docs.doc_id.nunique()
+    # one document of each group of equal texts at most, and equal rows for its copies in the mix
+    texts = docs.set_index("doc_id").text[sorted(set(out.doc_id))]
+    assert not texts[texts.str.split().str.len() >= 5].duplicated().any()
+    assert (out.groupby("doc_id").ids_sha256.nunique() == 1).all()
+    assert (out.n_tokens >= 0).all() and out.decoded_sha256.str.len().eq(64).all()
 
 
 def test_held_out_rule():
