@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,23 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000) -> Iterator[pa.
             yield batch.slice(a, most)
 
 
+def byte_slices(
+    batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = 1_000
+) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts in ``column`` hold at most ``most`` bytes and ``rows`` rows; a longer text comes alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).tolist()
+        a, held = 0, 0
+        for b, size in enumerate(sizes):
+            if b > a and (held + size > most or b - a >= rows):
+                yield batch.slice(a, b - a)
+                a, held = b, 0
+            held += size
+        yield batch.slice(a)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; at their end the worker, which Spark keeps, gives unused memory back."""
     try:
@@ -91,4 +109,4 @@ def runs(
         yield [rest]
 
 
-__all__ = ["SMALL_IDS", "WORD", "bounded", "released", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]
+__all__ = ["SMALL_IDS", "WORD", "bounded", "byte_slices", "released", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]

@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import ann, html, licenses, mixing, neardup, passages, sharding, tokens, topk, toxicity
+from roadweave.llm import (
+    ann,
+    html,
+    licenses,
+    mixing,
+    neardup,
+    passages,
+    periods,
+    quality,
+    sharding,
+    spelling,
+    tokens,
+    topk,
+    toxicity,
+)
 from roadweave.llm.common import table
 from roadweave.llm.registry import ORACLES, QUERIES, query
 
@@ -100,3 +114,24 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token ids and the text decoded from them, as digests."""
     return tokens.digests(table(spark, sf, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+
+
+@query("op11_periods")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """The periodic runs of every document, every tenth of which repeats a stretch of its words."""
+    docs = periods.planted(table(spark, sf, "documents", "doc_id", "text"))
+    return periods.digests(periods.periodic_runs(docs))
+
+
+@query("op12_quality", quality.oracle())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality rules' verdict on every document."""
+    docs = table(spark, sf, "documents", "doc_id", "lang", "text")
+    return quality.rules(docs, table(spark, sf, "labels", "doc_id", "quality")).drop("failed")
+
+
+@query("op13_spelling", spelling.ORACLE)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """The spelling variants among the words of all documents, one in 199 of which lost a letter."""
+    runs = spelling.letter_runs(table(spark, sf, "documents", "doc_id", "text"))
+    return spelling.variants(spelling.vocabulary(spelling.misspelt(runs)))
