@@ -116,6 +116,19 @@ def nearest_bin_join(
     return near.join(bins, [*keys, "bin"])
 
 
+def with_candidates(flows: DataFrame, tolerance_min: float, minutes: int = C.BIN_MINUTES) -> DataFrame:
+    """A row for each bin start of the flow's day within the tolerance, in the column bin."""
+    step = minutes * 60_000_000
+    at = F.unix_micros(F.col("datetime").cast("timestamp"))
+    tol = F.lit(int(round(tolerance_min * 60_000_000)))
+    grid = F.sequence(F.ceil((at - tol) / F.lit(step)).cast("long"), F.floor((at + tol) / F.lit(step)).cast("long"))
+    return (
+        flows.withColumn("bin", F.explode(grid))
+        .withColumn("bin", F.timestamp_micros(F.col("bin") * F.lit(step)))
+        .where(F.to_date("bin") == F.to_date("datetime"))
+    )
+
+
 def candidate_bin_join(
     flows: DataFrame, bins: DataFrame, keys: list[str], tolerance_min: float, minutes: int = C.BIN_MINUTES
 ) -> DataFrame:
@@ -124,16 +137,7 @@ def candidate_bin_join(
     Bins lie on a grid, so a row is dealt to its 2 * tolerance / bin + 1 candidates at most
     and joined by equality; the nearest one found is picked per row.
     """
-    step = minutes * 60_000_000
-    at = F.unix_micros(F.col("datetime").cast("timestamp"))
-    tol = F.lit(int(round(tolerance_min * 60_000_000)))
-    grid = F.sequence(F.ceil((at - tol) / F.lit(step)).cast("long"), F.floor((at + tol) / F.lit(step)).cast("long"))
-    near = (
-        flows.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("bin", F.explode(grid))
-        .withColumn("bin", F.timestamp_micros(F.col("bin") * F.lit(step)))
-        .where(F.to_date("bin") == F.to_date("datetime"))
-    )
+    near = with_candidates(flows.withColumn("_row", F.monotonically_increasing_id()), tolerance_min, minutes)
     joined = near.join(bins, [*keys, "bin"])
     gap = F.abs(F.unix_micros("bin") - F.unix_micros(F.col("datetime").cast("timestamp")))
     value = [c for c in joined.columns if c not in ("_row", "bin")]

@@ -11,6 +11,7 @@ from roadweave.functions.rules import congestion, speed_level
 from roadweave.functions.times import flag, fused_calendar, station_calendar
 from roadweave.operators import series
 from roadweave.session import materialize
+from roadweave.streaming import history
 
 FUSED_KEYS = ("date", "datetime", "region", "etag_pair", "vehicle_type_code", "flow_pos")
 FUSED_TARGET = "speed_mean"
@@ -253,10 +254,33 @@ def station_features(
     wide = series.lags_and_rolling(
         vd, list(keys), list(order), list(targets), horizon=horizon, parts=parts
     )
+    return station_row_features(wide, encoding)
+
+
+def station_row_features(wide: DataFrame, encoding: DataFrame | None = None) -> DataFrame:
+    """Calendar, station and interaction features, which need no other row."""
     wide = wide.withColumns(station_calendar(F.col("update_time")))
     return interactions(station_columns(wide, encoding))
 
 
+def streamed_station_features(
+    vd: DataFrame,
+    keys: tuple[str, ...] = ("vd_id", "lane_id"),
+    order: tuple[str, ...] = ("update_time",),
+    targets: tuple[str, ...] = ("speed",),
+    encoding: DataFrame | None = None,
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """``station_features`` of a stream of detector rows.
+
+    The state store keeps the last values of each lane; a row is given out once the watermark
+    has passed it, with the features the batch gives it.
+    """
+    before = max(*series.PERIODS, max(series.WINDOWS) - 1)
+    rows = history.with_history(vd, list(keys), list(order), list(targets), before, delay)
+    return station_row_features(series.from_history(rows, list(targets)), encoding)
+
+
 def numeric_columns(df: DataFrame, exclude: list[str]) -> list[str]:
     return [
         f.name

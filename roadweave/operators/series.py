@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadweave.session import materialize
+from roadweave.streaming.history import BEFORE
 
 _PART, _HALO = "_series_part", "_series_halo"
 
+# --- fixed values: lags and frames of the station features -----------------
+PERIODS, WINDOWS = (1, 2, 3, 6, 12), (3, 6, 12)
+
 
 def _ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None) -> DataFrame:
     """``df`` by ranges of (key, order), with the number of its range; stored, so that
@@ -103,7 +107,7 @@ def lags(
     keys: list[str],
     order: list[str],
     targets: list[str],
-    periods: tuple[int, ...] = (1, 2, 3, 6, 12),
+    periods: tuple[int, ...] = PERIODS,
     fill: float | None = None,
     parts: int | None = None,
 ) -> DataFrame:
@@ -121,7 +125,7 @@ def rolling(
     keys: list[str],
     order: list[str],
     targets: list[str],
-    windows: tuple[int, ...] = (3, 6, 12),
+    windows: tuple[int, ...] = WINDOWS,
     parts: int | None = None,
 ) -> DataFrame:
     """Mean, sample sd, min and max over the last ``w`` rows, the current one included."""
@@ -137,8 +141,8 @@ def lags_and_rolling(
     keys: list[str],
     order: list[str],
     targets: list[str],
-    periods: tuple[int, ...] = (1, 2, 3, 6, 12),
-    windows: tuple[int, ...] = (3, 6, 12),
+    periods: tuple[int, ...] = PERIODS,
+    windows: tuple[int, ...] = WINDOWS,
     horizon: int = 0,
     parts: int | None = None,
 ) -> DataFrame:
@@ -154,6 +158,47 @@ def lags_and_rolling(
     return over_rows(df, keys, order, targets, build, before=reach, after=horizon, parts=parts)
 
 
+def from_history(
+    df: DataFrame,
+    targets: list[str],
+    periods: tuple[int, ...] = PERIODS,
+    windows: tuple[int, ...] = WINDOWS,
+) -> DataFrame:
+    """The columns of ``lags_and_rolling`` from the arrays of earlier values (``_before_<target>``, nearest last)."""
+    out: dict[str, Column] = {}
+    for t in targets:
+        past = F.col(BEFORE.format(t))
+        for p in periods:
+            out[f"{t}_lag_{p}"] = F.get(past, F.size(past) - p)
+        for n in windows:
+            have = F.least(F.size(past), F.lit(n - 1))
+            frame = F.concat(F.slice(past, F.size(past) - have + 1, have), F.array(F.col(t).cast("double")))
+            for name, value in _array_statistics(frame).items():
+                out[f"{t}_rolling_{name}_{n}"] = value
+    return df.withColumns(out).drop(*[BEFORE.format(t) for t in targets])
+
+
+def _array_statistics(values: Column) -> dict[str, Column]:
+    """Mean, sample sd, min and max of an array's values that are not null; each null without any."""
+    there = F.filter(values, lambda x: x.isNotNull())
+    n = F.size(there)
+    total = F.aggregate(there, F.lit(0.0), lambda acc, x: acc + x)
+    mean = F.when(n > 0, total / n)
+    # the one-element array names the mean, so it is not computed again for each value
+    apart = F.get(
+        F.transform(
+            F.array(mean), lambda m: F.aggregate(there, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+        ),
+        F.lit(0),
+    )
+    return {
+        "mean": mean,
+        "std": F.when(n > 1, F.sqrt(apart / (n - 1))),
+        "min": F.array_min(there),
+        "max": F.array_max(there),
+    }
+
+
 def later(
     df: DataFrame,
     keys: list[str],

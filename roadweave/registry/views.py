@@ -85,6 +85,39 @@ def lanes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """A dense detector history: eight detectors of up to seven lanes, a snapshot each minute.
+
+    Every eight orders of ``lineitem`` are a minute, an order is a detector, its line numbers
+    are lanes. Speeds go up and down every four hours, by the quantity more or less.
+    """
+    k, minute = F.col("l_orderkey"), F.floor(F.col("l_orderkey") / 8)
+    lines = (
+        table(spark, sf, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(F.max("l_quantity").alias("q"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    )
+    speed = 20 + F.floor(F.abs(minute % 240 - 120) / 2) + F.floor(F.col("q") / 5)
+    return (
+        lines.withColumn("update_time", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * minute))
+        .withColumn("speed", speed.cast("int"))
+        .select(
+            F.to_date("update_time").alias("date"),
+            "update_time",
+            _vd_id(20 + k % 8).alias("vd_id"),
+            F.col("l_linenumber").cast("int").alias("lane_id"),
+            F.lit(1).alias("lane_type"),
+            "speed",
+            (F.col("p") % 40).cast("int").alias("occupancy"),
+            *[c.alias(n) for n, c in _volumes((F.col("p") * 7 + F.col("s")) % 120).items()],
+            F.col("speed").alias("speed_small"),
+            (F.col("speed") - 3).alias("speed_large"),
+            (F.col("speed") - 6).alias("speed_truck"),
+            time_category(F.col("update_time")).alias("time_category"),
+        )
+    )
+
+
 def raw_tolls_of(events: DataFrame) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
     pair = (
@@ -170,6 +203,17 @@ LANES_SQL = f"""lanes as (
       l_quantity * 3.5::double * 0.8::double as speed_truck
     from lineitem))"""
 
+SNAPSHOTS_SQL = f"""snapshots as materialized (
+  select *, {CATEGORY_SQL} as time_category from (
+    select cast(update_time as date) as date, update_time, vd_id, lane_id, 1 as lane_type, speed, p % 40 as occupancy,
+      {_volumes_sql('((p * 7 + s) % 120)')},
+      speed as speed_small, speed - 3 as speed_large, speed - 6 as speed_truck
+    from (select timestamp '2024-01-01' + to_minutes((l_orderkey // 8)::int) as update_time,
+        {_vd_id_sql('(20 + l_orderkey % 8)')} as vd_id, l_linenumber::int as lane_id,
+        (20 + abs((l_orderkey // 8) % 240 - 120) // 2 + floor(max(l_quantity) / 5))::int as speed,
+        min(l_partkey) as p, min(l_suppkey) as s
+      from lineitem group by l_orderkey, l_linenumber)))"""
+
 TOLLS_SQL = """pair_info(etag_pair_id, segment_name, distance_km, direction) as (values
     ('01F0017N-01F0005N', '台北→圓山', 1.8::double, 'N'),
     ('01F0005S-01F0017S', '圓山→台北', 1.8::double, 'S'),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from roadweave.functions.times import time_category
 from roadweave.session import scratch_path
 
 LANE_KEY = ("date", "vd_id", "lane_id", "update_time")
+#: Partition column of tables that are kept by the hour.
+HOUR = "at_hour"
 LANE_SCHEMA = (
     "update_time timestamp, vd_id string, lane_id int, lane_type int, speed int, occupancy int,"
     " volume_total int, volume_small int, volume_large int, volume_truck int, speed_small int,"
@@ -62,46 +66,71 @@ def one_per_key(df: DataFrame, key: tuple[str, ...], latest: tuple[str, ...] = (
     return df.groupBy(*key).agg(pick).select(*[c if c in key else f"_row.{c}" for c in df.columns])
 
 
+def stored_keys(spark: SparkSession, path: str, key: tuple[str, ...], rows: DataFrame, hourly: bool) -> DataFrame:
+    """The keys a table holds for the dates of ``rows``, with ``hourly`` for their hours only.
+
+    Both lists are bounded by the calendar and prune partitions, so a batch of a few minutes
+    reads the keys of an hour or two, however long the day already is.
+    """
+    held = spark.read.parquet(path)
+    if not hourly:
+        return on_dates(held, dates_in(rows)).select(*key)
+    slots = rows.select("date", HOUR).distinct().collect()
+    hours = F.col(HOUR).isin([r[1] for r in slots if r[1] is not None])
+    if any(r[1] is None for r in slots):
+        hours = hours | F.col(HOUR).isNull()
+    return on_dates(held, list({r[0] for r in slots})).where(hours).select(*key)
+
+
 def append_new(
     df: DataFrame,
     path: str,
     key: tuple[str, ...] = LANE_KEY,
     partitions: tuple[str, ...] = ("date",),
     latest: tuple[str, ...] = (),
+    time: str | None = None,
+    first: Callable[[DataFrame], None] | None = None,
 ) -> list:
     """Append the rows whose key the table does not hold yet; return the dates at hand.
 
     Of several new rows of one key the last by ``latest`` stays. The rows are written to
     the shared folder first, so their source is read once; that copy is removed at the
-    end, also when a step fails. Of the table only the key columns of those dates are
-    read back. Running a day again neither loses nor repeats rows.
+    end, also when a step fails. With ``time``, a column of the key, the table is also
+    partitioned by its hour, and only the keys of the batch's hours are read back; else
+    those of its dates. ``first`` is given the new rows before they are appended. Running a
+    day again neither loses nor repeats rows.
     """
     spark = df.sparkSession
     copy = scratch_path(spark, "append")
+    if time is not None:
+        df, partitions = df.withColumn(HOUR, F.hour(time)), (*partitions, HOUR)
     try:
         one_per_key(df, key, latest).write.parquet(copy)
         fresh = spark.read.schema(df.schema).parquet(copy).select(*df.columns)
         dates = dates_in(fresh)
         if exists(spark, path):
-            stored = on_dates(spark.read.parquet(path), dates).select(*key)
-            fresh = fresh.join(stored, list(key), "left_anti")
+            held = stored_keys(spark, path, key, fresh, time is not None)
+            fresh = fresh.join(held, list(key), "left_anti")
+        if first is not None:
+            first(fresh.drop(HOUR))
         write_days(fresh, path, partitions, mode="append")
         return dates
     finally:
         remove(spark, copy)
 
 
-def write_lane_days(vd: DataFrame, path: str) -> list:
-    """Lane rows with their time category, partitioned by date and category.
+def write_lane_days(vd: DataFrame, path: str, first: Callable[[DataFrame], None] | None = None) -> list:
+    """Lane rows with their time category, partitioned by date, category and hour.
 
     Peak and off-peak copies are filters on ``time_category``, not further files.
+    ``first`` is given the new rows before they are appended.
     """
     labelled = (
         vd
         if "time_category" in vd.columns
         else vd.withColumn("time_category", time_category(F.col("update_time")))
     )
-    return append_new(labelled, path, LANE_KEY, ("date", "time_category"))
+    return append_new(labelled, path, LANE_KEY, ("date", "time_category"), time="update_time", first=first)
 
 
 def load_days(
@@ -113,7 +142,7 @@ def load_days(
     """
     if empty is not None and not exists(spark, path):
         return spark.createDataFrame([], empty)
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop(HOUR)
     return df if date is None else df.where(F.col("date") == F.to_date(F.lit(date)))
 
 
