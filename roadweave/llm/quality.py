@@ -13,14 +13,15 @@ from roadweave.llm.common import bounded, stored, unused
 FEWEST, REPEATED = 20, 30
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 
-#: Rules, each a measure of a text and its cutoffs from the most lenient to the strictest.
-#: A text with a measure above a cutoff is rejected by it.
+#: Rules: a name, a quotient of two measures of a text, and its cutoffs from the most lenient
+#: to the strictest. A text whose quotient is above a cutoff is rejected by it, or below it where
+#: the cutoffs rise. A quotient by 0 rejects nothing.
 RULES = (
-    ("symbols", "n_symbols / n_words", (2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.25, 0.1)),
-    ("long_words", "word_chars / n_words", (16.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0, 6.5)),
-    ("short_words", "-word_chars / n_words", (-1.5, -2.0, -2.5, -3.0, -3.5, -3.75, -4.0)),
-    ("dup_lines", "n_dup_lines / n_lines", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    ("repeats", "n_repeat_words / n_words", (0.28, 0.25, 0.2, 0.15, 0.1, 0.05)),
+    ("symbols", "n_symbols", "n_words", (2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.25, 0.1)),
+    ("long_words", "word_chars", "n_words", (16.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0, 6.5)),
+    ("short_words", "word_chars", "n_words", (1.5, 2.0, 2.5, 3.0, 3.5, 3.75, 4.0)),
+    ("dup_lines", "n_dup_lines", "n_lines", (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
+    ("repeats", "n_repeat_words", "n_words", (0.28, 0.25, 0.2, 0.15, 0.1, 0.05)),
 )
 #: All rules together reject at most this share of the good texts of each stratum, and that
 #: holds in all strata at once with probability 1 - DELTA.
@@ -131,13 +132,14 @@ class Control:
 
 
 def levels(rules: tuple) -> Column:
-    """For each rule the number of its cutoffs, the strictest first, that a text exceeds."""
-    return F.array(
-        *[
-            F.coalesce(sum((F.expr(value) > c).cast("int") for c in cutoffs), F.lit(0))
-            for _, value, cutoffs in rules
-        ]
-    )
+    """For each rule the number of its cutoffs, the strictest first, that reject a text."""
+
+    def hits(top: str, bottom: str, cutoffs: tuple) -> Column:
+        value = F.try_divide(F.col(top), F.col(bottom))
+        rising = cutoffs[-1] > cutoffs[0]
+        return F.coalesce(sum(((value < c) if rising else (value > c)).cast("int") for c in cutoffs), F.lit(0))
+
+    return F.array(*[hits(*rule[1:]) for rule in rules])
 
 
 def thresholds(labelled: DataFrame, control: Control = Control()) -> DataFrame:
@@ -154,7 +156,7 @@ def thresholds(labelled: DataFrame, control: Control = Control()) -> DataFrame:
     """
     rules = control.rules
     risk = control.risk / len(rules)
-    sizes = F.array(*[F.lit(len(c)) for _, _, c in rules])
+    sizes = F.array(*[F.lit(len(c)) for *_, c in rules])
     found = (
         labelled.filter("good is not null")
         .select("stratum", "good", F.posexplode(levels(rules)).alias("rule", "hits"))
@@ -194,7 +196,7 @@ def thresholds(labelled: DataFrame, control: Control = Control()) -> DataFrame:
             x["p_value"].alias("p_value"),
         ),
     )
-    values = F.array(*[F.array(*map(F.lit, c)) for _, _, c in rules])
+    values = F.array(*[F.array(*map(F.lit, c)) for *_, c in rules])
     return (
         sequence.withColumn("best", F.array_max(gains))
         .filter("best.gain > 0")
@@ -240,11 +242,11 @@ def rules(
     limits = chosen.groupBy(F.col("stratum").alias("_stratum")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("_limits")
     )
-    sizes = [len(c) for _, _, c in control.rules]
+    sizes = [len(c) for *_, c in control.rules]
     hits = levels(control.rules)
     names = [
         F.when(F.get(hits, F.lit(i)) >= F.lit(sizes[i]) - F.col("_limits")[F.lit(i)], F.lit(name))
-        for i, (name, _, _) in enumerate(control.rules)
+        for i, (name, *_) in enumerate(control.rules)
     ]
     judged = (
         measured.join(bounded(limits, STRATA), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
@@ -258,8 +260,10 @@ def rules(
 
 def oracle(control: Control = Control()) -> str:
     """The same for ``documents`` and ``labels``, windows as joined words and tails by the gamma function."""
-    grid = ", ".join(f"({i}, {len(c)}, {at}, {x}::double)" for i, (_, _, c) in enumerate(control.rules) for at, x in enumerate(c))
-    value = " ".join(f"when {i} then {v.replace('/', '::double /')}" for i, (_, v, _) in enumerate(control.rules))
+    grid = ", ".join(
+        f"({i}, {at}, {x}::double, {1 if c[-1] < c[0] else -1})" for i, (*_, c) in enumerate(control.rules) for at, x in enumerate(c)
+    )
+    value = " ".join(f"when {i} then {a}::double / nullif({b}, 0)" for i, (_, a, b, _) in enumerate(control.rules))
     risk = control.risk / len(control.rules)
     w = r"[^\x20\x09-\x0D]+"
     return rf"""
@@ -281,9 +285,9 @@ m as (
     len(ls)::bigint as n_lines
   from d left join rep using (r)),
 b as (select *, n_words < {FEWEST} or 100 * n_repeat_words > {REPEATED} * n_words as base_failed from m),
-grid as (select * from (values {grid}) v(rule, size, step, cutoff)),
+grid as (select * from (values {grid}) v(rule, step, cutoff, way)),
 hit as (
-  select r, lang, rule, step, coalesce(case rule {value} end > cutoff, false) as hit from b, grid where n_words > 0),
+  select r, lang, rule, step, coalesce(way * case rule {value} end > way * cutoff, false) as hit from b, grid),
 marks as (select doc_id, min(quality) > 0 as good from labels where quality is not null group by doc_id),
 held as (select b.r, b.lang, good from b join marks using (doc_id) where not base_failed),
 tested as (
