@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -12,11 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.llm import shingles
 from roadweave.session import materialize, scratch_path
 
 #: Ids are broadcast up to this many (8 MB); longer lists are joined by a shuffle.
 SMALL_IDS = 1_000_000
 
+#: Rows of a batch that goes to Python.
+BATCH = 1_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,11 +78,18 @@ def byte_slices(
         yield batch.slice(a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand rows to Python in batches of BATCH rows, so that neither side holds many whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at their end the worker, which Spark keeps, gives unused memory back."""
+    """The batches; at their end the worker, which Spark keeps, forgets words and gives unused memory back."""
     try:
         yield from batches
     finally:
+        shingles.forget()
+        gc.collect()
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             ctypes.CDLL(None).malloc_trim(0)
@@ -109,4 +121,4 @@ def runs(
         yield [rest]
 
 
-__all__ = ["SMALL_IDS", "WORD", "bounded", "byte_slices", "released", "runs", "scratch_path", "slices", "stored", "table", "unit_hash", "unused"]
+__all__ = ["SMALL_IDS", "WORD", "bounded", "byte_slices", "released", "runs", "scratch_path", "slices", "small_batches", "stored", "table", "unit_hash", "unused"]

@@ -21,7 +21,7 @@ from roadweave.llm import (
     topk,
     toxicity,
 )
-from roadweave.llm.common import table
+from roadweave.llm.common import small_batches, table
 from roadweave.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,12 +76,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_near_duplicates")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """The near-duplicate class of every document: three-word shingles, similarity 0.85 or more."""
+    small_batches(spark)
     return neardup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), k=3, percent=85)
 
 
 @query("op8_main_text")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every page."""
+    small_batches(spark)
     pages = table(spark, sf, "pages", "page_id", "url", "html")
     return html.extract(pages, html.learn(pages))
 
@@ -89,12 +91,14 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_passages")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every passage of 50 words or more that an earlier document holds too."""
+    small_batches(spark)
     return passages.repeated_passages(table(spark, sf, "documents", "doc_id", "text"))
 
 
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """The toxicity of every document."""
+    small_batches(spark)
     docs = table(spark, sf, "documents", "doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select(
@@ -113,12 +117,14 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @query("op5_tokens")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's token ids and the text decoded from them, as digests."""
+    small_batches(spark)
     return tokens.digests(table(spark, sf, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
 @query("op11_periods")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     """The periodic runs of every document, every tenth of which repeats a stretch of its words."""
+    small_batches(spark)
     docs = periods.planted(table(spark, sf, "documents", "doc_id", "text"))
     return periods.digests(periods.periodic_runs(docs))
 

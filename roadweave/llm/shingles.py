@@ -14,7 +14,7 @@ class Hashes(dict):
 
     def __init__(self):
         super().__init__()
-        self.values64 = np.empty(1 << 16, dtype=np.uint64)
+        self.values64 = np.empty(1 << 10, dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
@@ -28,6 +28,12 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def forget() -> None:
+    """Empties the worker's memory of words."""
+    global _hashes
+    _hashes = Hashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finisher of murmur3)."""
     x = x ^ (x >> np.uint64(33))

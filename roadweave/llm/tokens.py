@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -13,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import released, slices
+from roadweave.llm.common import byte_slices, released, slices
 
-#: Rows whose words are looked up together, words that go into one recursive query, and
-#: tokens into one decoding query.
-ROWS, WORDS, TOKENS = 1_000, 25_000, 200_000
+#: Bytes of the texts whose words are looked up together (a longer text alone), words that go
+#: into one recursive query, and tokens into one decoding query.
+BYTES, WORDS, TOKENS = 2_000_000, 25_000, 200_000
 #: A worker remembers the tokens of so many different words, then starts anew.
 REMEMBERED = 200_000
 #: The recursive query takes a round for each merge of its longest word. Words of more bytes
@@ -62,6 +63,14 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
+def name_of(ranks: dict[bytes, int], pattern: str) -> str:
+    """A digest of a vocabulary and its pattern."""
+    digest = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    return digest.hexdigest()
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -217,16 +226,17 @@ class Codec:
         return out
 
 
-_codecs: dict = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    """This worker's codec; it is kept over partitions, so words are merged once."""
-    key = (len(ranks), hash(pattern), sum(ranks.values()))
-    if key not in _codecs:
+def codec(name: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """This worker's codec of the vocabulary called ``name``; it is kept over partitions, so words are merged once."""
+    if name not in _codecs:
+        for old in _codecs.values():
+            old.duck.close()
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+        _codecs[name] = Codec(ranks, pattern)
+    return _codecs[name]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -238,11 +248,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     read on the driver and sent along (about 1 MB).
     """
     ranks = ranks_of(ranks_path)
+    name = name_of(ranks, pattern)
     kept = [c for c in docs.columns if c != ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in slices(batches, ROWS):
+        own = codec(name, ranks, pattern)
+        for batch in byte_slices(batches, text, BYTES):
             found = own.encode(batch[text].to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), found], names=[*kept, ids])
 
@@ -257,11 +268,12 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
     Null and empty ids give no bytes; ids outside the vocabulary stand for nothing.
     """
     ranks = ranks_of(ranks_path)
+    name = name_of(ranks, pattern)
     kept = [c for c in rows.columns if c != out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in slices(batches, ROWS):
+        own = codec(name, ranks, pattern)
+        for batch in slices(batches):
             raw = own.decode(batch[ids].cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in kept), pa.array(raw, pa.binary())], names=[*kept, out]
@@ -278,11 +290,12 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Encoding and decoding share a pass, so a task needs one worker and ids are not sent to and fro.
     """
     ranks = ranks_of(ranks_path)
+    name = name_of(ranks, pattern)
     kept = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
-        for batch in slices(batches, ROWS):
+        own = codec(name, ranks, pattern)
+        for batch in byte_slices(batches, "text", BYTES):
             ids = own.encode(batch["text"].to_pylist())
             decoded = pa.array(own.decode(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), ids, decoded], names=[*kept, "ids", "decoded"])

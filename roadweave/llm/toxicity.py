@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import bounded, released, stored
+from roadweave.llm.common import bounded, byte_slices, released, stored
 
 #: The model is learned from about this many labelled rows that are not toxic and that are,
 #: taken by the hash of their keys, and from at most WINDOWS stretches of REACH words on both
@@ -28,6 +28,8 @@ LEAST, EVIDENCE, FEATURES = 4, 2.5, 4_000
 SURE = 0.95
 #: A score from which a document is rejected.
 THRESHOLD = 0.3
+#: Bytes of the texts that a worker treats at once (a longer text alone).
+BYTES = 4_000_000
 #: Words whose score a worker remembers.
 REMEMBERED = 100_000
 
@@ -168,7 +170,7 @@ def telling(rows: DataFrame) -> dict[str, tuple[float, float]]:
     """Features that tell toxic rows from others: the smoothed probability of toxic."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, "text", BYTES):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for t, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 words = {w for w in WORDS.findall(t.lower()) if len(w) > 2}
@@ -215,7 +217,7 @@ def windows(rows: DataFrame, lexicon: dict[str, tuple[float, float]]) -> tuple[n
     sure = {f for f, (p, _) in lexicon.items() if p >= SURE}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, "text", BYTES):
             data, label = [], []
             for t, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 words = WORDS.findall(t.lower())
@@ -332,7 +334,7 @@ def learn(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, "text", BYTES):
             found = np.array([model.tagged(t)[0] for t in batch["text"].to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(found[:, i], pa.float64()) for i in range(3)), batch["toxic"], batch["weight"]],
@@ -359,7 +361,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "tox_
     kept = [c for c in docs.columns if c not in {prefix + n for n in new}]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, text, BYTES):
             scores, starts, ends, marginals = [], [], [], []
             for t in batch[text].to_pylist():
                 values, spans, found = model.tagged(t)

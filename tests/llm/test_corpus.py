@@ -327,6 +327,20 @@ def test_both_mergers_agree(reference):
         assert codec.heaped(w) == list(a)
 
 
+def test_two_vocabularies_of_one_size(spark, make_docs, tmp_path):
+    """A worker that is kept never encodes with the vocabulary of another query."""
+    single = [bytes([i]) for i in range(256)]
+    docs = make_docs([(1, "abcab"), (2, "bca")]).coalesce(1)
+    for name, extra in (("one", [b"ab", b"bc"]), ("two", [b"bc", b"ab"]), ("three", [b"ca", b"cab"])):
+        ranks = {t: i for i, t in enumerate(single + extra)}
+        path = tmp_path / name
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+        own = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for _ in range(2):
+            got = tokens.encode(docs, str(path), public_tokenizers.PATTERN).collect()
+            assert {r.doc_id: list(r.ids) for r in got} == {1: own.encode("abcab"), 2: own.encode("bca")}
+
+
 def test_tokens_of_given_documents(spark, sf, reference):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     for r in tokens.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
