@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm import mixing, neardup, passages, tokens, toxicity
-from roadweave.llm.common import SMALL_IDS, bounded, stored, table, unused
+from roadweave.llm.common import SMALL_IDS, bounded, small_batches, stored, table, unused
 
 #: Near-duplicates share 80 % of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -26,6 +26,7 @@ def _columns(docs: DataFrame) -> list:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold; those without text stay."""
+    small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     new = unused(docs, "tox_")
     scored = toxicity.score(docs, model, prefix=new)
@@ -37,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are in no class; rows repeated with one id and text go.
     """
+    small_batches(spark)
     found = stored(neardup.near_duplicates(docs, k=SHINGLE, percent=PERCENT), "pipeline-classes")
     copies = found.filter("not kept").select("doc_id")
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -48,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds too; n_chars follows."""
+    small_batches(spark)
     found = stored(passages.repeated_passages(docs, least=PASSAGE, similarity=SIMILARITY), "pipeline-passages")
     left = passages.without(docs, found)
     if "n_chars" in docs.columns:
@@ -64,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts of what was emitted, as digests."""
+    small_batches(spark)
     return tokens.digests(docs.select("doc_id", "source", "text"), RANKS, public_tokenizers.PATTERN)
 
 
