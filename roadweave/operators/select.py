@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.operators.features import FUSED_KEYS, FUSED_TARGET, numeric_columns
+from roadweave.operators.moments import Moments, moments
 
 CORRELATION_LIMIT = 0.95
 
@@ -41,11 +40,7 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> list[list[float]]:
 
     Only the (columns x columns) matrix reaches the driver.
     """
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    if filled.limit(2).count() < 2:
-        return [[math.nan] * len(features) for _ in features]
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(filled).select("v")
-    return Correlation.corr(vectors, "v").head()[0].toArray().tolist()
+    return moments(df, features).correlations()
 
 
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
@@ -70,34 +65,22 @@ def uncorrelated(
 
 
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """F statistic of the linear regression of ``target`` on each single feature."""
-    filled = fill_for_model(df, features, target)
-    y = F.col(target)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in features:
-        r = F.try_divide(F.covar_pop(F.col(c), y), F.stddev_pop(c) * F.stddev_pop(y))
-        aggs.append(r.alias(c))
-    row = filled.agg(*aggs)
-    parts = ", ".join(f"'{c}', `{c}`" for c in features)
-    r2 = F.col("r") * F.col("r")
-    return (
-        row.select("n", F.expr(f"stack({len(features)}, {parts}) as (feature, r)"))
-        .withColumn("f_score", F.try_divide(r2, F.lit(1.0) - r2) * (F.col("n") - 2))
-        .select("feature", "r", "f_score")
-    )
+    """F statistic of the linear regression of ``target`` on each single feature, from one pass."""
+    rows = moments(df, features, target).f_scores()
+    return df.sparkSession.createDataFrame(rows, "feature string, r double, f_score double")
 
 
-def k_best(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
+def k_best(found: Moments, features: list[str], k: int) -> list[str]:
     """The ``k`` features of highest F, in column order; all when there are at most ``k``."""
     if len(features) <= k:
         return list(features)
-    scored = {r["feature"]: r for r in f_scores(df, features, target).collect()}
+    scored = {name: (r, f) for name, r, f in found.f_scores()}
 
     def score(c: str) -> float:
-        row = scored[c]
-        if row["r"] is None:
+        r, f = scored[c]
+        if r is None:
             return -math.inf
-        return math.inf if row["f_score"] is None else row["f_score"]
+        return math.inf if f is None else f
 
     best = sorted(features, key=score, reverse=True)[:k]
     return [c for c in features if c in set(best)]
@@ -143,13 +126,9 @@ class FrozenFeatures:
 
 def fit_scaler(df: DataFrame, features: list[str], target: str) -> FrozenFeatures:
     """Mean and population sd of every feature (null counts as 0); sd 0 scales by 1."""
-    aggs = []
-    for i, c in enumerate(features):
-        value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        aggs += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    means = tuple(float(row[f"m{i}"] or 0.0) for i in range(len(features)))
-    sds = tuple(float(row[f"s{i}"] or 0.0) or 1.0 for i in range(len(features)))
+    found = moments(df, features)
+    means = tuple(float(m) for m in found.means)
+    sds = tuple(float(d) or 1.0 for d in found.deviations)
     return FrozenFeatures(target, tuple(features), means, sds)
 
 
@@ -161,8 +140,8 @@ def select_features(
 ) -> list[str]:
     """Numeric candidates, minus near-duplicates, cut to the ``k`` best by F."""
     names = candidates(df, target, keys)
-    kept = uncorrelated(names, correlation_matrix(df, names))
-    return k_best(df, kept, target, k)
+    found = moments(df, names, target)  # correlations and F come from one scan
+    return k_best(found, uncorrelated(names, found.correlations()), k)
 
 
 def fit_on_first_day(

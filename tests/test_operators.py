@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadweave import constants as C
 from roadweave.operators import align, clean, features, metrics, profile, select, summary
+from roadweave.operators.moments import moments
 from roadweave.registry import views
 from roadweave.sources import tables
 
@@ -167,7 +168,8 @@ def test_k_best_and_scaling(spark):
         F.lit(4.0).alias("const"),
         F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("half"),
     )
-    assert select.k_best(df, ["weak", "near", "const", "half"], "y", 2) == ["near", "half"]
+    names = ["weak", "near", "const", "half"]
+    assert select.k_best(moments(df, names, "y"), names, 2) == ["near", "half"]
     frozen = select.fit_scaler(df, ["near", "const"], "y")
     assert frozen.sds[1] == 1.0
     out = frozen.transform(df, ()).agg(F.avg("near"), F.stddev_pop("near"), F.avg("const")).first()
