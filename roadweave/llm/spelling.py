@@ -94,27 +94,65 @@ def grams(words: DataFrame) -> DataFrame:
     )
 
 
+def _side_keys(probe: bool) -> Column:
+    """Keys of the gram at place ``at`` of ``word``: what is equal in a near word whose gram is left whole.
+
+    The edit lies on one side of the gram; the other side and the gram agree. Of the l letters
+    on the side of the edit, the first h or the last h agree too, h = floor(l / 2). l is that of
+    the pivot's word; the other's may be one more or less, so it gives the keys of all l that
+    can be meant. Places are fixed by the key: from the front for an edit behind the gram,
+    from the end for one in front.
+    """
+    word, at, n = F.col("word"), F.col("at"), F.length("word")
+
+    def halves(letters: Column) -> Column:
+        """Possible h for so many letters on the side of the edit."""
+        own = F.floor(letters / 2).cast("int")
+        if not probe:
+            return F.array(own)
+        near = [F.floor((letters + d) / 2).cast("int") for d in (-1, 0, 1)]
+        return F.filter(F.array_distinct(F.array(*near)), lambda h: h >= 0)
+
+    def key(kind: str, *parts: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *parts)
+
+    cut = lambda start, length: F.substring(word, start, length)
+    rest, none = n - at - 2, F.lit(None).cast("long")
+    behind = lambda h: F.array(
+        key("behind, first", at, h, cut(F.lit(1), at + 2 + h)),
+        F.when(h > 0, key("behind, last", h, cut(F.lit(1), at + 2), cut(n - h + 1, h))).otherwise(none),
+    )
+    front = lambda h: F.array(
+        key("front, first", h, cut(F.lit(1), h), cut(at + 1, n)),
+        F.when(h > 0, key("front, last", h, cut(at - h + 1, n), n - at)).otherwise(none),
+    )
+    fits = lambda letters: lambda h: h <= letters
+    return F.flatten(
+        F.concat(
+            F.transform(F.filter(halves(rest), fits(rest)), behind), F.transform(F.filter(halves(at), fits(at)), front)
+        )
+    )
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): all ordered pairs of words of ``words`` (word, n) that are one edit apart.
 
     One edit leaves one of two disjoint bigrams whole. Of two near words, the pivot of the one
     whose prefix ends earlier that is left whole is thus in the prefix of the other, for that
-    holds all bigrams up to its own last. Its place is the same from the front, if the edit is
-    behind it, or from the end, if the edit is in front. So pivots meet prefix grams that
-    agree in the text up to the gram's end or from its beginning on, which also fixes the
-    place; what meets is verified. Needs words of six letters or more.
+    holds all bigrams up to its own last. So pivots meet the prefix grams whose place and
+    surroundings allow a single edit, see ``_side_keys``; what meets is verified. Needs words
+    of six letters or more.
     """
-    sides = F.explode(
-        F.array(
-            F.concat(F.lit("<"), F.substring(F.col("word"), F.lit(1), F.col("at") + 2)),
-            F.concat(F.lit(">"), F.substring(F.col("word"), F.col("at") + 1, F.length("word"))),
-        )
-    )
     held = stored(grams(words), "spelling-grams")
-    index = held.select("word", "n", F.explode("pivots").alias("at")).select(sides.alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    probe = held.select("word", "n", F.explode("prefix").alias("at")).select(sides.alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+
+    def keyed(column: str, name: str, probe: bool) -> DataFrame:
+        rows = held.select("word", "n", F.explode(column).alias("at"))
+        keys = rows.select(F.explode(_side_keys(probe)).alias("key"), F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
+        return keys.where("key is not null")
+
     met = (
-        index.join(probe, "key")
+        keyed("pivots", "a", False)
+        .join(keyed("prefix", "b", True), "key")
         .filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b")))
         .filter(F.levenshtein("a", "b", 1) == 1)
         .drop("key")
