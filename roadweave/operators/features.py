@@ -237,7 +237,7 @@ def interactions(df: DataFrame) -> DataFrame:
 
 
 def station_features(
-    vd: DataFrame,
+    vd: DataFrame | series.SeriesTable,
     keys: tuple[str, ...] = ("vd_id", "lane_id"),
     order: tuple[str, ...] = ("update_time",),
     targets: tuple[str, ...] = ("speed",),

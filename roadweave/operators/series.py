@@ -10,6 +10,7 @@ reach. The values equal those of the plain window, and the plan is the same for
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -54,8 +55,92 @@ def _halo_rows(
     return taken.select(*keys, _PART, *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
+def _with_halos(
+    cut: DataFrame, keys: list[str], order: list[str], values: list[str], before: int, after: int
+) -> DataFrame:
+    """The dealt rows, and copies of those beyond each border that frames of a part reach."""
+    # keys of more than one part: at most one for each border between two parts
+    ends = cut.groupBy(*keys).agg(F.min(_PART).alias("_lo"), F.max(_PART).alias("_hi"))
+    over = ends.where(F.col("_lo") < F.col("_hi")).select(*[F.col(k).alias(f"_over_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_over_{k}")) for k in keys]
+    lean = cut.select(*dict.fromkeys([*keys, *order, *values]), _PART).join(
+        F.broadcast(over), same, "left_semi"
+    )
+    full = cut.withColumn(_HALO, F.lit(False))
+    for reach, forward in ((before, False), (after, True)):
+        if reach:
+            halo = _halo_rows(lean, keys, order, reach, forward).withColumn(_HALO, F.lit(True))
+            full = full.unionByName(halo, allowMissingColumns=True)
+    return full
+
+
+def _framed(
+    full: DataFrame, keys: list[str], order: list[str], build: Callable[[WindowSpec], dict[str, Column]]
+) -> DataFrame:
+    window = Window.partitionBy(*keys, _PART).orderBy(*order)
+    return full.withColumns(build(window)).where(~F.col(_HALO)).drop(_PART, _HALO)
+
+
+@dataclass(frozen=True)
+class SeriesTable:
+    """A table that is stored for frames: dealt by ranges of (key, order), a bucket for each range,
+    sorted, with the copies that frames of up to ``before`` rows back and ``after`` ahead need.
+
+    Every row function of this module takes one in place of a DataFrame. Its windows then need
+    no exchange: a range's rows lie in one bucket, and no range is longer than any other.
+    """
+
+    frame: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    before: int
+    after: int
+
+    @staticmethod
+    def store(
+        df: DataFrame,
+        name: str,
+        path: str,
+        keys: list[str],
+        order: list[str],
+        before: int,
+        after: int = 0,
+        parts: int | None = None,
+    ) -> SeriesTable:
+        """Write ``df`` below ``path`` as the external table ``name``; one shuffle for all later uses."""
+        spark = df.sparkSession
+        cut = _ranged(df, keys, order, parts)
+        count = (cut.agg(F.max(_PART)).first()[0] or 0) + 1
+        full = _with_halos(cut, keys, order, [c for c in df.columns if c not in (*keys, *order)], before, after)
+        # a number for each range whose bucket is its own: the least that falls there
+        bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(count))
+        labels = spark.range(count * 40).groupBy(bucket.alias("_b")).agg(F.min("id").cast("int").alias("_label"))
+        labels = materialize(labels, "series-labels")  # one row a range
+        placed = full.join(F.broadcast(labels), F.col(_PART) == F.col("_b"), "left")
+        placed = placed.withColumn(_PART, F.coalesce("_label", _PART)).drop("_b", "_label")
+        (
+            placed.repartition(count, _PART)
+            .write.mode("overwrite")
+            .format("parquet")
+            .bucketBy(count, _PART)
+            .sortBy(_PART, *keys, *order)
+            .option("path", path)
+            .saveAsTable(name)
+        )
+        return SeriesTable(spark.table(name), tuple(keys), tuple(order), before, after)
+
+    def over(
+        self, keys: list[str], order: list[str], build: Callable[[WindowSpec], dict[str, Column]], before: int, after: int
+    ) -> DataFrame:
+        if (tuple(keys), tuple(order)) != (self.keys, self.order):
+            raise ValueError(f"the table is stored by {self.keys} and {self.order}")
+        if before > self.before or after > self.after:
+            raise ValueError(f"the table holds {self.before} rows before and {self.after} behind a border")
+        return _framed(self.frame, keys, order, build)
+
+
 def over_rows(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     values: list[str],
@@ -70,21 +155,10 @@ def over_rows(
     the columns the frames read. Frames may reach ``before`` rows back and ``after`` rows
     ahead. ``parts`` is the number of ranges, Spark's usual number if none is given.
     """
+    if isinstance(df, SeriesTable):
+        return df.over(keys, order, build, before, after)
     cut = _ranged(df, keys, order, parts)
-    # keys of more than one part: at most one for each border between two parts
-    ends = cut.groupBy(*keys).agg(F.min(_PART).alias("_lo"), F.max(_PART).alias("_hi"))
-    over = ends.where(F.col("_lo") < F.col("_hi")).select(*[F.col(k).alias(f"_over_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"_over_{k}")) for k in keys]
-    lean = cut.select(*dict.fromkeys([*keys, *order, *values]), _PART).join(
-        F.broadcast(over), same, "left_semi"
-    )
-    full = cut.withColumn(_HALO, F.lit(False))
-    for reach, forward in ((before, False), (after, True)):
-        if reach:
-            halo = _halo_rows(lean, keys, order, reach, forward).withColumn(_HALO, F.lit(True))
-            full = full.unionByName(halo, allowMissingColumns=True)
-    window = Window.partitionBy(*keys, _PART).orderBy(*order)
-    return full.withColumns(build(window)).where(~F.col(_HALO)).drop(_PART, _HALO)
+    return _framed(_with_halos(cut, keys, order, values, before, after), keys, order, build)
 
 
 def _statistics(w: WindowSpec, targets: list[str], periods: tuple[int, ...], windows: tuple[int, ...]) -> dict[str, Column]:
@@ -103,7 +177,7 @@ def _statistics(w: WindowSpec, targets: list[str], periods: tuple[int, ...], win
 
 
 def lags(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     targets: list[str],
@@ -121,7 +195,7 @@ def lags(
 
 
 def rolling(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     targets: list[str],
@@ -137,7 +211,7 @@ def rolling(
 
 
 def lags_and_rolling(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     targets: list[str],
@@ -232,7 +306,7 @@ def later(
 
 
 def ahead(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     target: str,
@@ -260,7 +334,7 @@ def ahead(
 
 
 def sequences(
-    df: DataFrame,
+    df: DataFrame | SeriesTable,
     keys: list[str],
     order: list[str],
     features: list[str],

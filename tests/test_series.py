@@ -208,3 +208,29 @@ def test_nearest_join_equals_brute_force(spark, tolerance, same_day):
             _, rt, v = min(near)
             want.add((k, i, rt, v))
     assert {(r["k"], r["i"], r["rt"], r["v"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_stored_series_need_no_exchange(spark, tmp_path, parts):
+    """Frames over the stored layout equal plain windows, also of a hot key in many ranges, without a shuffle."""
+    df = history(spark, 11, rows=400)
+    held = series.SeriesTable.store(df, f"held_{parts}", str(tmp_path / "t"), ["k"], ["t", "i"], 4, 2, parts)
+    w = Window.partitionBy("k").orderBy("t", "i")
+
+    def build(win):
+        return {"l4": F.lag("v", 4).over(win), "a2": F.lead("v", 2).over(win), "m": F.avg("v").over(win.rowsBetween(-4, 0))}
+
+    got = series.over_rows(held, ["k"], ["t", "i"], ["v"], build, before=4, after=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    want = df.withColumns(build(w))
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
+    # each range has a bucket of its own, and the ranges are about equal
+    sizes = [r["count"] for r in held.frame.where("not _series_halo").groupBy("_series_part").count().collect()]
+    assert len(held.frame.inputFiles()) == len(sizes) and max(sizes) <= 3 * 400 / len(sizes) + 10
+    with pytest.raises(ValueError):
+        series.over_rows(held, ["k"], ["t", "i"], ["v"], build, before=5)
+    with pytest.raises(ValueError):
+        series.over_rows(held, ["k"], ["t"], ["v"], build, before=1)
