@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.operators import summary
 from roadweave.registry import views as V
-from roadweave.registry.base import big, num, query, ts
+from roadweave.registry.base import big, day, num, query, ts
 from roadweave.session import scratch_path
 from roadweave.sources import tables
 from roadweave.streaming import jobs
@@ -158,3 +159,82 @@ def _etag_files(spark, sf):
         "update_time", "etag_pair_id", "vehicle_type_name", "travel_time_seconds", "vehicle_count",
         "space_mean_speed_kmh", "standard_deviation", "data_valid",
     )
+
+
+# --- files as they lie in a store ---------------------------------------------------------
+
+_EXTRA, _FEWER = "purchase", "signup"
+
+
+@query(
+    "file_drift",
+    f"""with t as (select event_type, count(*) as n from events group by event_type),
+      c as (select *, case event_type when '{_EXTRA}' then 7 when '{_FEWER}' then 5 else 6 end as columns from t)
+    select event_type as file, {big('columns', 'column_count')},
+      {big('(select mode(columns) from c where columns = 6)', 'modal_count')},
+      case when columns = 7 then 'note' else '' end as extra_columns,
+      case when columns = 5 then 'props' else '' end as missing_columns, 1::bigint as has_size from c""",
+)
+def _file_drift(spark, sf):
+    """Stored files, one for each kind of event, some with a column more or less: their footers are compared."""
+    path = scratch_path(spark, "drift")
+    events = V.table(spark, sf, "events")
+    for r in events.select("event_type").distinct().collect():  # a handful of kinds
+        kind = r.event_type
+        rows = events.where(F.col("event_type") == kind)
+        rows = rows.withColumn("note", F.lit("x")) if kind == _EXTRA else rows.drop("props") if kind == _FEWER else rows
+        rows.coalesce(1).write.parquet(f"{path}/{kind}")
+    found = tables.flag_schema_drift(tables.file_schemas(spark, path))
+    return found.select(
+        F.element_at(F.split("file", "/"), -2).alias("file"),
+        "column_count",
+        "modal_count",
+        F.concat_ws(",", "extra_columns").alias("extra_columns"),
+        F.concat_ws(",", "missing_columns").alias("missing_columns"),
+        (F.col("size") > 0).cast("long").alias("has_size"),
+    )
+
+
+@query(
+    "stored_file_counts",
+    f"""with {V.READINGS_SQL} select {day()}, {big('count(distinct lane_id)', 'files')}, {big('count(*)', 'records')},
+      1::bigint as size_agrees from readings group by date""",
+)
+def _stored_counts(spark, sf):
+    """Files, rows and size of each date of a table that was appended to once for each lane number."""
+    path = scratch_path(spark, "files")
+    rows = V.readings(spark, sf).cache()
+    for i in range(4):
+        rows.where(F.col("lane_id") == i).coalesce(1).write.mode("append").partitionBy("date").parquet(path)
+    rows.unpersist()
+    folder = Folder(spark, path)
+    sizes = [
+        (f.getPath().getName().removeprefix("date="), folder.fs.getContentSummary(f.getPath()).getLength())
+        for f in folder.fs.listStatus(folder.java.Path(path))
+        if f.isDirectory()
+    ]  # a folder a date
+    real = spark.createDataFrame(sizes, "d string, bytes long")
+    found = tables.store_files(spark, path).withColumn("d", F.date_format("date", "yyyy-MM-dd")).join(F.broadcast(real), "d")
+    agrees = F.abs(F.col("size_mb") - F.col("bytes") / 1048576.0) <= 0.05
+    return found.select("date", "files", "records", agrees.cast("long").alias("size_agrees"))
+
+
+@query(
+    "etag_tables",
+    f"""with {V.TOLLS_SQL}, valid as (select * from tolls where data_valid = 1)
+    select 'valid' as stored, etag_pair_id, vehicle_type_name, {big('sum(vehicle_count)', 'vehicle_count')},
+      {num('avg(travel_time_seconds)', 'travel_time_seconds')}, {num('avg(space_mean_speed_kmh)', 'space_mean_speed_kmh')},
+      {big('sum(data_valid)', 'data_valid')} from valid group by etag_pair_id, vehicle_type_name
+    union all
+    select 'statistics', etag_pair_id, vehicle_type_name, {big('sum(vehicle_count)', 'vehicle_count')},
+      {num('avg(travel_time_seconds)', 'travel_time_seconds')}, {num('avg(space_mean_speed_kmh)', 'space_mean_speed_kmh')},
+      {big('sum(data_valid)', 'data_valid')} from tolls group by etag_pair_id, vehicle_type_name""",
+)
+def _etag_tables(spark, sf):
+    """The valid rows and the vehicle statistics as written tables, read back."""
+    valid, stats = scratch_path(spark, "valid"), scratch_path(spark, "statistics")
+    flows = V.tolls(spark, sf).withColumn("date", F.to_date("update_time"))
+    tables.write_days(flows.where("data_valid = 1"), valid)
+    summary.vehicle_stats(flows).write.parquet(stats)
+    back = summary.vehicle_stats(tables.load_days(spark, valid)).withColumn("stored", F.lit("valid"))
+    return back.unionByName(spark.read.parquet(stats).withColumn("stored", F.lit("statistics")))

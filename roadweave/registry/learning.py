@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave import constants as C
-from roadweave.functions.rules import traffic_status
+from roadweave.functions.rules import accuracy_band, tuning_band
 from roadweave.operators import features as ft
-from roadweave.operators import metrics, models, select, series, split
+from roadweave.operators import metrics, select, series, split
 from roadweave.registry import views as V
 from roadweave.registry.base import big, day, num, query, ts
 from roadweave.registry.feeds import aligned, vd_xml
@@ -29,6 +29,18 @@ def _frame(n: int) -> str:
 
 # --- series -----------------------------------------------------------------------
 
+_LAYOUTS: dict[tuple, series.SeriesTable] = {}
+
+
+def _layout(spark: SparkSession, sf: str, keys: list[str]) -> series.SeriesTable:
+    """The readings as they are stored for frames, once for each table and session."""
+    name = (spark.sparkContext.applicationId, sf, *keys)
+    if name not in _LAYOUTS:
+        path = scratch_path(spark, "layout")
+        table = path.rsplit("/", 1)[-1].replace("-", "_")
+        _LAYOUTS[name] = series.SeriesTable.store(V.readings(spark, sf), table, path, keys, ORDER, 12, 3)
+    return _LAYOUTS[name]
+
 _PERIODS, _WINDOWS = (1, 2, 3, 6, 12), (3, 6, 12)
 
 
@@ -39,8 +51,8 @@ _PERIODS, _WINDOWS = (1, 2, 3, 6, 12), (3, 6, 12)
     + " from readings",
 )
 def _lags(spark, sf):
-    df = V.readings(spark, sf).select(*KEYS, *ORDER, "speed")
-    return series.lags(df, KEYS, ORDER, ["speed"]).drop("speed")
+    found = series.lags(_layout(spark, sf, KEYS), KEYS, ORDER, ["speed"])
+    return found.select(*KEYS, *ORDER, *[f"speed_lag_{p}" for p in _PERIODS])
 
 
 @query(
@@ -67,8 +79,8 @@ def _lags_hot(spark, sf):
     + " from readings",
 )
 def _rolling(spark, sf):
-    df = V.readings(spark, sf).select(*KEYS, *ORDER, "speed")
-    return series.rolling(df, KEYS, ORDER, ["speed"]).drop("speed")
+    found = series.rolling(_layout(spark, sf, KEYS), KEYS, ORDER, ["speed"])
+    return found.select(*KEYS, *ORDER, *[c for c in found.columns if c.startswith("speed_rolling")])
 
 
 _SEQ = """seq as (select vd_id, update_time,
@@ -86,8 +98,7 @@ _SEQ = """seq as (select vd_id, update_time,
     from seq where len(xs) = 12 and len(y) = 3""",
 )
 def _sequences(spark, sf):
-    df = V.readings(spark, sf).select("vd_id", *ORDER, "speed", "occupancy")
-    seq = series.sequences(df, ["vd_id"], ORDER, ["speed", "occupancy"], "speed")
+    seq = series.sequences(_layout(spark, sf, ["vd_id"]), ["vd_id"], ORDER, ["speed", "occupancy"], "speed")
     x_sum = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v)
     return seq.select(
         "vd_id",
@@ -106,8 +117,7 @@ def _sequences(spark, sf):
     {num(f'lead(speed, 3) {_W}', 'speed_ahead_3')} from readings""",
 )
 def _label(spark, sf):
-    df = V.readings(spark, sf).select(*KEYS, *ORDER, "speed")
-    return series.ahead(df, KEYS, ORDER, "speed", 3).drop("speed")
+    return series.ahead(_layout(spark, sf, KEYS), KEYS, ORDER, "speed", 3).select(*KEYS, *ORDER, "speed_ahead_3")
 
 
 @query(
@@ -334,8 +344,8 @@ _STATION = {
     + " from readings join ids using (vd_id)",
 )
 def _station(spark, sf):
-    vd = V.readings(spark, sf)
-    out = ft.station_features(vd, encoding=ft.station_encoding(vd), horizon=3)
+    encoding = ft.station_encoding(V.readings(spark, sf))
+    out = ft.station_features(_layout(spark, sf, KEYS), encoding=encoding, horizon=3)
     return out.select("vd_id", "lane_id", "update_time", "vd_encoded", *_STATION)
 
 
@@ -348,32 +358,6 @@ def _encoding(spark, sf):
     return ft.station_encoding(V.lanes(spark, sf))
 
 
-_SCALED = ("hour", "speed_lag_12", "speed_rolling_std_3", "volume_density", "is_yuanshan")
-
-
-@query(
-    "station_scaled",
-    f"""with {V.READINGS_SQL}, f as (select vd_id, update_time, speed, hour(update_time) as hour,
-      lag(speed, 12) over w as speed_lag_12,
-      stddev_samp(speed) over (partition by vd_id order by update_time rows between 2 preceding and current row)
-        as speed_rolling_std_3, volume_total / (occupancy + 1.0::double) as volume_density,
-      case when contains(vd_id, '圓山') or contains(vd_id, '23') then 1 else 0 end as is_yuanshan
-      from readings window w as (partition by vd_id order by update_time)),
-    k as (select * from f where speed_lag_12 is not null and speed_rolling_std_3 is not null),
-    s as (select """
-    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _SCALED)
-    + f" from k) select vd_id, {ts('update_time')}, {num('speed')}, "
-    + ", ".join(num(f"({c} - m_{c}) / (case when s_{c} = 0 then 1 else s_{c} end)", c) for c in _SCALED)
-    + " from k, s",
-)
-def _station_scaled(spark, sf):
-    """Fit: features, rows with any null dropped, all but the target standardised."""
-    wide = ft.station_features(V.readings(spark, sf), keys=("vd_id",))
-    rows = wide.na.drop()
-    frozen = select.fit_scaler(rows, list(_SCALED), "speed")
-    return frozen.transform(rows, ("vd_id", "update_time"))
-
-
 # --- selection and scaling ------------------------------------------------------------
 
 def _fused_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,6 +502,34 @@ def _fused_table(spark, sf):
     return select.fit_on_first_day(wide).transform(wide)
 
 
+_FROZEN_SQL = f"""with {_fused_sql('date, region, etag_pair')}, days as (select date, count(*) as n from fused group by date),
+    first as (select * from fused where date = (select coalesce(min(date) filter (n >= 3), min(date)) from days)),
+    c as (select {_listed(str(j) for _, j in _CAND_PAIRS)} as j,
+      {_listed(_corr_sql(_CAND[i], _CAND[j]) for i, j in _CAND_PAIRS)} as r from first),
+    n as (select {_listed(f"'{c}'" for c in _CAND)} as feature, {_listed(str(i) for i in range(len(_CAND)))} as pos,
+      {_listed(f'avg(coalesce({c}, 0)::double)' for c in _CAND)} as mean,
+      {_listed(f'stddev_pop(coalesce({c}, 0)::double)' for c in _CAND)} as sd,
+      {_listed(_corr_sql(c, 'speed_mean') for c in _CAND)} as r, count(*) as n from first),
+    k as (select *, row_number() over (order by r * r / (1 - r * r) * (n - 2) desc nulls last, pos) as best
+      from n where pos not in (select j from c where abs(r) > {select.CORRELATION_LIMIT})),
+    v as (select date, datetime, region, etag_pair, flow_pos, {_listed(f"'{c}'" for c in _CAND)} as feature,
+      {_listed(f'coalesce({c}, 0)::double' for c in _CAND)} as value from fused)
+    select {day()}, {ts('datetime')}, region, etag_pair, {big('flow_pos')}, feature,
+      {num('(value - mean) / (case when sd = 0 then 1 else sd end)', 'scaled')}
+    from v join k using (feature) where best <= 15"""
+
+
+@query("fused_table_rows", _FROZEN_SQL)
+def _fused_table_rows(spark, sf):
+    """The frozen fused table, a row for each feature: selection and scaling of the first usable day on all days."""
+    wide = _fused_rows(spark, sf).select(*ft.FUSED_KEYS, ft.FUSED_TARGET, *_CAND)
+    frozen = select.fit_on_first_day(wide)
+    table = frozen.transform(wide)
+    keys = ["date", "datetime", "region", "etag_pair", "flow_pos"]
+    return table.unpivot(keys, list(frozen.names), "feature", "scaled")
+
+
+
 # --- metrics on fixed predictors ------------------------------------------------------
 
 
@@ -560,6 +572,42 @@ def _metrics(spark, sf):
     return metrics.rank_models(scored).withColumn("mape", F.round("mape", 2))
 
 
+_LANE = "partition by vd_id, lane_id order by update_time"
+
+
+@query(
+    "model_bands",
+    f"""with {V.SNAPSHOTS_SQL}, p as (select vd_id, speed::double as y, lag(speed) over ({_LANE})::double as last,
+      avg(speed) over ({_LANE} rows between 3 preceding and 1 preceding) as mean3 from snapshots),
+    l as (select vd_id, 'last' as model, y, last as p from p union all select vd_id, 'mean3', y, mean3 from p),
+    m as (select vd_id, model, count(*) as n, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) as r2,
+      avg(case when abs((y - p) / (y + 1e-8)) * 100 <= 10 then 1.0::double else 0 end) * 100 as hit
+      from l where y is not null and p is not null group by all)
+    select vd_id, model, {big('n')}, {num('r2')}, {num('hit', 'accuracy_rate')},
+      case when r2 > 0.8 and hit > 80 then 'excellent' when r2 > 0.7 and hit > 70 then 'good' else 'needs work' end as accuracy,
+      case when r2 > 0.9 then 'excellent' when r2 > 0.8 then 'good' else 'needs work' end as tuning,
+      case when r2 > 0.8 then 'excellent' when r2 > 0.7 then 'good' when r2 > 0.5 then 'acceptable'
+        else 'insufficient' end as r2_band from m""",
+)
+def _model_bands(spark, sf):
+    """Bands of the metrics that two predictors reach at each detector."""
+    def build(w):
+        return {"last": F.lag("speed").over(w), "mean3": F.avg("speed").over(w.rowsBetween(-3, -1))}
+
+    rows = series.over_rows(V.snapshots(spark, sf).select(*KEYS, *ORDER, "speed"), KEYS, ORDER, ["speed"], build, before=3)
+    scored = metrics.model_metrics(rows, "speed", ["last", "mean3"], ["vd_id"])
+    return scored.select(
+        "vd_id",
+        "model",
+        "n",
+        "r2",
+        "accuracy_rate",
+        accuracy_band(F.col("r2"), F.col("accuracy_rate")).alias("accuracy"),
+        tuning_band(F.col("r2")).alias("tuning"),
+        "r2_band",
+    )
+
+
 @query(
     "best_model",
     f"with {_PRED} select arg_max(model, r2) as best_model, {num('max(r2)', 'best_r2')} from scored",
@@ -625,95 +673,6 @@ def _weights(spark, sf):
     return metrics.weight_search(_predictors(spark, sf), "speed", "last", "mean3")
 
 
-# --- tree models ------------------------------------------------------------------------
-
-SMALL_GBT = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.8}
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 2}
-_LEARN = [
-    "occupancy", "volume_total", "hour_sin", "hour_cos", "is_peak_hour", "speed", "speed_lag_1",
-    "speed_rolling_mean_3", "speed_rolling_mean_12", "speed_occupancy_ratio",
-]
-
-
-def _learning_table(spark: SparkSession, sf: str):
-    """Station features of every lane with the speed three rows ahead, scaled and split."""
-    wide = ft.station_features(V.readings(spark, sf), horizon=3)
-    label = "speed_ahead_3"
-    # the newest rows of a lane have no label yet; they are scored, not learned from
-    rows = materialize(
-        wide.select("vd_id", "lane_id", "update_time", *_LEARN, label).na.drop(subset=_LEARN), "station-rows"
-    )
-    tie = rows.na.drop().withColumn("_tie", F.shiftright(F.xxhash64("vd_id", "lane_id"), 2))
-    marked = split.chronological_split(tie, "update_time", "_tie")
-    train_df, test_df = marked.where("is_train = 1"), marked.where("is_train = 0")
-    frozen = select.fit_scaler(train_df, _LEARN, label)
-    keep = ("vd_id", "lane_id", "update_time")
-    return rows, frozen, frozen.transform(train_df, keep), frozen.transform(test_df, keep), label
-
-
-@query("tree_models")
-def _trees(spark, sf):
-    """Boosted trees, forest and their R2 blend on a chronological split."""
-    _, frozen, train_df, test_df, label = _learning_table(spark, sf)
-    _, scored = models.train_and_score(
-        models.require_rows(train_df, 100), test_df, frozen.names, label, SMALL_GBT, SMALL_FOREST
-    )
-    return scored
-
-
-@query("feature_importance")
-def _importance(spark, sf):
-    """Importances averaged over both models, ten largest."""
-    _, frozen, train_df, _, label = _learning_table(spark, sf)
-    model = models.train(train_df, frozen.names, label, SMALL_GBT, SMALL_FOREST)
-    table = models.importances(spark, model, frozen.names)
-    return metrics.top_importances(metrics.mean_importance(table))
-
-
-@query("parameter_search")
-def _search(spark, sf):
-    """Two random settings, three folds, refit, test R2."""
-    _, frozen, train_df, test_df, label = _learning_table(spark, sf)
-    grid = {"numTrees": [5, 10], "maxDepth": [3, 5]}
-    _, table = models.search(
-        "random_forest", train_df, test_df, frozen.names, label, grid=grid, draws=2
-    )
-    return table
-
-
-_NEWEST = f"""{V.READINGS_SQL}, f as (select *, lag(speed, 1) {_W} as before from readings
-      where occupancy is not null and speed is not null),
-    n as (select vd_id, lane_id, max(update_time) as update_time from f where before is not null group by all)"""
-
-
-@query(
-    "stored_model_scores",
-    f"""with {_NEWEST} select vd_id, {big('lane_id')}, {ts('update_time')}, 1::bigint as has_score,
-    1::bigint as loaded_agrees, 1::bigint as status_agrees, 92::bigint as confidence_ensemble from n""",
-)
-def _stored(spark, sf):
-    """Train, store, load, and forecast from every lane's newest row, which has no label yet.
-
-    The loaded model must give the scores of the one in memory."""
-    rows, frozen, train_df, _, label = _learning_table(spark, sf)
-    model = models.train(train_df, frozen.names, label, SMALL_GBT, SMALL_FOREST)
-    path = scratch_path(spark, "model")
-    models.save(spark, path, model, frozen, {"label": label})
-    loaded, features, _ = models.load(spark, path)
-    newest = materialize(series.latest(rows, KEYS, ORDER), "newest")
-    keys = ("vd_id", "lane_id", "update_time")
-    there = models.score(loaded, features, newest, keys)
-    here = models.score(model, frozen, newest, keys).select(*keys, F.col("ensemble").alias("_here"))
-    status = F.when(F.col("ensemble") >= 80, "暢通🟢").when(F.col("ensemble") >= 50, "緩慢🟡").otherwise("擁堵🔴")
-    return there.join(here, list(keys)).select(
-        *keys,
-        F.col("ensemble").isNotNull().cast("long").alias("has_score"),
-        (F.abs(F.col("ensemble") - F.col("_here")) < 1e-9).cast("long").alias("loaded_agrees"),
-        (traffic_status(F.col("ensemble")) == status).cast("long").alias("status_agrees"),
-        "confidence_ensemble",
-    )
-
-
 # --- streams ------------------------------------------------------------------------------
 
 
@@ -794,17 +753,3 @@ def _stream_days(spark, sf):
     vd = V.readings_of(_event_stream(spark, sf))
     jobs.run_available(vd, jobs.update_day_summary(stored, out), check)
     return spark.read.parquet(out)
-
-
-@query("stream_scores")
-def _stream_scores(spark, sf):
-    """A trained model scores a stream of feature rows, with traffic status."""
-    rows, frozen, train_df, _, label = _learning_table(spark, sf)
-    model = models.train(train_df, frozen.names, label, SMALL_GBT, SMALL_FOREST)
-    source, out, check = (scratch_path(spark, n) for n in ("feed", "scores", "scores-check"))
-    rows.write.parquet(source)
-    feed = spark.readStream.schema(rows.schema).parquet(source)
-    keys = ("vd_id", "lane_id", "update_time")
-    sink = jobs.score_sink(lambda df: models.score(model, frozen, df, keys), out)
-    jobs.run_available(feed, sink, check)
-    return spark.read.parquet(out).drop("epoch")
