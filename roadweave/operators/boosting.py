@@ -13,14 +13,15 @@ import json
 import math
 import random
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadweave.session import materialize, scratch_path
+from roadweave.operators import split
+from roadweave.session import materialize
 
 #: Gradients and leaf values are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
@@ -321,48 +322,71 @@ def best_splits(histograms: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def fit(
+@dataclass(frozen=True)
+class Binned:
+    """Rows as bins (u, y, score, bins, part), written once; every fit and fold reads them."""
+
+    rows: DataFrame
+    features: list[str]
+    target: str
+    cuts: list[list[float]]
+
+
+_BINNED = "u long, y long, score long, bins binary, part int"
+
+
+def prepare(
     df: DataFrame,
     features: list[str] | tuple[str, ...],
     target: str,
     keys: list[str] | tuple[str, ...],
-    settings: Settings = STATION,
-) -> Boosted:
-    """Boosted trees for squared error.
+    bins: int = 255,
+    part: Column | None = None,
+) -> Binned:
+    """Bin the features of all rows that have a target.
 
-    ``keys`` name a row; their hash decides which rounds it takes part in. Rows without a
-    target are left out. A split must gain ``gamma``: the scores of both children less that of
-    the node. The first score is the mean of the target.
+    ``keys`` name a row; their hash decides which rounds it takes part in. ``part`` is a whole
+    number that fits can be limited by.
     """
     features = list(features)
-    spark = df.sparkSession
     whole = materialize(
         df.where(F.col(f"`{target}`").isNotNull() & ~F.isnan(F.col(f"`{target}`").cast("double"))).select(
             row_hash(keys).alias("u"),
             F.floor(F.col(f"`{target}`").cast("double") * UNIT + 0.5).alias("y"),
+            (F.lit(0) if part is None else part).cast("int").alias("part"),
             *_doubles(features, "_f"),
         ),
         "boosting-rows",
     )
-    found = whole.agg(F.sum(F.col("y").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n")).first()
-    if not found.n:
-        raise ValueError("no rows to learn from")
-    first = int(found.y) // found.n
-    cuts = find_cuts(whole, len(features), settings.bins)
+    cuts = find_cuts(whole, len(features), bins)
 
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = binned(batch, features, cuts, "_f")
-            score = pa.array(np.full(batch.num_rows, first, dtype=np.int64))
-            packed = pa.array([row.tobytes() for row in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["y"], score, packed], names=["u", "y", "score", "bins"])
-
-    schema = "u long, y long, score long, bins binary"
-    rows = materialize(whole.mapInArrow(bin_rows, schema), "boosting-bins")
-    model = Boosted(features, target, cuts, first, [], settings)
+            binned_rows = binned(batch, features, cuts, "_f")
+            score = pa.array(np.zeros(batch.num_rows, dtype=np.int64))
+            packed = pa.array([row.tobytes() for row in binned_rows], pa.binary())
+            arrays = [batch["u"], batch["y"], score, packed, batch["part"]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["u", "y", "score", "bins", "part"])
+
+    return Binned(materialize(whole.mapInArrow(bin_rows, _BINNED), "boosting-bins"), features, target, cuts)
+
+
+def grow(data: Binned, settings: Settings = STATION, where: Column | None = None) -> Boosted:
+    """Boosted trees for squared error from binned rows, of those that meet ``where``.
+
+    A split must gain ``gamma``: the scores of both children less that of the node. The first
+    score is the mean of the target.
+    """
+    rows = data.rows if where is None else data.rows.where(where)
+    found = rows.agg(F.sum(F.col("y").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("n")).first()
+    if not found.n:
+        raise ValueError("no rows to learn from")
+    first = int(found.y) // found.n
+    rows = rows.withColumn("score", F.lit(first).cast("long"))
+    model = Boosted(data.features, data.target, data.cuts, first, [], settings)
     newer: list[Tree] = []
     for k in range(settings.rounds):
-        sample = round_sample(settings, k, len(features))
+        sample = round_sample(settings, k, len(data.features))
         tree = Tree(settings.depth)
         sums: dict[int, tuple[int, int]] = {}
         for level in range(settings.depth):
@@ -386,11 +410,113 @@ def fit(
         model.trees.append(tree)
         newer.append(tree)
         if len(newer) == STORED and k + 1 < settings.rounds:
-            rows, newer = materialize(_scored(rows, newer, schema), "boosting-scores"), []
+            rows, newer = materialize(_scored(rows, newer), "boosting-scores"), []
     return model
 
 
-def _scored(rows: DataFrame, trees: list[Tree], schema: str) -> DataFrame:
+def fit(
+    df: DataFrame,
+    features: list[str] | tuple[str, ...],
+    target: str,
+    keys: list[str] | tuple[str, ...],
+    settings: Settings = STATION,
+) -> Boosted:
+    """Bin and grow: see ``prepare`` and ``grow``. Rows without a target are left out."""
+    return grow(prepare(df, features, target, keys, settings.bins), settings)
+
+
+# --- fixed values: the grid of the random search ---------------------------------
+GRID = {
+    "rounds": [100, 200, 300],
+    "depth": [6, 8, 10],
+    "rate": [0.05, 0.1, 0.15],
+    "rows": [0.8, 0.9, 1.0],
+    "columns": [0.8, 0.9, 1.0],
+}
+DRAWS, FOLDS = 20, 3
+
+
+def drawn(grid: dict[str, list], draws: int, base: Settings) -> list[Settings]:
+    """``draws`` different random settings of the grid, all if there are no more."""
+    total = math.prod(len(v) for v in grid.values())
+    out = []
+    for index in random.Random(base.seed).sample(range(total), min(draws, total)):
+        picked = {}
+        for name, values in grid.items():
+            index, at = divmod(index, len(values))
+            picked[name] = values[at]
+        out.append(replace(base, **picked))
+    return out
+
+
+def time_folds(df: DataFrame, time: str, tie: str, folds: int = FOLDS) -> Column:
+    """The part of each row: 0 .. folds, of equal sizes in (time, tie) order; null without time."""
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    lean = df.where(F.col(time).isNotNull()).select(micros.alias("t"), F.col(tie).cast("long").alias("k"))
+    part = F.lit(0)
+    for i in range(1, folds + 1):
+        cut = split.cut_row(lean, i / (folds + 1))
+        if cut is not None:
+            behind = (micros > cut[0]) | ((micros == cut[0]) & (F.col(tie) > cut[1]))
+            part = part + behind.cast("int")
+    return F.when(F.col(time).isNotNull(), part)
+
+
+def r2_of(data: Binned, model: Boosted, where: Column) -> tuple[int, float | None]:
+    """Rows and R2 of the model on binned rows; None where the target is constant."""
+    trees, first = model.trees, model.first
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch["bins"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            score = np.full(batch.num_rows, first, dtype=np.int64)
+            for t in trees:
+                score += t.value[t.nodes(bins)]
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(score)], names=["y", "p"])
+
+    y, p = F.col("y") / float(UNIT), F.col("p") / float(UNIT)
+    found = data.rows.where(where).mapInArrow(work, "y long, p long").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("e"), F.var_pop(y).alias("v")
+    ).first()
+    return found.n, 1 - found.e / (found.n * found.v) if found.n and found.v else None
+
+
+def search(
+    df: DataFrame,
+    features: list[str] | tuple[str, ...],
+    target: str,
+    keys: list[str] | tuple[str, ...],
+    time: str,
+    tie: str,
+    grid: dict[str, list] | None = None,
+    draws: int = DRAWS,
+    folds: int = FOLDS,
+    base: Settings = FUSED,
+) -> DataFrame:
+    """Random search by folds in time order, every fit from one binned table.
+
+    Rows are cut into ``folds`` + 1 parts by time; fold i learns from the parts in front of
+    part i and is tested on part i, so nothing later is learned from. One row for each setting
+    and fold: setting (JSON), fold, train_rows, test_rows, r2, mean_r2 of the setting, is_best.
+    """
+    parts = materialize(df.withColumn("_part", time_folds(df, time, tie, folds)), "search-rows")
+    data = prepare(parts.where(F.col("_part").isNotNull()), features, target, keys, base.bins, F.col("_part"))
+    sizes = {r.part: r.n for r in data.rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for settings in drawn(grid or GRID, draws, base):
+        name = json.dumps(asdict(settings), sort_keys=True)
+        for i in range(1, folds + 1):
+            model = grow(data, settings, F.col("part") < i)
+            n, r2 = r2_of(data, model, F.col("part") == i)
+            out.append((name, i, sum(sizes.get(j, 0) for j in range(i)), n, r2))
+    schema = "setting string, fold int, train_rows long, test_rows long, r2 double"
+    table = df.sparkSession.createDataFrame(out, schema)
+    mean = F.avg("r2").over(Window.partitionBy("setting"))
+    best = F.first("setting").over(Window.partitionBy(F.lit(1)).orderBy(F.col("mean_r2").desc(), "setting"))
+    return table.withColumn("mean_r2", mean).withColumn("is_best", (F.col("setting") == best).cast("int"))
+
+
+def _scored(rows: DataFrame, trees: list[Tree]) -> DataFrame:
     """The rows with the newer trees in their scores."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,9 +525,10 @@ def _scored(rows: DataFrame, trees: list[Tree], schema: str) -> DataFrame:
             score = batch["score"].to_numpy().copy()
             for t in trees:
                 score += t.value[t.nodes(bins)]
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["y"], pa.array(score), batch["bins"]], names=["u", "y", "score", "bins"])
+            arrays = [batch["u"], batch["y"], pa.array(score), batch["bins"], batch["part"]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["u", "y", "score", "bins", "part"])
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, _BINNED)
 
 
 def oracle_sql(source: str, keys: list[str], features: list[str], target: str, settings: Settings) -> str:

@@ -89,7 +89,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """A dense detector history: eight detectors of up to seven lanes, a snapshot each minute.
 
     Every eight orders of ``lineitem`` are a minute, an order is a detector, its line numbers
-    are lanes. Speeds go up and down every four hours, by the quantity more or less.
+    are lanes. Speeds go up and down every hour, by the quantity more or less.
     """
     k, minute = F.col("l_orderkey"), F.floor(F.col("l_orderkey") / 8)
     lines = (
@@ -97,7 +97,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_quantity").alias("q"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     )
-    speed = 20 + F.floor(F.abs(minute % 240 - 120) / 2) + F.floor(F.col("q") / 5)
+    speed = 20 + F.abs(minute % 60 - 30) * 2 + F.floor(F.col("q") / 5)
     return (
         lines.withColumn("update_time", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * minute))
         .withColumn("speed", speed.cast("int"))
@@ -210,7 +210,7 @@ SNAPSHOTS_SQL = f"""snapshots as materialized (
       speed as speed_small, speed - 3 as speed_large, speed - 6 as speed_truck
     from (select timestamp '2024-01-01' + to_minutes((l_orderkey // 8)::int) as update_time,
         {_vd_id_sql('(20 + l_orderkey % 8)')} as vd_id, l_linenumber::int as lane_id,
-        (20 + abs((l_orderkey // 8) % 240 - 120) // 2 + floor(max(l_quantity) / 5))::int as speed,
+        (20 + abs((l_orderkey // 8) % 60 - 30) * 2 + floor(max(l_quantity) / 5))::int as speed,
         min(l_partkey) as p, min(l_suppkey) as s
       from lineitem group by l_orderkey, l_linenumber)))"""
 

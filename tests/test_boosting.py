@@ -1,5 +1,6 @@
 """Boosted trees against a plain version, and the stored model."""
 
+import json
 import math
 import random
 
@@ -132,3 +133,31 @@ def test_nothing_to_learn(spark):
         boosting.fit(df.where("y is null"), ["a"], "y", ["id"], SMALL)
     flat = boosting.fit(df, ["k"], "y", ["id"], Settings(rounds=2, depth=3))
     assert flat.cuts == [[]] and all((t.feature < 0).all() for t in flat.trees)
+
+
+def test_search_on_time_folds(spark):
+    """Each fold learns from what lies in front of it; one binned table; the best setting is the largest mean."""
+    _, df = frame(spark, 400, 6)
+    df = df.where("y is not null").withColumn("at", F.timestamp_seconds(F.floor(F.col("id") / 3)))
+    grid = {"rounds": [1, 4], "depth": [1, 3], "rate": [0.3]}
+    table = boosting.search(df, ["a", "b"], "y", ["id"], "at", "id", grid, 3, 3, Settings(rounds=1)).toPandas()
+    assert len(table) == 9 and table.setting.nunique() == 3
+    n = df.count()
+    ends = [math.floor(n * i / 4) for i in range(5)]
+    for i in (1, 2, 3):
+        part = table[table.fold == i]
+        assert set(part.train_rows) == {ends[i]} and set(part.test_rows) == {ends[i + 1] - ends[i]}
+    best = table[table.is_best == 1]
+    assert best.setting.nunique() == 1 and best.mean_r2.max() == table.mean_r2.max()
+    # a score is that of the model on the fold's rows
+    one = table.sort_values("mean_r2").iloc[-1]
+    settings = Settings(**json.loads(one.setting))
+    order = [r.id for r in df.orderBy("at", "id").select("id").collect()]
+    train, test = set(order[: ends[one.fold]]), set(order[ends[one.fold] : ends[one.fold + 1]])
+    inside = df.where(F.col("id").isin(list(train)))
+    again = boosting.prepare(df, ["a", "b"], "y", ["id"], part=F.col("id").isin(list(train)).cast("int"))
+    model = boosting.grow(again, settings, F.col("part") == 1)
+    rows = [(r.y, r.boosted) for r in model.transform(df.where(F.col("id").isin(list(test)))).collect()]
+    mean = sum(y for y, _ in rows) / len(rows)
+    r2 = 1 - sum((y - p) ** 2 for y, p in rows) / sum((y - mean) ** 2 for y, _ in rows)
+    assert math.isclose(one.r2, r2, rel_tol=1e-5, abs_tol=1e-5) and inside.count() == one.train_rows
