@@ -23,10 +23,10 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 
 def whole(data: np.ndarray) -> np.ndarray:
-    """floor(64 * x), as doubles while products stay exact in them, else as Python integers."""
+    """floor(64 * x), as doubles while sums of products stay exact in them, else as Python integers."""
     with np.errstate(over="ignore"):
         out = np.floor(64.0 * data)
-    if out.size and not np.abs(out).max() < 2.0**23:
+    if out.size and not np.abs(out).max() ** 2 * out.shape[1] < 2.0**53:
         big = [[int(np.floor(x)) * 64 + int(np.floor((x - np.floor(x)) * 64)) for x in row] for row in data.tolist()]
         return np.array(big, dtype=object)
     return out

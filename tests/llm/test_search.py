@@ -62,6 +62,21 @@ def test_top_k_prunes_exactly():
         assert got[got.query_id == q].vec_id.tolist() == want
 
 
+def test_top_k_of_many_large_components():
+    """Sums of 768 products near the limit of doubles stay exact."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    data = rng.uniform(1.0e5, 1.3e5, (40, 768)) + rng.integers(0, 64, (40, 768)) / 64
+    table = pa.table({"id": np.arange(40), "vec": pa.array(list(data))})
+    got = topk.search(table, table.slice(0, 5), 6).to_pandas()
+    whole = [[math.floor(64 * x) for x in v] for v in data.tolist()]
+    for q in range(5):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)
+        mine = got[got.query_id == q]
+        assert [(-s, i) for s, i in zip(mine.score.tolist(), mine.vec_id.tolist(), strict=True)] == scores[:6]
+
+
 def test_nearest_recall_and_order(vectors):
     rows, df = vectors
     data = usable(rows, False)
