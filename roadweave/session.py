@@ -51,9 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _MADE[app]
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which ``clear_scratch`` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what this application has stored below the shared folder; returns the number of folders.
+
+    Results that were not written elsewhere read from there, so call it when they are used.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(target.getFileSystem(conf).delete(target, True))
+    return gone
 
 
 def materialize(df, name: str):

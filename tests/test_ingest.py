@@ -42,3 +42,16 @@ def test_last_row_of_a_key_stays(spark, tmp_path):
     got = {r.k: (r.seen, r.v) for r in spark.read.parquet(table).collect()}
     assert got == {"a": (2, 4.0), "b": (1, 2.0)}
     assert spark.read.parquet(table).count() == 2
+
+
+def test_scratch_is_cleared(spark, sf, tmp_path):
+    from roadweave import session
+
+    app = spark.sparkContext.applicationId
+    before = session._SCRATCH.pop(app, [])
+    try:
+        kept = session.materialize(spark.range(5), "kept")
+        session.scratch_path(spark, "never-written")
+        assert kept.count() == 5 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    finally:
+        session._SCRATCH[app] = before
