@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import stored
+from roadweave.llm.common import bounded, stored
 
 # The letters of a word, its least length and occurrences, and how much more frequent a form is.
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LENGTH, OFTEN, TIMES = 6, 5, 5
+#: Bigrams are broadcast up to this many (about 4 MB), beyond that they are joined by a shuffle.
+BIGRAMS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,9 +82,10 @@ def grams(words: DataFrame) -> DataFrame:
     """
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
     every = words.select("word", "n", at.alias("at", "gram"))
-    counts = every.groupBy("gram").agg(F.count("*").alias("f"))
+    # as many rows as the alphabet has pairs; a hot bigram is no single task's work then
+    counts = stored(every.groupBy("gram").agg(F.count("*").alias("f")), "spelling-bigrams")
     ranked = (
-        every.join(counts, "gram")
+        every.join(bounded(counts, BIGRAMS), "gram")
         .groupBy("word", "n")
         .agg(F.sort_array(F.collect_list(F.struct("f", "gram", "at"))).alias("g"))
     )
