@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -19,34 +20,28 @@ from roadweave.llm.common import byte_slices, released, slices
 #: Bytes of the texts whose words are looked up together (a longer text alone), words that go
 #: into one recursive query, and tokens into one decoding query.
 BYTES, WORDS, TOKENS = 2_000_000, 25_000, 200_000
-#: A worker remembers the tokens of so many different words, then starts anew.
-REMEMBERED = 200_000
+#: A worker remembers the tokens of so many different words, then only of the half met most often.
+REMEMBERED = 400_000
 #: The recursive query takes a round for each merge of its longest word. Words of more bytes
 #: are merged by the same rule with a heap.
 LONG = 200
 
-# Each word is a run of rows (word, place, token, next place, next token). In each round the
-# merge of the least rank, the leftmost one of equals, is found for each word: rank, place
-# and the place of its right part are packed into one number, so that a minimum names all
-# three. The merged row takes over what follows its right part, whose row goes; the row in
-# front learns the new token. Words without a merge leave the recursion as done.
-ENCODE = """
-with recursive state(w, p, t, np, nt, live) as (
-  select w, p, t, np, nt, true from start
+# A word is one list: its tokens (above ID) and between two of them, and at both ends, the rank
+# of their merge (NONE: no merge). In each round the least rank of each word, the leftmost one
+# of equals, becomes the token of that rank in place of its two parts, and the ranks of the
+# merges with both neighbours are looked up. Words without a merge leave the recursion.
+ID, NONE = 1 << 24, 1 << 28
+ENCODE = f"""
+with recursive state(w, l) as (
+  select w, l from start
   union all
-  (with rows as materialized (select w, p, t, np, nt from state where live),
-   best as materialized (
-     select w, min(m * 1048576 + p * 1024 + np) as k
-     from rows join merges on ab = t::bigint * 1048576 + nt group by w),
-   behind as materialized (
-     select rows.w, k, np as bnp, nt as bnt from rows join best on rows.w = best.w and p = (k & 1023))
-   select rows.w, p,
-     case when p = ((k >> 10) & 1023) then (k >> 20)::int else t end,
-     case when p = ((k >> 10) & 1023) then bnp else np end,
-     case when p = ((k >> 10) & 1023) then bnt when np = ((k >> 10) & 1023) then (k >> 20)::int else nt end,
-     k is not null
-   from rows left join behind using (w) where k is null or p <> (k & 1023)))
-select w, list(t order by p) as ids from state where not live group by w order by w
+  (with least as (select w, l, list_min(l) as m from state),
+   best as (select w, l, m, list_position(l, m) as i from least where m < {ID})
+   select w, l[:i-3] || [coalesce(a.m, {NONE}), best.m + {ID}, coalesce(b.m, {NONE})] || l[i+3:]
+   from best
+   left join merges a on a.ab = (l[i-3] - {ID})::bigint * 1048576 + best.m
+   left join merges b on b.ab = best.m::bigint * 1048576 + l[i+3] - {ID}))
+select w, l from state where list_min(l) >= {ID} order by w
 """
 
 # The aggregation runs over each row's list in its order.
@@ -79,9 +74,12 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.tables: set[str] = set()
         self.byte = np.zeros(256, dtype=np.int32)
+        self.pair = np.full(1 << 16, NONE, dtype=np.int32)  # the rank of two bytes
         for token, rank in ranks.items():
             if len(token) == 1:
                 self.byte[token[0]] = rank
+            elif len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = rank
         self.duck = duckdb.connect()
         self.duck.execute("set threads = 1")
         self.duck.execute("set memory_limit = '200MB'")
@@ -104,7 +102,7 @@ class Codec:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        return pa.table({"ab": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int64())})
+        return pa.table({"ab": pa.array([p for p, _ in pairs], pa.int64()), "m": pa.array([m for _, m in pairs], pa.int32())})
 
     def vocabulary(self) -> pa.Table:
         """One row: the bytes of every id, in hex, by place in a list."""
@@ -114,11 +112,29 @@ class Codec:
         return pa.table({"pieces": [pieces]})
 
     def forget(self) -> None:
+        """Remembers no word."""
         self.number: dict[str, int] = {}
         self.starts = np.zeros(0, dtype=np.int64)
         self.counts = np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def thin(self, most: int) -> None:
+        """Remembers only the ``most`` words met most often (of equals the later ones)."""
+        if len(self.number) <= most:
+            return
+        keep = np.sort(np.argsort(self.met, kind="stable")[len(self.met) - most :])
+        words = list(self.number)
+        self.number = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.flat = self.tokens(keep)
+        self.counts, self.met = self.counts[keep], self.met[keep] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def tokens(self, at: np.ndarray) -> np.ndarray:
+        """The tokens of remembered words, one word after the other."""
+        n = self.counts[at]
+        return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
     def heaped(self, word: bytes) -> list[int]:
         """The tokens of a long word: the least rank first, the leftmost of equals."""
         parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -142,23 +158,23 @@ class Codec:
 
     def merged(self, words: list[bytes]) -> list[np.ndarray]:
         """The tokens of words by the recursive query."""
-        lengths = np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        number = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(2 * lengths + 1)])
         place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        token = self.byte[raw]
-        ends = np.zeros(len(raw), dtype=bool)
-        ends[np.cumsum(lengths) - 1] = True
-        following = pa.array(np.roll(token, -1), pa.int32(), mask=ends)
-        onward = pa.array((place + 1).astype(np.int32), pa.int32(), mask=ends)
-        start = pa.table({"w": number, "p": place.astype(np.int32), "t": token, "np": onward, "nt": following})
+        spot = np.repeat(bounds[:-1], lengths) + 2 * place + 1
+        state = np.full(bounds[-1], NONE, dtype=np.int32)
+        state[spot] = self.byte[raw] + ID
+        inner = place[1:] > 0  # both bytes belong to one word
+        state[spot[1:][inner] - 1] = self.pair[raw[:-1] << 8 | raw[1:]][inner]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(state))
         self.given("merges", self.merges)
-        self.duck.register("start", start)
-        ids = self.duck.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
+        self.duck.register("start", pa.table({"w": np.arange(len(words), dtype=np.int32), "l": lists}))
+        found = self.duck.sql(ENCODE).to_arrow_table()["l"].combine_chunks()
         self.duck.unregister("start")
-        offsets = ids.offsets.to_numpy()
-        values = ids.values.to_numpy()
-        return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        offsets = found.offsets.to_numpy()
+        values = found.values.to_numpy() - ID
+        return [values[a + 1 : b : 2] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Remembers the tokens of words not met so far."""
@@ -183,12 +199,13 @@ class Codec:
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
+        self.met = np.concatenate([self.met, np.zeros_like(counts)])
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The token ids of each text."""
         if len(self.number) > REMEMBERED:
-            self.forget()
+            self.thin(REMEMBERED // 2)
         words = [self.find(t) if t else [] for t in texts]
         new = set()
         for w in words:
@@ -196,15 +213,11 @@ class Codec:
         new = [w for w in new if w not in self.number]
         if new:
             self.learn(new)
-        lengths, pieces = [0], []
-        for w in words:
-            at = np.fromiter(map(self.number.__getitem__, w), dtype=np.int64, count=len(w))
-            n = self.counts[at]
-            total = int(n.sum())
-            pieces.append(self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(total)])
-            lengths.append(total)
-        values = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(values, pa.int32()))
+        ends = np.cumsum([0, *map(len, words)])
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=ends[-1])
+        self.met += np.bincount(at, minlength=len(self.met))
+        lengths = np.concatenate([[0], np.cumsum(self.counts[at])])[ends]
+        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(self.tokens(at), pa.int32()))
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each row of ids, in slices of bounded size."""

@@ -327,6 +327,22 @@ def test_both_mergers_agree(reference):
         assert codec.heaped(w) == list(a)
 
 
+def test_frequent_words_stay_remembered(reference, monkeypatch):
+    """A full memory keeps the words met most often, and what is kept and what is met again stay right."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    codec = tokens.Codec(tokens.ranks_of(RANKS), public_tokenizers.PATTERN)
+    learned, learn = [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: (learned.extend(words), learn(words)))
+    r = random.Random(7)
+    for _ in range(30):
+        rare = ["".join(r.choices("qzxvé", k=9)) for _ in range(15)]
+        texts = ["often zzqx " * 3 + " ".join(rare) + " wéirdqq zzqx", None, "zzqx"]
+        ids = codec.encode(texts).to_pylist()
+        assert ids == [reference.encode_ordinary(t or "") for t in texts]
+        assert len(codec.number) <= 40 + 21
+    assert learned.count(" zzqx") == learned.count(" wéirdqq") == 1
+
+
 def test_two_vocabularies_of_one_size(spark, make_docs, tmp_path):
     """A worker that is kept never encodes with the vocabulary of another query."""
     single = [bytes([i]) for i in range(256)]
