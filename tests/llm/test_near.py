@@ -271,3 +271,75 @@ def test_links_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {tuple(x) for x in got} == want
+
+
+def crowded_corpus():
+    """Passages whose other holders stand around the earlier document that holds them whole."""
+    rows = []
+    for n, (parts, size) in enumerate([(3, 20), (4, 15), (6, 20)]):
+        pieces = [words(9000 + 10 * n + i, size) for i in range(parts)]
+        alone = lambda at: [(1000 * n + at + i, " ".join(words(9100 + 10 * n + at + i, 40) + x)) for i, x in enumerate(pieces)]
+        whole = [w for x in pieces for w in x]
+        rows += alone(100) + alone(300) + alone(500)
+        rows += [(1000 * n + i, " ".join(words(9500 + n + i, 30) + whole + words(9600 + n + i, 30))) for i in (200, 400, 600)]
+    # runs of one word and repeated lines, of which earlier documents hold more, fewer and others
+    r, line = random.Random(4), words(9700, 7)
+    for i in range(24):
+        kinds = [["of"], ["on", "in"], line, [f"r{r.randrange(4)}"]]
+        text = [w for _ in range(6) for kind in [r.choice(kinds)] for w in kind * r.randrange(3, 40)]
+        rows.append((5000 + i, " ".join(words(9800 + i, 10) + text)))
+    return rows
+
+
+def linked_by_all(rows, least=50, similarity=0.8):
+    """For each document the seeds that lie in a passage of any earlier document, all places linked."""
+    texts = {i: word_hashes(t) for i, t in rows}
+    places = {}
+    for i, ws in texts.items():
+        found = rolled(ws, passages.K)
+        places[i] = [(int(p), int(found[p])) for p in passages.minimizers(found, passages.WINDOW)]
+    out = {i: set() for i in texts}
+    for i in texts:
+        for j in texts:
+            if j >= i:
+                continue
+            of = {}
+            for q, seed in places[j]:
+                of.setdefault(seed, []).append(q)
+            both = [(p, q) for p, seed in places[i] for q in of.get(seed, ())]
+            if len(both) < 2:
+                continue
+            pos, source = np.array(both).T
+            for _, path in passages.chains(pos, source):
+                if len(path) < 2 or pos[path[-1]] + passages.K - pos[path[0]] < least / 2:
+                    continue
+                for a, b, *_ in passages.similar(texts[i], texts[j], pos[path], source[path], least, similarity):
+                    out[i] |= {p for p in pos[path].tolist() if a <= p and p + passages.K <= b}
+    return out
+
+
+def test_every_earlier_document(make_docs):
+    """Seeds that more than two earlier documents hold, or hold more than once, lead to all of them."""
+    rows = crowded_corpus()
+    covered = {}
+    for r in passages.repeated_passages(make_docs(rows)).collect():
+        covered.setdefault(r.doc_id, []).append((r.start, r.end))
+    covered = {i: passages.joined(spans) for i, spans in covered.items()}
+    want = linked_by_all(rows)
+    lost = {i: [p for p in found if not any(a <= p and p + passages.K <= b for a, b in covered.get(i, []))] for i, found in want.items()}
+    assert sum(map(len, want.values())) > 1000
+    assert {i: x for i, x in lost.items() if x} == {}
+
+
+def test_all_places_of_two_documents():
+    r = random.Random(6)
+    for _ in range(50):
+        p, q = (np.unique([r.randrange(60) for _ in range(r.randrange(1, 12))]) for _ in range(2))
+        got = set(zip(*(c.tolist() for c in passages.crossed(p, q)), strict=True))
+        assert got <= {(a, b) for a in p.tolist() for b in q.tolist()}
+        runs_q, alone_q = passages.stepping(q)
+        assert {(a, b) for a in p.tolist() for b in alone_q.tolist()} <= got
+        assert sorted({x for run in runs_q for x in run.tolist()} | set(alone_q.tolist())) == q.tolist()
+    # of two runs: aligned at their fronts and at their ends
+    got = set(zip(*(c.tolist() for c in passages.crossed(np.arange(0, 20, 2), np.arange(100, 112, 2))), strict=True))
+    assert {(0, 100), (10, 110), (12, 100), (18, 110), (8, 100)} <= got
