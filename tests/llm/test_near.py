@@ -343,3 +343,40 @@ def test_all_places_of_two_documents():
     # of two runs: aligned at their fronts and at their ends
     got = set(zip(*(c.tolist() for c in passages.crossed(np.arange(0, 20, 2), np.arange(100, 112, 2))), strict=True))
     assert {(0, 100), (10, 110), (12, 100), (18, 110), (8, 100)} <= got
+
+
+def run_corpus():
+    """Runs of one word of many lengths, some of which go on as in another document."""
+    r, rows = random.Random(12), []
+    for i in range(16):
+        text = words(11000 + i, 40)
+        for n in range(3):
+            run = ["of" if n == 1 else r.choice(["on", "in"])] * r.choice([20, 27, 33, 41, 47, 49, 50, 64, 90])
+            beside = words(12000 + r.randrange(4), 30)
+            beside = changed(beside[: r.choice([1, 2, 5, 30])], i, r.choice([0, 0.2]))
+            text += run + beside if r.random() < 0.5 else beside + run
+            text += words(13000 + 10 * i + n, 25)
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_runs_of_every_earlier_document(make_docs):
+    """What lies beside a run of one word is found in every earlier document that has it."""
+    rows = run_corpus()
+    covered = {}
+    for r in passages.repeated_passages(make_docs(rows)).collect():
+        covered.setdefault(r.doc_id, []).append((r.start, r.end))
+    covered = {i: passages.joined(spans) for i, spans in covered.items()}
+    want = linked_by_all(rows)
+    lost = {i: [p for p in found if not any(a <= p and p + passages.K <= b for a, b in covered.get(i, []))] for i, found in want.items()}
+    assert any(want.values())
+    assert {i: x for i, x in lost.items() if x} == {}
+
+
+def test_short_runs_make_few_pairs(make_docs, monkeypatch):
+    """Runs of one word that are no passage, nor begin one, are not compared with each other."""
+    rows = [(i, " ".join(words(14000 + i, 40) + ["of"] * (26 + i % 20) + words(15000 + i, 40))) for i in range(40)]
+    made, stored_as = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name: made.append((name, out := stored_as(df, name))) or out)
+    assert passages.repeated_passages(make_docs(rows)).count() == 0
+    assert [df.count() for name, df in made if name == "passage-chains"][-1] == 0
