@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadweave.llm import neardup, passages
 from roadweave.llm.common import stored
 from roadweave.llm.components import components
-from roadweave.llm.shingles import rolled, shingle_set, word_hashes
+from roadweave.llm.shingles import batch_hashes, rolled, shingle_set, word_hashes
 
 
 def words(seed, n):
@@ -380,3 +381,57 @@ def test_short_runs_make_few_pairs(make_docs, monkeypatch):
     monkeypatch.setattr(passages, "stored", lambda df, name: made.append((name, out := stored_as(df, name))) or out)
     assert passages.repeated_passages(make_docs(rows)).count() == 0
     assert [df.count() for name, df in made if name == "passage-chains"][-1] == 0
+
+
+def test_pairs_of_a_large_group(make_docs, monkeypatch):
+    """Documents that share a passage, of which earlier ones hold the parts, are not compared all with all."""
+    pieces = [words(20000 + i, 20) for i in range(4)]
+    whole, n = [w for x in pieces for w in x], 40
+    rows = []
+    for i in range(n):  # other holders of the parts stand before and behind each of them
+        rows += [(100 * i + j, " ".join(words(20100 + 10 * i + j, 40) + x)) for j, x in enumerate(pieces)]
+        rows.append((100 * i + 50, " ".join(words(21000 + i, 30) + whole + words(22000 + i, 30))))
+    compared = []
+    chained = passages.judged
+
+    def counted(named, made, *rest):
+        made = stored(made, "test-chains")
+        compared.append(made.select("doc_id", "source_id").distinct().count())
+        return chained(named, made, *rest)
+
+    monkeypatch.setattr(passages, "judged", counted)
+    found = {r.doc_id: r for r in passages.repeated_passages(make_docs(rows)).collect()}
+    assert set(found) == {100 * i + 50 for i in range(1, n)}
+    assert all((r.end - r.start, r.similarity) == (80, 1.0) for r in found.values())
+    assert sum(compared[1:]) <= 4 * n
+
+
+def test_seeds_of_a_batch():
+    r = random.Random(11)
+    texts = [" ".join(words(30000 + i, r.randrange(60))) for i in range(200)] + [None, "", " A  b\t", "\x1c a B\x85 x\x0b\x0cY", "É é ß"]
+    column = pa.array(["x", *texts]).slice(1)
+    hashed = batch_hashes(column)
+    assert all(np.array_equal(a, word_hashes(t)) for a, t in zip(hashed, texts, strict=True))
+    row, pos, seed = passages.placed_seeds(hashed)
+    for i, w in enumerate(hashed):
+        own = rolled(w, passages.K) if len(w) >= passages.K else w[:0]
+        at = passages.minimizers(own, passages.WINDOW)
+        assert pos[row == i].tolist() == at.tolist() and seed[row == i].tolist() == own[at].tolist()
+
+
+def test_one_chain_and_common_words():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        pos, source = (np.cumsum(r.integers(1, 25, 12)) for _ in range(2))
+        fast = passages.one_chain(pos, source, 0, 12)
+        if fast[1]:
+            ((score, _, _, path),) = passages.best_chains(pos.tolist(), source.tolist(), 0)
+            assert path == fast[1] and abs(score - fast[0]) < 1e-9
+        a, b = r.integers(0, 6, r.integers(0, 80)), r.integers(0, 6, r.integers(0, 80))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        assert passages.common_words(a, b) == row[-1]
