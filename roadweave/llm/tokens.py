@@ -19,9 +19,9 @@ from roadweave.llm.common import byte_slices, released, slices
 
 #: Bytes of the texts whose words are looked up together (a longer text alone), words that go
 #: into one recursive query, and tokens into one decoding query.
-BYTES, WORDS, TOKENS = 2_000_000, 25_000, 200_000
+BYTES, WORDS, TOKENS = 500_000, 5_000, 200_000
 #: A worker remembers the tokens of so many different words, then only of the half met most often.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: The recursive query takes a round for each merge of its longest word. Words of more bytes
 #: are merged by the same rule with a heap.
 LONG = 200

@@ -361,3 +361,12 @@ def test_tokens_of_given_documents(spark, sf, reference):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     for r in tokens.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
         assert list(r.ids) == reference.encode_ordinary(r.text)
+
+
+def test_a_worker_remembers_few_words():
+    """Two workers of an executor share 3000 MB with its heap of 1800 MB: 60 bytes a word and more add up."""
+    ranks = {bytes([i]): i for i in range(256)}
+    own = tokens.Codec(ranks, r"\S+")
+    for a in range(0, 300_000, 20_000):
+        own.encode([" ".join(map(str, range(a, a + 20_000)))])
+    assert len(own.number) <= 220_000 and tokens.BYTES <= 500_000 and tokens.WORDS <= 5_000
