@@ -144,7 +144,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     whose prefix ends earlier that is left whole is thus in the prefix of the other, for that
     holds all bigrams up to its own last. So pivots meet the prefix grams whose place and
     surroundings allow a single edit, see ``_side_keys``; what meets is verified. Needs words
-    of six letters or more.
+    of six letters or more. Both sides hold several keys a word, which Spark does not see in
+    the size of the words' table, so the join is fixed to a shuffle.
     """
     held = stored(grams(words), "spelling-grams")
 
@@ -155,7 +156,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     met = (
         keyed("pivots", "a", False)
-        .join(keyed("prefix", "b", True), "key")
+        .join(keyed("prefix", "b", True).hint("merge"), "key")
         .filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b")))
         .filter(F.levenshtein("a", "b", 1) == 1)
         .drop("key")
@@ -169,7 +170,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        again = stored(now.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        again = stored(now.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         now = again.drop("moved")
         if not again.filter("moved").limit(1).count():
             return now
@@ -182,7 +183,8 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     word of largest n (ties: the smallest in code-point order) if that is ``times`` its own n
     or more, else null; root follows forms to the last (the word itself without a form). As n
     grows at each step, chains are short and have no circles. Words are different and not
-    null, as ``vocabulary`` gives them; an empty table gives an empty one.
+    null, as ``vocabulary`` gives them; an empty table gives an empty one. Nothing that grows
+    with the words is broadcast: stored words are several times larger in memory.
     """
     held = stored(words.select("word", "n"), "spelling-words")
     near = near_pairs(held).groupBy("a", "n_a").agg(
@@ -200,8 +202,8 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     )
     last = roots(near.filter("form is not null").select("word", "form"))
     return (
-        held.join(near, "word", "left")
-        .join(last, "word", "left")
+        held.join(near.hint("merge"), "word", "left")
+        .join(last.hint("merge"), "word", "left")
         .select(
             "word",
             "form",

@@ -1,6 +1,7 @@
 """Periodic runs, quality rules and spelling variants against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -341,3 +342,12 @@ def test_pivots_are_the_rarest_disjoint_pair(spark):
         a, b = x.pivots
         assert b - a >= 2 and {a, b} <= set(x.prefix)
         assert cost(a) + cost(b) == min(cost(i) + cost(j) for i in x.prefix for j in x.prefix if j - i >= 2)
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    """A word has several keys, which the size of its file does not show: both sides are shuffled."""
+    words = [("".join(x), 9) for x in itertools.product("abc", repeat=6)]
+    near = spelling.near_pairs(spark.createDataFrame(words, "word string, n long"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert near.count() == len(words) * 12  # six places, two other letters
