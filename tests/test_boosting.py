@@ -161,3 +161,21 @@ def test_search_on_time_folds(spark):
     mean = sum(y for y, _ in rows) / len(rows)
     r2 = 1 - sum((y - p) ** 2 for y, p in rows) / sum((y - mean) ** 2 for y, _ in rows)
     assert math.isclose(one.r2, r2, rel_tol=1e-5, abs_tol=1e-5) and inside.count() == one.train_rows
+
+
+def test_cuts_come_without_a_row_for_each_value(spark):
+    """Tasks count by cell; values are not spread over rows. Nulls, one value and infinite ones included."""
+    r = random.Random(8)
+    rows = [(r.choice([None, float(r.randrange(300))]), r.gauss(0, 1), 5.0, None if i else math.inf, float(i % 3)) for i in range(4000)]
+    df = spark.createDataFrame(rows, ", ".join(f"_f{i} double" for i in range(5))).repartition(3)
+    plans = []
+    listener = spark._jsparkSession.sharedState().statusStore()
+    before = listener.executionsCount()
+    cuts = boosting.find_cuts(df, 5, 16)
+    plans = [listener.executionsList(before + i, 1).head().physicalPlanDescription() for i in range(listener.executionsCount() - before)]
+    assert plans and not any("Generate" in p for p in plans)
+    for f in (0, 1):
+        values = sorted(x[f] for x in rows if x[f] is not None)
+        at = [sum(v < c for v in values) / len(values) for c in cuts[f]]
+        assert len(at) == 15 and all(abs(x - (i + 1) / 16) < 0.01 for i, x in enumerate(at))
+    assert cuts[2] == [] and cuts[3] == [] and cuts[4] == [1.0, 2.0]
